@@ -219,10 +219,10 @@ class Encoder:
         pieces, bounds = split_pieces(texts, self.special)
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        new = list(set(pieces).difference(self.known))
-        if new:
-            self._learn(new)
-        ids = list(map(self.known.__getitem__, pieces))
+        ids = list(map(self.known.get, pieces))
+        if None in ids:
+            self._learn(list({p for p, x in zip(pieces, ids, strict=True) if x is None}))
+            ids = list(map(self.known.__getitem__, pieces))
         return [np.frombuffer(b"".join(ids[a:b]), "<u4") for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
 
 

@@ -22,7 +22,7 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, vocab = encoder(path, False), vocabulary(path)
         for batch in batches:
-            for part in text_chunks(batch):
+            for part in text_chunks(batch, limit=1_500_000):
                 ids = encode([t or "" for t in part.column(1).to_pylist()])
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, "<u4"), *ids]).astype(np.int32)

@@ -88,7 +88,7 @@ def pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str, te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seen = encoder(path, True), TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for chunk in text_chunks(batch):
+            for chunk in text_chunks(batch, limit=1_500_000):
                 rows = []
                 for doc, x in zip(chunk.column(0).to_pylist(), encode([t or "" for t in chunk.column(1).to_pylist()]), strict=True):
                     raw, n = x.tobytes() + end_id.to_bytes(4, "little"), len(x) + 1

@@ -124,7 +124,7 @@ def write(df: DataFrame, path: str, folder: str, end_id: int = 2, vocabulary_siz
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([before]), pa.array([size]), pa.array([pack(docs, ids, vocabulary_size)], pa.binary())], ["part", "file", "before", "n_ids", "payload"])
 
         for batch in batches:
-            for piece in text_chunks(batch):
+            for piece in text_chunks(batch, limit=1_500_000):
                 for doc, x in zip(piece.column(0).to_pylist(), encode([t or "" for t in piece.column(1).to_pylist()]), strict=True):
                     docs.append(doc)
                     ids.append(np.concatenate([x, end]))
