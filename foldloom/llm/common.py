@@ -99,3 +99,48 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after[:-1] = solid[1:]
     ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^0..n-1 and their inverses, modulo 2^64 (base is odd)."""
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        steps = np.full(n, b, np.uint64)
+        steps[:1] = 1
+        out.append(np.cumprod(steps))
+    return out[0], out[1]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective finaliser, so that neighbouring values part."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Rolling:
+    """Hashes of any stretch of a sequence of 64-bit values, from prefix sums."""
+
+    def __init__(self, values: np.ndarray, base: int):
+        power, self.inverse = _powers(base, len(values))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power)])
+
+    def __call__(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[stops] - self.sums[starts]) * self.inverse[starts] + (stops - starts).astype(np.uint64))
+
+
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA24BAED4963EE407)
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    return Rolling(raw.astype(np.uint64) + np.uint64(1), BASES[0])(starts, ends)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver drop the shuffle files of steps whose result is stored."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

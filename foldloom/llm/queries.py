@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldloom.llm import bpe_codec, packing, quality_rules, token_files
+from foldloom.llm import bpe_codec, digests, packing, quality_rules, secret_scan, substring_dedup, token_files
 from foldloom.llm.common import documents, shared_dir
 
 
@@ -17,6 +17,18 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.dedup(documents(spark, sf_dir), shared_dir(spark))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(of, secret_scan.KINDS), F.sha2(secret_scan.shown(base), 256).alias("base_sha256"), secret_scan.shown(F.col("spans")).alias("spans"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality_rules.judge(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -36,15 +48,22 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.compare_neighbours(documents(spark, sf_dir), shared_dir(spark))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary_path(), shared_dir(spark), capacity=2048, end_id=0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
+        "op2_secret_scan": op2_secret_scan,
         "op5_quality_rules": op5_quality_rules,
         "op6_bpe": op6_bpe,
         "op7_token_files": op7_token_files,
+        "op8_quartile_digest": op8_quartile_digest,
         "op9_packing": op9_packing,
     }
 
