@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldloom.llm import bpe_codec, digests, packing, quality_rules, secret_scan, substring_dedup, token_files
+from foldloom.llm import bpe_codec, digests, langid, near_dup, packing, quality_rules, secret_scan, substring_dedup, token_files, toxicity
 from foldloom.llm.common import documents, shared_dir
 
 
@@ -29,6 +29,16 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of, secret_scan.KINDS), F.sha2(secret_scan.shown(base), 256).alias("base_sha256"), secret_scan.shown(F.col("spans")).alias("spans"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), shared_dir(spark))
+    return toxicity.predict(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir), shared_dir(spark))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality_rules.judge(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -56,15 +66,24 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary_path(), shared_dir(spark), capacity=2048, end_id=0)
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    network = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
+    return langid.predict(docs, network).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_secret_scan": op2_secret_scan,
+        "op3_toxicity": op3_toxicity,
+        "op4_near_dup": op4_near_dup,
         "op5_quality_rules": op5_quality_rules,
         "op6_bpe": op6_bpe,
         "op7_token_files": op7_token_files,
         "op8_quartile_digest": op8_quartile_digest,
         "op9_packing": op9_packing,
+        "op10_langid": op10_langid,
     }
 
 
