@@ -238,3 +238,21 @@ def predict(df: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("letter", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_known(df: DataFrame, network: Network, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose text has a letter and a language of at least ``least``."""
+    shared = df.sparkSession.sparkContext.broadcast(network)
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_buffer(batch.column(place))
+            for i, j in row_chunks(offsets, 2_000_000):
+                part = batch.slice(i, j - i)
+                good = np.array([t is not None and any(map(str.isalpha, t)) for t in part.column(place).to_pylist()], bool)
+                if shared.value.languages:
+                    good &= pooled(shared.value, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).max(axis=1) >= least
+                yield part.filter(pa.array(good))
+
+    return df.mapInArrow(run, df.schema)

@@ -211,3 +211,27 @@ def redact(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
             out += [text[at:start], f"<{KINDS[kind]}>"]
         at = max(at, stop)
     return "".join([*out, text[at:]])
+
+
+def redact_documents(df: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """The rows of ``df`` with every secret's stretch of the text replaced and the size (if there is one) renewed;
+    texts without a secret stay as they are."""
+    text, size = df.columns.index(text_col), df.columns.index(size_col) if size_col in df.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_chunks(batch, text_col):
+                columns, changed = list(part.columns), False
+                texts, sizes = part.column(text).to_pylist(), None if size is None else part.column(size).to_pylist()
+                for i, t in enumerate(texts):
+                    if t and (spans := find_secrets(t)):
+                        texts[i], changed = redact(t, spans), True
+                        if sizes is not None:
+                            sizes[i] = len(texts[i])
+                if changed:
+                    columns[text] = pa.array(texts, part.schema.field(text).type)
+                    if sizes is not None:
+                        columns[size] = pa.array(sizes, part.schema.field(size).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    return df.mapInArrow(run, df.schema)

@@ -2,8 +2,8 @@
 
 The categories (0/1 columns of the labels, nulls unlabelled) are predicted one after another; each model gets, besides
 the words, the probabilities of the categories before it. While training, those are out-of-fold predictions, so a
-later model learns from the errors that earlier ones make on texts they haven't seen. The words are the ``features``
-whose presence tells most about a category, by a chi-square count over the sample, made in Spark.
+later model learns from the errors that earlier ones make on texts they haven't seen. The ``features`` are the words
+and word beginnings whose presence, or presence in at least one word of a hundred, tells most about a category, by a chi-square count over the sample, made in Spark.
 
 The sample is bounded: the ``documents`` labelled documents least by a hash of the id; ``features`` bits of each and
 the labels are all that reaches the driver. Every document is scored over its whole text.
@@ -29,6 +29,12 @@ from foldloom.llm.common import keyed, row_chunks, staged, text_buffer, word_has
 CATEGORIES = ("quality", "toxic")
 
 
+#: Bytes of the word beginnings that are features beside whole words.
+BEGINNINGS = (5, 6, 7, 8)
+#: A feature is there often if it is at least one word in so many.
+OFTEN = 100
+
+
 @dataclass(frozen=True)
 class Training:
     documents: int = 8000
@@ -38,24 +44,34 @@ class Training:
     penalty: float = 1e-3
 
 
-def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs of letters, digits and non-ASCII bytes, in lower case) and the offsets of the rows."""
+def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words (runs of letters, digits and non-ASCII bytes, in lower case) and of their beginnings, the
+    row of each, and the number of words of each row."""
     lower = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
     solid = ((lower >= 97) & (lower <= 122)) | ((lower >= 48) & (lower <= 57)) | (lower >= 128)
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(solid & (~np.r_[False, solid[:-1]] | edge[:-1])) if len(raw) else np.zeros(0, np.int64)
     ends = np.flatnonzero(solid & (~np.r_[solid[1:], False] | edge[1:])) + 1 if len(raw) else starts
-    return word_hashes(lower, starts, ends), np.searchsorted(starts, offsets)
-
-
-def presence(hashes: np.ndarray, bounds: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """(row, feature) 0/1; ``features`` ascending."""
-    out = np.zeros((len(bounds) - 1, len(features)), np.float32)
-    if len(features) and len(hashes):
-        at = np.minimum(np.searchsorted(features, hashes), len(features) - 1)
+    bounds = np.searchsorted(starts, offsets)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    hashes, rows = [word_hashes(lower, starts, ends)], [row]
+    for size in BEGINNINGS:
+        long = ends - starts > size
+        hashes.append(word_hashes(lower, starts[long], starts[long] + size) ^ np.uint64(size))
+        rows.append(row[long])
+    return np.concatenate(hashes), np.concatenate(rows), np.diff(bounds)
+
+
+def counted(hashes: np.ndarray, rows: np.ndarray, n_words: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """(row, 2 x feature) 0/1: whether a row has the feature, and whether often; ``features`` ascending."""
+    size = len(features)
+    out = np.zeros((len(n_words), 2 * size), np.float32)
+    if size and len(hashes):
+        at = np.minimum(np.searchsorted(features, hashes), size - 1)
         hit = features[at] == hashes
-        out[np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[hit], at[hit]] = 1
+        n = np.bincount(rows[hit] * size + at[hit], minlength=len(n_words) * size).reshape(-1, size)
+        out[:, :size], out[:, size:] = n > 0, (n > 0) & (n * OFTEN >= n_words[:, None])
     return out
 
 
@@ -125,28 +141,36 @@ def train(docs: DataFrame, labels: DataFrame, folder: str, categories: tuple[str
         for batch in batches:
             raw, offsets = text_buffer(batch.column(1))
             for i, j in row_chunks(offsets, 2_000_000):
-                hashes, bounds = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                cells = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
-                column = pa.ListArray.from_arrays(np.cumsum([0, *map(len, cells)]).astype(np.int32), np.concatenate(cells))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(c.slice(i, j - i) for c in batch.columns[2:]), column], ["doc_id", *names, "words"])
+                hashes, rows, n_words = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                order = np.lexsort((hashes, rows))
+                hashes, rows = hashes[order], rows[order]
+                first = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])]) if len(hashes) else np.zeros(0, np.int64)
+                count = np.diff(np.r_[first, len(hashes)])
+                often = first[count * OFTEN >= n_words[rows[first]]]
+                lists = [pa.ListArray.from_arrays(np.searchsorted(rows[at], np.arange(j - i + 1)).astype(np.int32), hashes[at].view(np.int64)) for at in (first, often)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(c.slice(i, j - i) for c in batch.columns[2:]), *lists], ["doc_id", *names, "words", "often"])
 
     names = [f"label_{k}" for k in range(len(categories))]
-    rows = staged(sample.select("doc_id", "text", *names).mapInArrow(words, "doc_id long, " + "".join(f"{n} double, " for n in names) + "words array<long>"), f"{folder}/words")
+    rows = staged(sample.select("doc_id", "text", *names).mapInArrow(words, "doc_id long, " + "".join(f"{n} double, " for n in names) + "words array<long>, often array<long>"), f"{folder}/words")
     totals = rows.agg(*(F.count(n).alias(f"n_{n}") for n in names), *(F.coalesce(F.sum(n), F.lit(0.0)).alias(f"s_{n}") for n in names)).first()
-    counts = rows.select(F.explode("words").alias("word"), *names).groupBy("word").agg(*(F.count(n).alias(f"n_{n}") for n in names), *(F.coalesce(F.sum(n), F.lit(0.0)).alias(f"s_{n}") for n in names))
+    shown = rows.select(F.explode("words").alias("word"), F.lit(0).alias("kind"), *names).unionByName(rows.select(F.explode("often").alias("word"), F.lit(1).alias("kind"), *names))
+    counts = shown.groupBy("word", "kind").agg(*(F.count(n).alias(f"n_{n}") for n in names), *(F.coalesce(F.sum(n), F.lit(0.0)).alias(f"s_{n}") for n in names))
     score = F.lit(0.0)
     for n in names:
         rate = totals[f"s_{n}"] / max(totals[f"n_{n}"], 1)
         spread = max(rate * (1 - rate), 1e-9)
         score = F.greatest(score, F.pow(F.col(f"s_{n}") - F.col(f"n_{n}") * rate, 2) / (F.greatest(F.col(f"n_{n}"), F.lit(1)) * spread))
-    # A word in nearly all or in a few texts tells little or by chance.
-    top = counts.filter(F.col(f"n_{names[-1]}") >= 8).select("word", score.alias("score")).orderBy(F.desc("score"), "word").limit(training.features).collect()
+    # A word of few texts tells by chance.
+    top = counts.filter(F.col(f"n_{names[-1]}") >= 8).groupBy("word").agg(F.max(score).alias("score")).orderBy(F.desc("score"), "word").limit(training.features).collect()
     features = np.sort(np.array([r.word for r in top], np.int64).view(np.uint64))
     chosen_words = F.array(*(F.lit(int(x)) for x in features.view(np.int64).tolist())).cast("array<long>")
-    bits = rows.select("doc_id", *names, F.array_intersect("words", chosen_words).alias("words")).orderBy("doc_id").toArrow()
+    bits = rows.select("doc_id", *names, F.array_intersect("words", chosen_words).alias("words"), F.array_intersect("often", chosen_words).alias("often")).orderBy("doc_id").toArrow()
     y = np.stack([bits.column(n).to_numpy().astype(float) for n in names], axis=1)
-    lists = bits.column("words").combine_chunks()
-    x = presence(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.cumsum([0, *lists.value_lengths().to_pylist()]), features)
+    x = np.zeros((len(y), 2 * len(features)), np.float32)
+    for k, name in enumerate(("words", "often")):
+        lists = bits.column(name).combine_chunks()
+        found = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        x[np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(int)), np.searchsorted(features, found) + k * len(features)] = 1
     return fit_chain(x, y, features, categories, training)
 
 
@@ -159,7 +183,7 @@ def predict(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             raw, offsets = text_buffer(batch.column(1))
             for i, j in row_chunks(offsets, 2_000_000):
-                x = presence(*tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), shared.value.features)
+                x = counted(*tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), shared.value.features)
                 p = shared.value.predict(x)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(p[:, k]) for k in range(len(names)))], ["doc_id", *names])
 
