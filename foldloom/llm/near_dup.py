@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from foldloom.llm.common import BASES, Rolling, keyed, mixed, row_chunks, staged, text_buffer, tidy, word_bounds, word_hashes
 
 SHINGLE = 5
+#: How fast the number of texts of a bucket grows that are compared with the rest of it in a round.
+GROWTH = 8
 
 
 def labelled_hashes(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,14 +52,26 @@ def labelled_hashes(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
 
 
 def sketch(labels: np.ndarray, sketches: int, picked: int) -> np.ndarray:
-    """One key for each sketch: a hash of the picked k-mers in text order."""
-    seeds = mixed(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(BASES[0]))
-    keys = np.empty(sketches, np.uint64)
-    take, step = min(picked, len(labels)), max(1, 2_000_000 // len(labels))
-    for i in range(0, sketches, step):
-        rank = mixed(labels[None, :] ^ seeds[i : i + step, None])
-        least = np.sort(np.argpartition(rank, take - 1, axis=1)[:, :take], axis=1)
-        key = seeds[i : i + step].copy()
+    """One key for each sketch: a hash of the picked k-mers in text order.
+
+    The labels are mixed already, so an odd factor orders them anew. Only those under a bound that about four times
+    ``picked`` of them keep are sorted; a sketch that the bound leaves too few of sorts all.
+    """
+    n, take = len(labels), min(picked, len(labels))
+    seeds = mixed(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(BASES[0])) | np.uint64(1)
+    keys = mixed(seeds)
+    bound = np.uint64(min((1 << 64) - 1, (1 << 64) * 4 * picked // n))
+    for i in range(0, sketches, step := max(1, 2_000_000 // n)):
+        rank = labels[None, :] * seeds[i : i + step, None]
+        row, at = np.nonzero(rank < bound) if n > 8 * picked else (None, None)
+        if row is None or (count := np.bincount(row, minlength=len(rank))).min() < take:
+            least = np.argpartition(rank, take - 1, axis=1)[:, :take]
+        else:
+            order = np.lexsort((rank[row, at], row))
+            first = np.cumsum(count) - count
+            least = at[order][first[:, None] + np.arange(take)]
+        least.sort(axis=1)
+        key = keys[i : i + step]
         for k in range(take):
             key = mixed(key * np.uint64(BASES[1]) + labels[least[:, k]])
         keys[i : i + step] = key
@@ -96,7 +110,7 @@ def similarity(one: bytes, other: bytes, least: float) -> float:
 
 
 def sketches_of(df: DataFrame, sketches: int, picked: int) -> DataFrame:
-    """doc_id, digest of the words (null without words), keys."""
+    """doc_id, digest of the words (null without words), number of k-mers, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,9 +127,9 @@ def sketches_of(df: DataFrame, sketches: int, picked: int) -> DataFrame:
                     mine = labels[cut[k] : cut[k + 1]]
                     keys.append(sketch(mine, sketches, picked).view(np.int64) if len(mine) else np.zeros(0, np.int64))
                 bands = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), np.concatenate(keys))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(digests, pa.binary()), bands], ["doc_id", "digest", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(digests, pa.binary()), pa.array(np.diff(cut).astype(np.int32)), bands], ["doc_id", "digest", "n", "keys"])
 
-    return df.mapInArrow(run, "doc_id long, digest binary, keys array<long>")
+    return df.mapInArrow(run, "doc_id long, digest binary, n int, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -148,48 +162,57 @@ def components(links: DataFrame, folder: str) -> DataFrame:
             return labels
 
 
-def near_duplicates(df: DataFrame, folder: str, least: float = 0.8, sketches: int = 16, picked: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def merged(labels: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """``labels`` (doc, comp) with the components that ``links`` connect made one."""
+    of = lambda name: labels.select(F.col("doc").alias(name), F.col("comp").alias(f"c{name}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").filter("ca != cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    moved = components(between, folder).select(F.col("doc").alias("comp"), F.col("comp").alias("to"))
+    return staged(labels.join(moved, "comp", "left").select("doc", F.coalesce("to", "comp").alias("comp")), f"{folder}/merged")
+
+
+def near_duplicates(df: DataFrame, folder: str, least: float = 0.8, sketches: int = 32, picked: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``class_id`` (the least id of its class) of every row. ``folder``: shared, for stored steps."""
     spark = df.sparkSession
     docs = keyed(df, id_col, text_col)
     sketched = staged(sketches_of(docs, sketches, picked), f"{folder}/sketched")
     tidy(spark)
     worded = sketched.filter("digest IS NOT NULL")
-    texts_of = worded.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min_by("keys", "doc_id").alias("keys"))
-    firsts = staged(texts_of, f"{folder}/firsts")
-    rows = firsts.select("doc", F.explode("keys").alias("key"))
-    leads = rows.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).filter("lead != last").select("key", "lead")
-    buckets = staged(rows.join(leads, "key"), f"{folder}/buckets")
+    texts_of = worded.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min_by(F.struct("n", "keys"), "doc_id").alias("s"))
+    firsts = staged(texts_of.select("digest", "doc", "s.n", "s.keys"), f"{folder}/firsts")
+    rows = firsts.select("doc", "n", F.explode("keys").alias("key"))
+    leads = rows.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("m"), F.max("doc").alias("last")).filter("m.doc != last")
+    buckets = staged(rows.join(leads.select("key", F.col("m.doc").alias("lead"), F.col("m.n").alias("lead_n")), "key"), f"{folder}/buckets")
     tidy(spark)
-    texts = staged(docs.join(buckets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), f"{folder}/texts")
-
-    pairs = staged(buckets.filter("doc != lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), f"{folder}/pairs-0")
-    tested = pairs
-    links = staged(verified(pairs, texts, least), f"{folder}/links-0")
+    members = staged(buckets.select("doc").distinct(), f"{folder}/members")
+    texts = staged(docs.join(members.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), f"{folder}/texts")
+    # Texts whose numbers of k-mers differ too much can't be similar enough.
+    sized = lambda m, n: F.least(F.col(m), F.col(n)) >= F.lit(least) * F.greatest(F.col(m), F.col(n))
+
+    pairs = buckets.filter((F.col("doc") != F.col("lead")) & sized("n", "lead_n"))
+    tested = staged(pairs.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), f"{folder}/pairs-0")
+    links = staged(verified(tested, texts, least), f"{folder}/links-0")
     tidy(spark)
-    labels = components(links, f"{folder}/round-0")
-    labelled = lambda b: b.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    here = labelled(buckets)
+    labels = merged(members.select("doc", F.col("doc").alias("comp")), links, f"{folder}/round-0")
+    here = buckets.join(labels, "doc")
     split = here.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("doc") == F.col("lead"), F.col("comp"))).alias("home")).filter("low != high").select("key", "home")
-    open_ = staged(here.join(split, "key").select("key", "doc", "lead", "comp", "home"), f"{folder}/open")
+    open_ = staged(here.join(split, "key").filter("doc != lead").select("key", "doc", "n", "comp", "home"), f"{folder}/open")
     rest = open_.filter("comp != home").select("key", "doc", F.row_number().over(Window.partitionBy("key").orderBy("doc")).alias("rank"))
-    rest = staged(rest, f"{folder}/rest")
+    rest = staged(open_.select("key", "doc", "n").join(rest, ["key", "doc"], "left"), f"{folder}/rest")
     most, turn, low = rest.agg(F.max("rank")).first()[0] or 0, 0, 1
-    members = staged(open_.filter("doc != lead").select("key", "doc").join(rest, ["key", "doc"], "left"), f"{folder}/members")
     while low <= most:
         turn += 1
-        now = members.select("key", "doc", "rank").join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        leaders = now.filter(F.col("rank").between(low, 2 * low - 1)).select("key", F.col("doc").alias("x"), F.col("rank").alias("r"), F.col("comp").alias("c"))
-        fresh = now.join(leaders, "key").filter("comp != c AND (rank IS NULL OR rank > r)")
+        high = low * GROWTH - 1
+        now = rest.join(labels, "doc")
+        leaders = now.filter(F.col("rank").between(low, high)).select("key", F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("rank").alias("r"), F.col("comp").alias("c"))
+        fresh = now.join(leaders, "key").filter((F.col("comp") != F.col("c")) & (F.col("rank").isNull() | (F.col("rank") > F.col("r"))) & sized("n", "xn"))
         fresh = fresh.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = staged(fresh, f"{folder}/pairs-{turn}")
         tested = tested.unionByName(pairs)
         found = staged(verified(pairs, texts, least), f"{folder}/links-{turn}")
         if found.limit(1).count():
-            links = links.unionByName(found)
-            labels = components(links, f"{folder}/round-{turn}")
+            labels = merged(labels, found, f"{folder}/round-{turn}")
         tidy(spark)
-        low *= 2
+        low = high + 1
     classes = firsts.select("digest", "doc").join(labels, "doc", "left").select("digest", F.coalesce("comp", "doc").alias("class_id"))
     placed = worded.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", "class_id")
     return placed.unionByName(sketched.filter("digest IS NULL").select("doc_id", F.col("doc_id").alias("class_id")))
