@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import row_chunks, text_buffer
+from foldloom.llm.common import hashed_sample, row_chunks, text_buffer
 
 STRETCH = 64
 #: Stretches that run through the network together: their states stay in the processor's cache.
@@ -211,8 +211,8 @@ def train(labelled: DataFrame, training: Training = Training()) -> Network:
     """``labelled``: doc_id, text, lang. Pieces start at hashed places all over the texts."""
     n = F.greatest(F.length("text") - training.chars, F.lit(0)) + 1
     cut = [F.col("text").substr((F.pmod(F.xxhash64("doc_id", F.lit(k)), n) + 1).cast("int"), F.lit(training.chars)) for k in range(training.stretches)]
-    chosen = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.array(*cut).alias("cut"), F.xxhash64("doc_id", F.lit(-1)).alias("h"), "doc_id")
-    rows = chosen.orderBy("h", "doc_id", "lang").limit(training.documents).collect()
+    chosen = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.array(*cut).alias("cut"), "doc_id")
+    rows = hashed_sample(chosen, training.documents, -1).collect()
     return fit([(r.lang, t) for r in rows for t in r.cut if t.strip()], training)
 
 

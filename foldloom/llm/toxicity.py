@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import keyed, row_chunks, staged, text_buffer, word_hashes
+from foldloom.llm.common import hashed_sample, keyed, row_chunks, staged, text_buffer, word_hashes
 
 #: The chain's order: what is told first helps with what follows.
 CATEGORIES = ("quality", "toxic")
@@ -134,7 +134,7 @@ def fit_chain(x: np.ndarray, y: np.ndarray, features: np.ndarray, categories: tu
 
 def train(docs: DataFrame, labels: DataFrame, folder: str, categories: tuple[str, ...] = CATEGORIES, training: Training = Training()) -> Chain:
     marks = [F.col(c).cast("double").alias(f"label_{k}") for k, c in enumerate(categories)]
-    chosen = labels.filter("doc_id IS NOT NULL").select("doc_id", *marks).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(training.documents)
+    chosen = hashed_sample(labels.filter("doc_id IS NOT NULL").select("doc_id", *marks), training.documents, 11)
     sample = keyed(docs).join(chosen, "doc_id")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
