@@ -60,11 +60,13 @@ def trainable(rows: DataFrame, max_len: int) -> DataFrame:
 
 
 def padded(rows: DataFrame, key: str, batch_size: int, pad: int = 0) -> DataFrame:
-    """Batches of ``batch_size`` in key order, padded to the longest of the batch."""
-    numbered = rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / batch_size))
+    """Batches of at most ``batch_size`` neighbouring integer keys, padded to the longest of the batch.
+
+    A batch is a range of keys, so numbering the rows needs no global order.
+    """
     most = F.max(F.size("ids")).over(Window.partitionBy("batch"))
     short = (F.col("most") - F.size("ids")).cast("int")
-    return numbered.withColumn("most", most).select(
+    return rows.withColumn("batch", F.floor(F.col(key) / batch_size)).withColumn("most", most).select(
         key, "batch", F.concat("ids", F.array_repeat(F.lit(pad), short)).alias("input_ids"), F.concat("labels", F.array_repeat(F.lit(IGNORED), short)).alias("labels"),
         F.concat(F.array_repeat(F.lit(1), F.size("ids")), F.array_repeat(F.lit(0), short)).alias("attention_mask"),
     )

@@ -23,7 +23,7 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, k = F.col("event_type"), F.col("k")
     path = F.concat(F.lit("src/mod_"), k, F.lit(".py"))
     edit = lambda command, more="": F.concat(F.lit(f'{{"command": "{command}", "path": "'), path, F.lit('"' + more), F.lit("}"))
-    body = F.concat(F.lit(', "file_text": "def handle_'), k, F.lit('(value):\\n    return value * '), k, F.lit('"'))
+    body = F.concat(F.lit(', "file_text": "def handle_'), k, F.lit('(value, scale=1.0):\\n    return scale * value + '), k, F.lit('"'))
     run = lambda *command: F.concat(F.lit('{"command": "'), *command, F.lit('"}'))
     arguments = (
         F.when(kind == "view", edit("view"))
