@@ -232,7 +232,7 @@ q AS (SELECT tid, a, max(ft) AS q FROM af GROUP BY ALL), l AS (SELECT tid, a, un
     add("trigger_phrases", FOLDS, f"SELECT {key}, {other} AS signal, {PHRASE(other)} AS phrase FROM fp")
     add("rendered_chat", STITCHED, f"SELECT tid AS trajectory_id, string_agg('<|im_start|>' || role || {NL} || {SUMMED} || '<|im_end|>' || {NL}, '' ORDER BY pos) AS chat FROM sx GROUP BY tid")
     add("assistant_mask", TALK_IDS, "SELECT tid AS trajectory_id, p AS pos, CASE WHEN own THEN id ELSE -100 END AS label FROM cl")
-    add("mask_filter", TALK_IDS, "SELECT tid AS trajectory_id, n AS length FROM ln WHERE n <= 120 AND any_own")
+    add("mask_filter", TALK_IDS, "SELECT tid AS trajectory_id, n AS length FROM ln WHERE n <= 500 AND any_own")
     add("rolling_mask", ROLLING + "," + _chat("rx JOIN (SELECT DISTINCT tid AS t2, a AS a2, target AS tg FROM rx) ON t2 = tid AND a2 = a", "tid, a, target", "pos", SUMMED),
         f"SELECT {key}, count(*) AS length, count(*) FILTER (mp < target) AS start, count(*) FILTER (own AND mp >= target) AS n_labels, coalesce(sum(id) FILTER (own AND mp >= target), 0)::BIGINT AS label_sum FROM cl GROUP BY tid, a")
     add("length_cap", TALK_IDS, "SELECT tid AS trajectory_id, n AS length FROM ln WHERE n <= 300")

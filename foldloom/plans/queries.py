@@ -224,7 +224,7 @@ def assistant_mask(r: Run) -> DataFrame:
 
 
 def mask_filter(r: Run) -> DataFrame:
-    return mask.trainable(r.labelled, 120).select(KEY, F.size("ids").cast("long").alias("length"))
+    return mask.trainable(r.labelled, 500).select(KEY, F.size("ids").cast("long").alias("length"))
 
 
 def _rolling_ids(r: Run) -> DataFrame:
