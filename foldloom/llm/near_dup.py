@@ -3,7 +3,7 @@
 The k-mers of a text are its runs of five words, each labelled with its occurrence number. A sketch takes the
 ``picked`` labelled k-mers with the least hashes and keeps them in text order; two texts are candidates if one of the
 ``sketches`` tuples is equal (with the defaults a pair of similarity 0.8 is missed about six times in 100,000, more
-similar pairs less often), unless their sizes or one-bit signatures rule the threshold out. A candidate pair is verified by aligning the two sequences of labelled k-mers: matches
+similar pairs less often), unless exact bounds on their common k-mers rule the threshold out. A candidate pair is verified by aligning the two sequences of labelled k-mers: matches
 off the band that the threshold allows can't belong to a sufficient alignment, and as no label occurs twice in a text,
 the best alignment in the band is a longest increasing subsequence. m aligned of a and b k-mers make a similarity of
 m / (a + b - m).
@@ -21,7 +21,6 @@ share its links.
 from __future__ import annotations
 
 import hashlib
-import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -33,8 +32,6 @@ from pyspark.sql import functions as F
 from foldloom.llm.common import BASES, Rolling, keyed, mixed, row_chunks, staged, text_buffer, tidy, word_bounds, word_hashes
 
 SHINGLE = 5
-#: Bits of the signature that weeds candidates out before their texts meet: one bit of the least label in so many orders.
-BITS = 512
 #: How fast the number of texts of a bucket grows that are compared with the rest of it in a round.
 GROWTH = 8
 
@@ -82,21 +79,6 @@ def sketch(labels: np.ndarray, sketches: int, picked: int) -> np.ndarray:
     return keys
 
 
-def signature(labels: np.ndarray) -> np.ndarray:
-    """BITS bits as eight-byte words. Two texts of similarity s differ in (1 - s) / 2 of them on average."""
-    seeds = mixed(np.arange(1, BITS + 1, dtype=np.uint64) * np.uint64(BASES[2])) | np.uint64(1)
-    least = np.empty(BITS, np.uint64)
-    for i in range(0, BITS, step := max(1, 100_000 // len(labels))):
-        (labels[None, :] * seeds[i : i + step, None]).min(axis=1, out=least[i : i + step])
-    return np.packbits((mixed(least) >> np.uint64(63)).astype(np.uint8)).view(np.int64)
-
-
-def most_bits(least: float) -> int:
-    """Differing bits that texts of similarity ``least`` exceed about once in a million (4.75 standard deviations)."""
-    share = (1 - least) / 2
-    return math.ceil(BITS * share + 4.75 * math.sqrt(BITS * share * (1 - share)))
-
-
 def similarity(one: bytes, other: bytes, least: float) -> float:
     """Similarity by banded alignment, 0 where it can't reach ``least``."""
     a, b = one.split(), other.split()
@@ -129,7 +111,7 @@ def similarity(one: bytes, other: bytes, least: float) -> float:
 
 
 def sketches_of(df: DataFrame, sketches: int, picked: int) -> DataFrame:
-    """doc_id, digest of the words (null without words), number of k-mers, keys, signature."""
+    """doc_id, digest of the words (null without words), number of k-mers, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,17 +121,32 @@ def sketches_of(df: DataFrame, sketches: int, picked: int) -> DataFrame:
                 at = offsets[i : j + 1] - offsets[i]
                 starts, ends, bounds = word_bounds(part, at)
                 labels, cut = labelled_hashes(word_hashes(part, starts, ends), bounds)
-                digests, keys, bits = [], [], []
+                digests, keys = [], []
                 for k in range(j - i):
                     words = part[at[k] : at[k + 1]].tobytes().split()
                     digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
                     mine = labels[cut[k] : cut[k + 1]]
                     keys.append(sketch(mine, sketches, picked).view(np.int64) if len(mine) else np.zeros(0, np.int64))
-                    bits.append(signature(mine) if len(mine) else np.zeros(0, np.int64))
-                bands, signed = (pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate(x)) for x in (keys, bits))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(digests, pa.binary()), pa.array(np.diff(cut).astype(np.int32)), bands, signed], ["doc_id", "digest", "n", "keys", "bits"])
+                bands = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), np.concatenate(keys))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(digests, pa.binary()), pa.array(np.diff(cut).astype(np.int32)), bands], ["doc_id", "digest", "n", "keys"])
+
+    return df.mapInArrow(run, "doc_id long, digest binary, n int, keys array<long>")
+
 
-    return df.mapInArrow(run, "doc_id long, digest binary, n int, keys array<long>, bits array<long>")
+def lone_kmers(texts: DataFrame) -> DataFrame:
+    """doc, alone: how many of a text's labelled k-mers occur in no other of ``texts`` (texts without any are left out)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_buffer(batch.column(1))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, j in row_chunks(offsets, 1_000_000):
+                starts, ends, bounds = word_bounds(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                labels, cut = labelled_hashes(word_hashes(raw[offsets[i] : offsets[j]], starts, ends), bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i:j], np.diff(cut)), pa.int64()), pa.array(labels.view(np.int64))], ["doc", "label"])
+
+    rows = texts.mapInArrow(run, "doc long, label long").groupBy("label").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"))
+    return rows.filter("doc = last").groupBy("doc").agg(F.count("*").alias("alone"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -197,23 +194,18 @@ def near_duplicates(df: DataFrame, folder: str, least: float = 0.8, sketches: in
     sketched = staged(sketches_of(docs, sketches, picked), f"{folder}/sketched")
     tidy(spark)
     worded = sketched.filter("digest IS NOT NULL")
-    texts_of = worded.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min_by(F.struct("n", "keys", "bits"), "doc_id").alias("s"))
-    firsts = staged(texts_of.select("digest", "doc", "s.n", "s.keys", "s.bits"), f"{folder}/firsts")
+    texts_of = worded.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min_by(F.struct("n", "keys"), "doc_id").alias("s"))
+    firsts = staged(texts_of.select("digest", "doc", "s.n", "s.keys"), f"{folder}/firsts")
     rows = firsts.select("doc", "n", F.explode("keys").alias("key"))
     leads = rows.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("m"), F.max("doc").alias("last")).filter("m.doc != last")
     buckets = staged(rows.join(leads.select("key", F.col("m.doc").alias("lead"), F.col("m.n").alias("lead_n")), "key"), f"{folder}/buckets")
     tidy(spark)
     members = staged(buckets.select("doc").distinct(), f"{folder}/members")
     texts = staged(docs.join(members.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), f"{folder}/texts")
-    # Texts whose numbers of k-mers, or signatures, differ too much can't be similar enough.
+    # Texts whose numbers of k-mers differ too much can't be similar enough.
     sized = lambda m, n: F.least(F.col(m), F.col(n)) >= F.lit(least) * F.greatest(F.col(m), F.col(n))
-    apart = lambda x, y: sum((F.bit_count(F.get(x, k).bitwiseXOR(F.get(y, k))) for k in range(1, BITS // 64)), F.bit_count(F.get(x, 0).bitwiseXOR(F.get(y, 0))))
-    near = lambda x, y: apart(F.col(x), F.col(y)) <= most_bits(least)
-    signed = lambda doc, name: firsts.select(F.col("doc").alias(doc), F.col("bits").alias(name))
-
     pairs = buckets.filter((F.col("doc") != F.col("lead")) & sized("n", "lead_n")).select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
-    pairs = pairs.join(signed("a", "x"), "a").join(signed("b", "y"), "b").filter(near("x", "y"))
-    tested = staged(pairs.select("a", "b"), f"{folder}/pairs-0")
+    tested = staged(pairs, f"{folder}/pairs-0")
     links = staged(verified(tested, texts, least), f"{folder}/links-0")
     tidy(spark)
     labels = merged(members.select("doc", F.col("doc").alias("comp")), links, f"{folder}/round-0")
@@ -221,14 +213,19 @@ def near_duplicates(df: DataFrame, folder: str, least: float = 0.8, sketches: in
     split = here.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("doc") == F.col("lead"), F.col("comp"))).alias("home")).filter("low != high").select("key", "home")
     open_ = staged(here.join(split, "key").filter("doc != lead").select("key", "doc", "n", "comp", "home"), f"{folder}/open")
     rest = open_.filter("comp != home").select("key", "doc", F.row_number().over(Window.partitionBy("key").orderBy("doc")).alias("rank"))
-    rest = staged(open_.select("key", "doc", "n").join(rest, ["key", "doc"], "left").join(signed("doc", "bits"), "doc"), f"{folder}/rest")
+    # No two texts align more k-mers than each of them has in common with any text that is still in question.
+    lone = lone_kmers(texts.join(open_.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    rest = open_.select("key", "doc", "n").join(rest, ["key", "doc"], "left").join(lone, "doc", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
+    rest = rest.filter(F.col("shared") >= F.lit(least - 1e-9) * F.col("n"))
+    rest = staged(rest, f"{folder}/rest")
+    enough = lambda: F.least("shared", "xshared") >= F.lit(least / (1 + least) - 1e-9) * (F.col("n") + F.col("xn"))
     most, turn, low = rest.agg(F.max("rank")).first()[0] or 0, 0, 1
     while low <= most:
         turn += 1
         high = low * GROWTH - 1
         now = rest.join(labels, "doc")
-        leaders = now.filter(F.col("rank").between(low, high)).select("key", F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("bits").alias("xbits"), F.col("rank").alias("r"), F.col("comp").alias("c"))
-        fresh = now.join(leaders, "key").filter((F.col("comp") != F.col("c")) & (F.col("rank").isNull() | (F.col("rank") > F.col("r"))) & sized("n", "xn") & near("bits", "xbits"))
+        leaders = now.filter(F.col("rank").between(low, high)).select("key", F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("shared").alias("xshared"), F.col("rank").alias("r"), F.col("comp").alias("c"))
+        fresh = now.join(leaders, "key").filter((F.col("comp") != F.col("c")) & (F.col("rank").isNull() | (F.col("rank") > F.col("r"))) & sized("n", "xn") & enough())
         fresh = fresh.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = staged(fresh, f"{folder}/pairs-{turn}")
         tested = tested.unionByName(pairs)
