@@ -1,0 +1,100 @@
+import base64
+import bz2
+import gzip
+import hashlib
+import re
+import urllib.parse
+import zlib
+
+import pytest
+
+from foldloom.llm import queries, secret_scan
+from foldloom.llm.secret_scan import find_secrets, redact
+from tests.llm.conftest import SMALL, small_documents
+
+SECRET = "password: hunter2hunter2"
+
+
+def plain(text):
+    """The contract's base spans, with the patterns as they are written there."""
+    word = "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
+    assign = re.compile(rf"""({word})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def wrap(kind, data: bytes) -> str:
+    if kind == "url":
+        return "".join(f"%{b:02x}" for b in data)
+    if kind == "unicode":
+        return "".join(f"\\u{ord(c):04x}" for c in data.decode())
+    if kind == "html":
+        return "".join(f"&#{b};" for b in data)
+    packed = {"base64": data, "gzip": gzip.compress(data), "zlib": zlib.compress(data), "bzip2": bz2.compress(data)}[kind]
+    return base64.b64encode(packed).decode()
+
+
+KINDS = ("url", "unicode", "html", "base64", "gzip", "zlib", "bzip2")
+
+
+@pytest.mark.parametrize("outer", KINDS)
+@pytest.mark.parametrize("inner", KINDS)
+def test_nested_layers(outer, inner):
+    layer = wrap(outer, wrap(inner, b"see " + SECRET.encode() + b" now").encode())
+    text = f"é 日 {layer} end"
+    found = find_secrets(text)
+    assert any(k == 0 and 4 <= a < b <= 4 + len(layer) and not base for k, a, b, base in found)
+    assert "hunter2" not in redact(text, found) and redact(text, found).endswith(" end")
+
+
+def test_url_spans_are_exact():
+    text = "é " + wrap("url", SECRET.encode()) + " z"
+    assert find_secrets(text) == [(0, 2, 2 + 3 * len(SECRET), False)]
+
+
+def test_five_layers_and_a_cycle():
+    data = SECRET.encode()
+    for _ in range(5):
+        data = base64.b64encode(data)
+    assert [(k, base) for k, _, _, base in find_secrets("x " + data.decode())] == [(0, False)]
+    assert find_secrets("%25%32%35%25" * 50) == []
+
+
+def test_double_quoted_url():
+    text = urllib.parse.quote(urllib.parse.quote("token: abc/def=gh1"))
+    assert find_secrets(text) == [(0, 0, len(text), False)]
+
+
+def test_short_match_takes_its_text_with_it():
+    assert find_secrets("token: secret: abcdefghij") == []
+
+
+def test_base_equals_the_contract():
+    for _, text in small_documents():
+        assert [(a, k, b) for k, a, b, base in find_secrets(text) if base] == plain(text)
+
+
+def test_redaction_of_overlapping_spans():
+    text = "api_key=" + "0123456789abcdef" * 2 + " end"
+    assert redact(text, find_secrets(text)) == "<assign> end"
+
+
+def test_query(spark):
+    rows = {r.doc_id: r for r in queries.op2_secret_scan(spark, SMALL).collect()}
+    for doc, text in small_documents():
+        base = plain(text)
+        shown = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        r = rows[doc]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
+        assert r.base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+        assert set(filter(None, shown.split(","))) <= set(r.spans.split(","))
+
+
+def test_odd_rows(spark, odd, empty):
+    got = [(r.doc_id, len(r.spans)) for r in secret_scan.scan(odd).collect()]
+    assert len(got) == 12 and all(n == 0 for _, n in got)
+    assert secret_scan.scan(empty).collect() == []
+    kept = secret_scan.redact_documents(odd)
+    assert kept.columns == odd.columns and sorted(map(str, kept.collect())) == sorted(map(str, odd.collect()))
