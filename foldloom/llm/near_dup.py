@@ -9,8 +9,8 @@ the best alignment in the band is a longest increasing subsequence. m aligned of
 m / (a + b - m).
 
 No pair of a bucket is skipped unless its two texts are in one class already, and no bucket is expanded into all its
-pairs first: equal texts are one text; then everything in a bucket is compared with its first text; what that leaves
-outside the first text's class is compared, a growing number of texts at a time, with all of the bucket that is in
+pairs first: equal texts are one text; then everything in a bucket is compared with its leading text; what that leaves
+outside the leading text's class is compared, a growing number of texts at a time, with all of the bucket that is in
 other classes by then. Classes are connected components, found by label spreading over stored tables.
 
 Defined results: a text without words (null, empty) is a class of its own; texts of under five words are linked if
@@ -197,8 +197,12 @@ def near_duplicates(df: DataFrame, folder: str, least: float = 0.8, sketches: in
     texts_of = worded.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min_by(F.struct("n", "keys"), "doc_id").alias("s"))
     firsts = staged(texts_of.select("digest", "doc", "s.n", "s.keys"), f"{folder}/firsts")
     rows = firsts.select("doc", "n", F.explode("keys").alias("key"))
-    leads = rows.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("m"), F.max("doc").alias("last")).filter("m.doc != last")
-    buckets = staged(rows.join(leads.select("key", F.col("m.doc").alias("lead"), F.col("m.n").alias("lead_n")), "key"), f"{folder}/buckets")
+    sizes = rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("size")).filter("low != high").select("key", "size")
+    shared = staged(rows.join(sizes, "key"), f"{folder}/shared")
+    # The text in the largest buckets leads: of copies of one text it is the least edited.
+    ranked = shared.join(shared.groupBy("doc").agg(F.sum("size").alias("weight")), "doc").select("key", "doc", "n", "weight")
+    leads = ranked.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc")).alias("d"), "n")).alias("m")).select("key", (-F.col("m.d")).alias("lead"), F.col("m.n").alias("lead_n"))
+    buckets = staged(ranked.join(leads, "key"), f"{folder}/buckets")
     tidy(spark)
     members = staged(buckets.select("doc").distinct(), f"{folder}/members")
     texts = staged(docs.join(members.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), f"{folder}/texts")
@@ -211,24 +215,25 @@ def near_duplicates(df: DataFrame, folder: str, least: float = 0.8, sketches: in
     labels = merged(members.select("doc", F.col("doc").alias("comp")), links, f"{folder}/round-0")
     here = buckets.join(labels, "doc")
     split = here.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("doc") == F.col("lead"), F.col("comp"))).alias("home")).filter("low != high").select("key", "home")
-    open_ = staged(here.join(split, "key").filter("doc != lead").select("key", "doc", "n", "comp", "home"), f"{folder}/open")
-    rest = open_.filter("comp != home").select("key", "doc", F.row_number().over(Window.partitionBy("key").orderBy("doc")).alias("rank"))
+    open_ = staged(here.join(split, "key").filter("doc != lead").select("key", "doc", "n", "weight", "comp", "home"), f"{folder}/open")
+    rest = open_.filter("comp != home").select("key", "doc", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "doc")).alias("rank"))
     # No two texts align more k-mers than each of them has in common with any text that is still in question.
     lone = lone_kmers(texts.join(open_.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     rest = open_.select("key", "doc", "n").join(rest, ["key", "doc"], "left").join(lone, "doc", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
-    rest = rest.filter(F.col("shared") >= F.lit(least - 1e-9) * F.col("n"))
+    rest = rest.filter(F.col("shared") >= F.lit(least - 1e-9) * F.col("n")).join(firsts.select("doc", "keys"), "doc")
     rest = staged(rest, f"{folder}/rest")
     enough = lambda: F.least("shared", "xshared") >= F.lit(least / (1 + least) - 1e-9) * (F.col("n") + F.col("xn"))
+    # Of the buckets that two texts share the one with the least key brings them together.
+    once = F.array_min(F.array_intersect("keys", "xkeys")) == F.col("key")
     most, turn, low = rest.agg(F.max("rank")).first()[0] or 0, 0, 1
     while low <= most:
         turn += 1
         high = low * GROWTH - 1
         now = rest.join(labels, "doc")
-        leaders = now.filter(F.col("rank").between(low, high)).select("key", F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("shared").alias("xshared"), F.col("rank").alias("r"), F.col("comp").alias("c"))
-        fresh = now.join(leaders, "key").filter((F.col("comp") != F.col("c")) & (F.col("rank").isNull() | (F.col("rank") > F.col("r"))) & sized("n", "xn") & enough())
-        fresh = fresh.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        leaders = now.filter(F.col("rank").between(low, high)).select("key", F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("shared").alias("xshared"), F.col("keys").alias("xkeys"), F.col("rank").alias("r"), F.col("comp").alias("c"))
+        fresh = now.join(leaders, "key").filter((F.col("comp") != F.col("c")) & (F.col("rank").isNull() | (F.col("rank") > F.col("r"))) & sized("n", "xn") & enough() & once)
+        fresh = fresh.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).join(tested, ["a", "b"], "left_anti")
         pairs = staged(fresh, f"{folder}/pairs-{turn}")
-        tested = tested.unionByName(pairs)
         found = staged(verified(pairs, texts, least), f"{folder}/links-{turn}")
         if found.limit(1).count():
             labels = merged(labels, found, f"{folder}/round-{turn}")
