@@ -253,5 +253,9 @@ q AS (SELECT tid, a, max(ft) AS q FROM af GROUP BY ALL), l AS (SELECT tid, a, un
     add("limit_processed", TALKS, f"SELECT * FROM {counts} ORDER BY trajectory_id LIMIT 20")
     add("tools_with_context", TALKS, f"SELECT trajectory_id, CASE WHEN trajectory_id % 4 = 0 THEN 'context' ELSE 'execute_bash,context' END AS if_absent, CASE WHEN trajectory_id % 4 = 0 THEN 'context,context' ELSE 'execute_bash,context' END AS always FROM {counts}")
     add("pool_round_trip", EVENTS, "SELECT tid AS trajectory_id, row_number() OVER (PARTITION BY tid ORDER BY m) - 1 AS msg_idx, role, length(content) AS n_chars, CASE WHEN role != 'assistant' THEN 0 ELSE 1 + (said LIKE '%task_tracker%')::INT END AS n_calls FROM ms")
+    add("observation_noise", EVENTS, f"SELECT {step}, {NL} || obs || CASE WHEN i % 3 = 0 THEN '' ELSE {NL} || '[Command finished with exit code ' || (i % 3) || ']' END AS obs_text FROM sp")
+    add("prompt_text", FOLDS + f", z AS (SELECT f.tid, f.a, f.lo, f.hi, f.toks, {joined('s.rendered')} AS x FROM fs f JOIN sp s ON s.tid = f.tid AND s.i BETWEEN f.lo AND f.hi GROUP BY ALL)",
+        f"SELECT {key}, '# Task' || {NL} || task || {NL2} || '# History to compress: steps ' || lo || ' to ' || hi || {NL} || x || {NL2} || '# Length' || {NL} || 'About ' || greatest(128, least(trunc(toks * 0.3::DOUBLE)::BIGINT, 6000)) || ' tokens.' || {NL2} || 'Return the memory alone.' AS prompt FROM z JOIN hd USING (tid)")
+    add("plans_round_trip", FOLDS, f"SELECT {key}, f.sig AS signal, f.lo AS comp_lo, f.hi AS comp_hi, rlo AS recent_lo, toks AS comp_tokens, f.n AS num_steps, 2::BIGINT AS q_msgs FROM fs f JOIN (SELECT tid, a, rlo FROM fp) USING (tid, a)")
     add("folds_online", FOLDS, f"SELECT {key}, sig AS signal FROM fp")
     return made

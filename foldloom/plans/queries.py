@@ -8,10 +8,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foldloom.functions import prompts
 from foldloom.functions import text as T
 from foldloom.operators import folding, gate, mask, memory, messages, recall, stats, stitch
 from foldloom.operators.messages import KEY
 from foldloom.plans import fixtures
+from foldloom.sources import plans as nested_plans
 from foldloom.sources import pool
 
 #: Defaults but for the token budget: the fixture's trajectories have about 2,000 tokens.
@@ -315,6 +317,22 @@ def pool_round_trip(r: Run) -> DataFrame:
     return pool.messages_of(back).select(KEY, "msg_idx", "role", F.length("content").cast("long").alias("n_chars"), F.size("tool_calls").cast("long").alias("n_calls"))
 
 
+def observation_noise(r: Run) -> DataFrame:
+    footer = F.concat(F.col("obs_text"), F.lit("\n[Command finished with exit code "), (F.col("step_idx") % 3).cast("string"), F.lit("]\n[ 50%]\n[Current working directory: /w]"))
+    return r.steps.select(*FOLD_KEY, prompts.without_noise(footer).alias("obs_text"))
+
+
+def prompt_text(r: Run) -> DataFrame:
+    texts = folding.slice_text(r.folds, r.steps).withColumnRenamed("fold", "step_idx")
+    rows = r.segments.join(texts, FOLD_KEY).join(r.heads.select(KEY, "task"), KEY)
+    return rows.select(*FOLD_KEY, prompts.slice_prompt(F.col("task"), F.col("comp_lo"), F.col("comp_hi"), F.col("slice_text"), memory.budget(F.col("comp_tokens"))).alias("prompt"))
+
+
+def plans_round_trip(r: Run) -> DataFrame:
+    plans = nested_plans.nested(r.segments, messages.step_counts(r.staged), r.heads, r.steps)
+    return nested_plans.flat(plans).select(*FOLD_KEY, "signal", "comp_lo", "comp_hi", "recent_lo", "comp_tokens", "num_steps", F.col("q_msgs").cast("long").alias("q_msgs"))
+
+
 def folds_online(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foldloom.streaming.online import run_available
 
@@ -390,5 +408,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "limit_processed": _talks(limit_processed),
         "tools_with_context": _talks(tools_with_context),
         "pool_round_trip": _events(pool_round_trip),
+        "observation_noise": _events(observation_noise),
+        "prompt_text": _events(prompt_text),
+        "plans_round_trip": _events(plans_round_trip),
         "folds_online": folds_online,
     }
