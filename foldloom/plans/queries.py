@@ -37,7 +37,7 @@ class Run:
         self.spark, self.sf_dir, self.rules = spark, sf_dir, SHORT if conversations else RULES
         self.make = fixtures.conversation_messages if conversations else fixtures.event_messages
 
-    @kept
+    @cached_property
     def staged(self) -> DataFrame:
         return messages.with_steps(self.make(self.spark, self.sf_dir))
 
@@ -86,7 +86,7 @@ class Run:
     def examples(self) -> DataFrame:
         return stitch.rolling_examples(self.staged, self.rolling)
 
-    @kept
+    @cached_property
     def stitched(self) -> DataFrame:
         return stitch.stitched(self.staged, self.widened)
 
