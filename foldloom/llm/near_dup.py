@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from foldloom.llm.common import BASES, Rolling, keyed, mixed, row_chunks, staged, text_buffer, tidy, word_bounds, word_hashes
 
 SHINGLE = 5
+#: Texts that may have a rare k-mer in common; rare k-mers of a text that are listed with it.
+RARE, LISTED = 8, 32
 #: How fast the number of texts of a bucket grows that are compared with the rest of it in a round.
 GROWTH = 8
 
@@ -133,8 +135,8 @@ def sketches_of(df: DataFrame, sketches: int, picked: int) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, digest binary, n int, keys array<long>")
 
 
-def lone_kmers(texts: DataFrame) -> DataFrame:
-    """doc, alone: how many of a text's labelled k-mers occur in no other of ``texts`` (texts without any are left out)."""
+def kmers_of(texts: DataFrame) -> DataFrame:
+    """doc, label: the labelled k-mers of each text (a label occurs once in a text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,8 +147,17 @@ def lone_kmers(texts: DataFrame) -> DataFrame:
                 labels, cut = labelled_hashes(word_hashes(raw[offsets[i] : offsets[j]], starts, ends), bounds)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i:j], np.diff(cut)), pa.int64()), pa.array(labels.view(np.int64))], ["doc", "label"])
 
-    rows = texts.mapInArrow(run, "doc long, label long").groupBy("label").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"))
-    return rows.filter("doc = last").groupBy("doc").agg(F.count("*").alias("alone"))
+    return texts.mapInArrow(run, "doc long, label long")
+
+
+def rarities(kmers: DataFrame) -> DataFrame:
+    """doc, alone (k-mers that no other text has), rare (those that at most RARE texts have, null if over LISTED)."""
+    spread = kmers.groupBy("label").agg(F.count("*").alias("df"), F.min("doc").alias("doc"))
+    alone = spread.filter("df = 1").groupBy("doc").agg(F.count("*").alias("alone"))
+    few = kmers.join(spread.filter(F.col("df").between(2, RARE)).select("label"), "label").groupBy("doc").agg(F.collect_list("label").alias("rare"))
+    few = few.select("doc", F.when(F.size("rare") <= LISTED, F.col("rare")).alias("rare"), F.lit(True).alias("some"))
+    met = alone.join(few, "doc", "full")
+    return met.select("doc", F.coalesce("alone", F.lit(0)).alias("alone"), F.when(F.col("some").isNull(), F.array().cast("array<bigint>")).otherwise(F.col("rare")).alias("rare"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -217,12 +228,16 @@ def near_duplicates(df: DataFrame, folder: str, least: float = 0.8, sketches: in
     split = here.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("doc") == F.col("lead"), F.col("comp"))).alias("home")).filter("low != high").select("key", "home")
     open_ = staged(here.join(split, "key").filter("doc != lead").select("key", "doc", "n", "weight", "comp", "home"), f"{folder}/open")
     rest = open_.filter("comp != home").select("key", "doc", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "doc")).alias("rank"))
-    # No two texts align more k-mers than each of them has in common with any text that is still in question.
-    lone = lone_kmers(texts.join(open_.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    rest = open_.select("key", "doc", "n").join(rest, ["key", "doc"], "left").join(lone, "doc", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
+    # What two texts can align: no k-mer that one of them has alone, and of the rare ones only those that both have.
+    kmers = staged(kmers_of(texts.join(open_.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")), f"{folder}/kmers")
+    none = F.array().cast("array<bigint>")
+    rest = open_.select("key", "doc", "n").join(rest, ["key", "doc"], "left").join(rarities(kmers).withColumn("told", F.lit(True)), "doc", "left")
+    rest = rest.withColumns({"shared": F.col("n") - F.coalesce("alone", F.lit(0)), "rare": F.when(F.col("told").isNull(), none).otherwise(F.col("rare"))})
     rest = rest.filter(F.col("shared") >= F.lit(least - 1e-9) * F.col("n")).join(firsts.select("doc", "keys"), "doc")
-    rest = staged(rest, f"{folder}/rest")
-    enough = lambda: F.least("shared", "xshared") >= F.lit(least / (1 + least) - 1e-9) * (F.col("n") + F.col("xn"))
+    rest = staged(rest.withColumn("common", F.col("shared") - F.size("rare")).drop("alone", "told"), f"{folder}/rest")
+    loose = F.least("shared", "xshared")
+    tight = F.least("common", "xcommon") + F.size(F.array_intersect("rare", "xrare"))
+    enough = lambda: F.coalesce(tight, loose) >= F.lit(least / (1 + least) - 1e-9) * (F.col("n") + F.col("xn"))
     # Of the buckets that two texts share the one with the least key brings them together.
     once = F.array_min(F.array_intersect("keys", "xkeys")) == F.col("key")
     most, turn, low = rest.agg(F.max("rank")).first()[0] or 0, 0, 1
@@ -230,7 +245,7 @@ def near_duplicates(df: DataFrame, folder: str, least: float = 0.8, sketches: in
         turn += 1
         high = low * GROWTH - 1
         now = rest.join(labels, "doc")
-        leaders = now.filter(F.col("rank").between(low, high)).select("key", F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("shared").alias("xshared"), F.col("keys").alias("xkeys"), F.col("rank").alias("r"), F.col("comp").alias("c"))
+        leaders = now.filter(F.col("rank").between(low, high)).select("key", F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("shared").alias("xshared"), F.col("common").alias("xcommon"), F.col("rare").alias("xrare"), F.col("keys").alias("xkeys"), F.col("rank").alias("r"), F.col("comp").alias("c"))
         fresh = now.join(leaders, "key").filter((F.col("comp") != F.col("c")) & (F.col("rank").isNull() | (F.col("rank") > F.col("r"))) & sized("n", "xn") & enough() & once)
         fresh = fresh.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).join(tested, ["a", "b"], "left_anti")
         pairs = staged(fresh, f"{folder}/pairs-{turn}")
