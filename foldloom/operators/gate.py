@@ -35,29 +35,23 @@ def score(parts: DataFrame, counts: DataFrame, tau: float = 0.15, max_context: i
     the status: scored, no_continuation, too_long or no_tokens."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.countDistinct("token").alias("v")).first()
     common = counts.groupBy("token").agg(F.sum("n").alias("bg"))
-    f = parts.withColumn("fold", F.col("step_idx")).select(*FOLD, "p_lo", "comp_lo", "comp_hi", "c_lo", "c_hi")
-    near = f.join(counts, KEY)
-    step = F.col("step_idx")
-    of = lambda test: near.filter(test).groupBy(*FOLD, "token").agg(F.sum("n").alias("n"))
-    raw = of((step == -1) | step.between(F.col("p_lo"), F.col("comp_hi")))
-    kept = of((step == -1) | (step.between(F.col("p_lo"), F.col("comp_lo") - 1)))
-    memory = parts.select(KEY, F.col("step_idx").alias("fold"), F.explode(T.tokens(F.col("M"))).alias("token")).groupBy(*FOLD, "token").agg(F.count("*").alias("n"))
-    folded = kept.unionByName(memory).groupBy(*FOLD, "token").agg(F.sum("n").alias("n"))
-    wanted = of(F.col("said") & step.between(F.col("c_lo"), F.col("c_hi"))).withColumnRenamed("n", "c")
-    wanted = wanted.join(common, "token", "left")
-
-    def nll(context: DataFrame, name: str) -> DataFrame:
-        sizes = context.groupBy(*FOLD).agg(F.sum("n").alias("size"))
-        rows = wanted.join(context, [*FOLD, "token"], "left").join(sizes, FOLD, "left")
-        rare = (F.coalesce("bg", F.lit(0)) + 1) / F.lit(float(total["n"] + total["v"]))
-        p = F.when(F.coalesce("size", F.lit(0)) == 0, rare).otherwise(0.5 * F.coalesce("n", F.lit(0)) / F.col("size") + 0.5 * rare)
-        return rows.groupBy(*FOLD).agg((-F.sum(F.col("c") * F.log(p))).alias(name))
-
-    c = wanted.groupBy(*FOLD).agg(F.sum("c").alias("c_tokens"))
-    x = raw.groupBy(*FOLD).agg(F.sum("n").alias("context_tokens"))
-    met = parts.withColumn("fold", F.col("step_idx"))
-    for more in (c, x, nll(raw, "nll_raw"), nll(folded, "nll_folded")):
-        met = met.join(more, FOLD, "left")
+    f = parts.select(KEY, F.col("step_idx").alias("fold"), "p_lo", "comp_lo", "comp_hi", "c_lo", "c_hi")
+    step, head = F.col("step_idx"), F.col("step_idx") == -1
+    of = lambda test, name: F.when(test, F.col("n")).otherwise(0).alias(name)
+    # One row a fold and token: how often both contexts and the continuation have it.
+    near = f.join(counts, KEY).filter(head | step.between(F.col("p_lo"), F.coalesce("c_hi", "comp_hi"))).select(
+        *FOLD, "token", of(head | step.between(F.col("p_lo"), F.col("comp_hi")), "raw"), of(head | step.between(F.col("p_lo"), F.col("comp_lo") - 1), "folded"),
+        of(F.col("said") & step.between(F.col("c_lo"), F.col("c_hi")), "c"),
+    )
+    memory = parts.select(KEY, F.col("step_idx").alias("fold"), F.explode(T.tokens(F.col("M"))).alias("token")).select("*", F.lit(0).alias("raw"), F.lit(1).alias("folded"), F.lit(0).alias("c"))
+    per = near.unionByName(memory).groupBy(*FOLD, "token").agg(*(F.sum(x).alias(x) for x in ("raw", "folded", "c")))
+    size = Window.partitionBy(*FOLD)
+    sized = per.select("*", F.sum("raw").over(size).alias("context_tokens"), F.sum("folded").over(size).alias("folded_tokens")).join(common, "token", "left")
+    rare = (F.coalesce("bg", F.lit(0)) + 1) / F.lit(float(total["n"] + total["v"]))
+    p = lambda n, size_: F.when(F.col(size_) == 0, rare).otherwise(0.5 * F.col(n) / F.col(size_) + 0.5 * rare)
+    nll = lambda n, size_: (-F.sum(F.when(F.col("c") > 0, F.col("c") * F.log(p(n, size_))))).alias(f"nll_{n}")
+    scores = sized.groupBy(*FOLD).agg(F.sum("c").alias("c_tokens"), F.first("context_tokens").alias("context_tokens"), nll("raw", "context_tokens"), nll("folded", "folded_tokens"))
+    met = parts.withColumn("fold", F.col("step_idx")).join(scores, FOLD, "left")
     context = F.coalesce("context_tokens", F.lit(0))
     status = F.when(F.col("c_lo").isNull(), "no_continuation").when(context > max_context, "too_long").when(F.coalesce("c_tokens", F.lit(0)) == 0, "no_tokens").otherwise("scored")
     met = met.withColumn("status", status)

@@ -12,11 +12,15 @@ IGNORED = -100
 CHAT_TOKEN = r"<\|im_start\|>|<\|im_end\|>|\n|[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]"
 
 
+def turn() -> Column:
+    """A message (role, content, summary) in the chat template."""
+    body = F.concat_ws("\n", F.nullif("content", F.lit("")), F.col("summary"))
+    return F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), body, F.lit("<|im_end|>\n"))
+
+
 def rendered(messages: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
     """One chat text for each key."""
-    body = F.concat_ws("\n", F.nullif("content", F.lit("")), F.col("summary"))
-    turn = F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), body, F.lit("<|im_end|>\n"))
-    rows = F.sort_array(F.collect_list(F.struct(order, turn.alias("x"))))
+    rows = F.sort_array(F.collect_list(F.struct(order, turn().alias("x"))))
     return messages.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["x"]), "").alias("chat"))
 
 

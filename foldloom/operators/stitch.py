@@ -63,7 +63,7 @@ def rolling_examples(staged: DataFrame, chosen: DataFrame, horizon: int = 6) ->
     """Messages of one example a chosen fold (with prev_hi, prev_M, prev_signal, M): head, prior memory, the raw steps
     since, then the new memory (from ``target_from_msg`` on) and what follows."""
     f = chosen.select(KEY, F.col("step_idx").alias("fold"), "signal", "M", "comp_hi", "prev_hi", "prev_M", "prev_signal")
-    raw = f.join(raw_rows(staged), KEY)
+    raw = f.select(KEY, "fold", "comp_hi", "prev_hi").join(raw_rows(staged), KEY)
     step = F.col("step_idx")
     part = F.when(step == -1, 0).when(step.between(F.col("prev_hi") + 1, F.col("comp_hi")), 2).when(step.between(F.col("comp_hi") + 1, F.col("comp_hi") + horizon), 4)
     columns = [KEY, "fold", "part", "msg_idx", "role", "content", "tool_name", "summary"]

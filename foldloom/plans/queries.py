@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from functools import cached_property
 
@@ -26,8 +27,15 @@ FOLD_KEY = [KEY, "step_idx"]
 
 
 def kept(part: Callable[[Run], DataFrame]) -> cached_property:
-    """A part that several later ones read: held by Spark (in memory or on the executors' disks, made again if lost)."""
-    return cached_property(lambda self: part(self).persist())
+    """A small part (rows of folds) that several later ones read: checkpointed, so that their plans begin at it."""
+    return cached_property(lambda self: checkpointed(part(self)))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="foldloom-"))
+    return df.checkpoint()
 
 
 class Run:
@@ -41,7 +49,7 @@ class Run:
     def staged(self) -> DataFrame:
         return messages.with_steps(self.make(self.spark, self.sf_dir))
 
-    @kept
+    @cached_property
     def steps(self) -> DataFrame:
         return messages.steps(self.staged)
 
@@ -53,11 +61,11 @@ class Run:
     def heads(self) -> DataFrame:
         return messages.heads(self.staged)
 
-    @cached_property
+    @kept
     def folds(self) -> DataFrame:
         return folding.fold_points(self.steps, self.heads, self.rules)
 
-    @kept
+    @cached_property
     def segments(self) -> DataFrame:
         return folding.fold_tokens(self.folds, self.steps)
 
@@ -82,7 +90,7 @@ class Run:
         order = Window.partitionBy(KEY).orderBy("comp_lo")
         return done.withColumns({"prev_M": F.lag("M").over(order), "prev_signal": F.lag("signal").over(order)})
 
-    @kept
+    @cached_property
     def examples(self) -> DataFrame:
         return stitch.rolling_examples(self.staged, self.rolling)
 
@@ -230,10 +238,11 @@ def mask_filter(r: Run) -> DataFrame:
 
 
 def _rolling_ids(r: Run) -> DataFrame:
-    keys = [KEY, "fold"]
-    chat = lambda rows: mask.rendered(rows, keys).select(*keys, mask.encoded(F.col("chat")).alias("ids"))
-    context = chat(r.examples.filter("pos < target_from_msg")).withColumnRenamed("ids", "context")
-    return chat(r.examples).join(context, keys)
+    """Ids of each example and of its context, from one pass over its messages."""
+    turns = F.sort_array(F.collect_list(F.struct("pos", mask.turn().alias("x"))))
+    rows = r.examples.groupBy(KEY, "fold").agg(turns.alias("t"), F.max("target_from_msg").alias("target"))
+    text = lambda t: mask.encoded(F.array_join(F.transform(t, lambda m: m["x"]), ""))
+    return rows.select(KEY, "fold", text(F.col("t")).alias("ids"), text(F.filter("t", lambda m: m["pos"] < F.col("target"))).alias("context"))
 
 
 def rolling_mask(r: Run) -> DataFrame:
