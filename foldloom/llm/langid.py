@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import hashed_sample, row_chunks, text_buffer
+from foldloom.llm.common import bounded, hashed_sample, row_chunks, text_buffer
 
 STRETCH = 64
 #: Stretches that run through the network together: their states stay in the processor's cache.
@@ -218,6 +218,7 @@ def train(labelled: DataFrame, training: Training = Training()) -> Network:
 
 def predict(df: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row of ``df``, from its text alone."""
+    bounded(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +227,7 @@ def predict(df: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
         for batch in batches:
             raw, offsets = text_buffer(batch.column(1))
             letters = batch.column(2).to_numpy(zero_copy_only=False)
-            for i, j in row_chunks(offsets, 2_000_000):
+            for i, j in row_chunks(offsets):
                 at = offsets[i : j + 1] - offsets[i]
                 if model.languages:
                     p = pooled(model, raw[offsets[i] : offsets[j]], at)
@@ -242,13 +243,14 @@ def predict(df: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
 
 def keep_known(df: DataFrame, network: Network, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns as they are, whose text has a letter and a language of at least ``least``."""
+    bounded(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(network)
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffer(batch.column(place))
-            for i, j in row_chunks(offsets, 2_000_000):
+            for i, j in row_chunks(offsets):
                 part = batch.slice(i, j - i)
                 good = np.array([t is not None and any(map(str.isalpha, t)) for t in part.column(place).to_pylist()], bool)
                 if shared.value.languages:

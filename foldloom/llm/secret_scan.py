@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import keyed, text_chunks
+from foldloom.llm.common import bounded, keyed, text_chunks
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -216,6 +216,7 @@ def redact(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
 def redact_documents(df: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """The rows of ``df`` with every secret's stretch of the text replaced and the size (if there is one) renewed;
     texts without a secret stay as they are."""
+    bounded(df.sparkSession)
     text, size = df.columns.index(text_col), df.columns.index(size_col) if size_col in df.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
