@@ -88,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.ORACLE}
+    return {"op1_substring_dedup": substring_dedup.ORACLE, "op5_quality_rules": quality_rules.ORACLE}

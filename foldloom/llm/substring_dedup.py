@@ -232,3 +232,14 @@ def dedup(df: DataFrame, folder: str, batches: int = 3, fanout: int = 4, id_col:
         done = index.add(batch)
         out = done if out is None else out.unionByName(done)
     return out
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, s, array_to_string(ws[s : s + 19], ' ') AS k FROM w, unnest(range(1, len(ws) - 18)) AS u(s)),
+f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM g),
+c AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(s, s + 20)) AS p FROM f WHERE r > 1)),
+l AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+k AS (SELECT l.doc_id, count(c.p) AS gone, string_agg(l.word, ' ' ORDER BY l.p) FILTER (c.p IS NULL) AS kept FROM l LEFT JOIN c ON c.doc_id = l.doc_id AND c.p = l.p GROUP BY l.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
