@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import BASES, Rolling, keyed, mixed, row_chunks, staged, text_buffer, tidy, word_bounds, word_hashes
+from foldloom.llm.common import BASES, Rolling, keyed, mixed, remove, row_chunks, staged, text_buffer, tidy, word_bounds, word_hashes
 
 SHINGLE = 5
 #: Texts that may have a rare k-mer in common; rare k-mers of a text that are listed with it.
@@ -202,7 +202,8 @@ def near_duplicates(df: DataFrame, folder: str, least: float = 0.8, sketches: in
     """``doc_id`` and ``class_id`` (the least id of its class) of every row. ``folder``: shared, for stored steps."""
     spark = df.sparkSession
     docs = keyed(df, id_col, text_col)
-    sketched = staged(sketches_of(docs, sketches, picked), f"{folder}/sketched")
+    kept, folder = folder, f"{folder}/steps"
+    sketched = staged(sketches_of(docs, sketches, picked), f"{kept}/sketched")
     tidy(spark)
     worded = sketched.filter("digest IS NOT NULL")
     texts_of = worded.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min_by(F.struct("n", "keys"), "doc_id").alias("s"))
@@ -255,5 +256,8 @@ def near_duplicates(df: DataFrame, folder: str, least: float = 0.8, sketches: in
         tidy(spark)
         low = high + 1
     classes = firsts.select("digest", "doc").join(labels, "doc", "left").select("digest", F.coalesce("comp", "doc").alias("class_id"))
+    classes = staged(classes, f"{kept}/classes")
+    remove(spark, folder)
+    tidy(spark)
     placed = worded.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", "class_id")
     return placed.unionByName(sketched.filter("digest IS NULL").select("doc_id", F.col("doc_id").alias("class_id")))

@@ -200,6 +200,12 @@ class FingerprintIndex:
         joined = texts.join(covers, "doc_id", "left").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", "covers")
         return joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
 
+    def forget(self) -> None:
+        """Drop the runs; results that were returned only need the texts."""
+        for _, name in self.runs:
+            self._drop(name)
+        self.runs = []
+
     def _compact(self) -> None:
         """Merge ``fanout`` runs of one level; of equal fingerprints in equal surroundings the first stays."""
         level = 0
@@ -231,6 +237,7 @@ def dedup(df: DataFrame, folder: str, batches: int = 3, fanout: int = 4, id_col:
             batch = batch.filter(F.col("doc_id") <= high)
         done = index.add(batch)
         out = done if out is None else out.unionByName(done)
+    index.forget()
     return out
 
 
