@@ -183,23 +183,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class Pieces(dict):
-    """Ids of known pieces; asking for another one notes it."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.asked: set[str] = set()
-
-    def __missing__(self, piece: str) -> None:
-        self.asked.add(piece)
-
-
 class Encoder:
     """Ids of whole texts through a cache of pieces. ``library``: new pieces go to the ``tokenizers`` library,
     else to the merge rounds. Pieces are encoded apart from each other, so their ids don't depend on the text around."""
 
     def __init__(self, path: str, library: bool = False):
-        self.known = Pieces()
+        self.known: dict[str, bytes] = {}
         self.path = path
         if library:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -230,11 +219,9 @@ class Encoder:
         pieces, bounds = split_pieces(texts, self.special)
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
+        if new := list(set(pieces).difference(self.known)):
+            self._learn(new)
         ids = list(map(self.known.__getitem__, pieces))
-        if self.known.asked:
-            self._learn(list(self.known.asked))
-            self.known.asked.clear()
-            ids = list(map(self.known.__getitem__, pieces))
         return [np.frombuffer(b"".join(ids[a:b]), "<u4") for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
 
 

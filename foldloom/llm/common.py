@@ -49,9 +49,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def bounded(spark: SparkSession) -> None:
+def bounded(spark: SparkSession, rows: int = 1000) -> None:
     """Small Arrow batches: what a Python worker and the JVM hold at a time doesn't grow with the number of short texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

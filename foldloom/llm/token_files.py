@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.llm.bpe import encoder
-from foldloom.llm.common import keyed, partitions, staged, text_chunks
+from foldloom.llm.common import bounded, keyed, partitions, staged, text_chunks
 
 MAGIC = b"FLTOKEN1"
 SAMPLE = 256
@@ -124,7 +124,7 @@ def write(df: DataFrame, path: str, folder: str, end_id: int = 2, vocabulary_siz
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([before]), pa.array([size]), pa.array([pack(docs, ids, vocabulary_size)], pa.binary())], ["part", "file", "before", "n_ids", "payload"])
 
         for batch in batches:
-            for piece in text_chunks(batch):
+            for piece in text_chunks(batch, limit=4_000_000):
                 for doc, x in zip(piece.column(0).to_pylist(), encode([t or "" for t in piece.column(1).to_pylist()]), strict=True):
                     docs.append(doc)
                     ids.append(np.concatenate([x, end]))
@@ -136,6 +136,7 @@ def write(df: DataFrame, path: str, folder: str, end_id: int = 2, vocabulary_siz
             yield row()
 
     rows = keyed(df, id_col, text_col).repartitionByRange(partitions(df.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    bounded(df.sparkSession, 10_000)
     return staged(rows.mapInArrow(run, "part int, file int, before long, n_ids long, payload binary"), folder)
 
 
