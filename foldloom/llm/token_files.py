@@ -111,7 +111,7 @@ class TokenFile:
         return [None] * self.nulls + (self.ids_of_docs.all() + self.low).tolist(), np.concatenate([[0], self.ends.all()]).astype(np.int64)
 
 
-def write(df: DataFrame, path: str, folder: str, end_id: int = 2, vocabulary_size: int = 50_257, file_ids: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(df: DataFrame, path: str, folder: str, end_id: int = 2, vocabulary_size: int = 50_257, file_ids: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode whole texts with the tokenizers library, append ``end_id``, and store files of about ``file_ids`` ids
     under ``folder`` in ascending document order. Returns the stored table: part, file, before (ids of the part's
     earlier files), n_ids, payload."""
@@ -124,7 +124,7 @@ def write(df: DataFrame, path: str, folder: str, end_id: int = 2, vocabulary_siz
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([before]), pa.array([size]), pa.array([pack(docs, ids, vocabulary_size)], pa.binary())], ["part", "file", "before", "n_ids", "payload"])
 
         for batch in batches:
-            for piece in text_chunks(batch, limit=4_000_000):
+            for piece in text_chunks(batch, limit=3_000_000):
                 for doc, x in zip(piece.column(0).to_pylist(), encode([t or "" for t in piece.column(1).to_pylist()]), strict=True):
                     docs.append(doc)
                     ids.append(np.concatenate([x, end]))
@@ -136,7 +136,7 @@ def write(df: DataFrame, path: str, folder: str, end_id: int = 2, vocabulary_siz
             yield row()
 
     rows = keyed(df, id_col, text_col).repartitionByRange(partitions(df.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    bounded(df.sparkSession, 10_000)
+    bounded(df.sparkSession, 5_000)
     return staged(rows.mapInArrow(run, "part int, file int, before long, n_ids long, payload binary"), folder)
 
 
