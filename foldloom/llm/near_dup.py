@@ -2,8 +2,11 @@
 
 The k-mers of a text are its runs of five words, each labelled with its occurrence number. A sketch takes the
 ``picked`` labelled k-mers with the least hashes and keeps them in text order; two texts are candidates if one of the
-``sketches`` tuples is equal (with the defaults a pair of similarity 0.8 is missed about six times in 100,000, more
-similar pairs less often), unless exact bounds on their common k-mers rule the threshold out. A candidate pair is verified by aligning the two sequences of labelled k-mers: matches
+``sketches`` tuples is equal, unless exact bounds on their common k-mers rule the threshold out. A pair with m aligned
+of u k-mers in all is missed with probability (1 - C(m, 6) / C(u, 6)) ^ 32 at most: at similarity 0.8 six times in
+100,000 for long texts, 21 times for 28 of 35. Texts of at most ``EXACT`` k-mers, for which that would be more, are
+candidates without chance: of a k-mers a similar text has at least 0.8 a, so two similar texts share one of the
+a - 0.8 a + 1 k-mers of each with the least hashes. A candidate pair is verified by aligning the two sequences of labelled k-mers: matches
 off the band that the threshold allows can't belong to a sufficient alignment, and as no label occurs twice in a text,
 the best alignment in the band is a longest increasing subsequence. m aligned of a and b k-mers make a similarity of
 m / (a + b - m).
@@ -21,6 +24,7 @@ share its links.
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -34,6 +38,8 @@ from foldloom.llm.common import BASES, Rolling, keyed, mixed, remove, row_chunks
 SHINGLE = 5
 #: Texts that may have a rare k-mer in common; rare k-mers of a text that are listed with it.
 RARE, LISTED = 8, 32
+#: Pairs of texts of at most so many k-mers are found by a prefix filter, not by sketches.
+EXACT = 32
 #: How fast the number of texts of a bucket grows that are compared with the rest of it in a round.
 GROWTH = 8
 
@@ -81,6 +87,20 @@ def sketch(labels: np.ndarray, sketches: int, picked: int) -> np.ndarray:
     return keys
 
 
+def prefix(labels: np.ndarray, least: float) -> np.ndarray:
+    """Keys of the least labels of a text: any two texts that are similar enough share one."""
+    n = len(labels)
+    return mixed(np.sort(labels)[: n - math.ceil(least * n - 1e-9) + 1] ^ np.uint64(BASES[2]))
+
+
+def keys_of(labels: np.ndarray, sketches: int, picked: int, least: float) -> np.ndarray:
+    """Keys of a text's buckets. Sketches are only for texts that a similar text of over ``EXACT`` k-mers may have."""
+    keys = [prefix(labels, least)] if 0 < len(labels) <= EXACT else []
+    if len(labels) > EXACT * least + 1e-9:
+        keys.append(sketch(labels, sketches, picked))
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]))
+
+
 def similarity(one: bytes, other: bytes, least: float) -> float:
     """Similarity by banded alignment, 0 where it can't reach ``least``."""
     a, b = one.split(), other.split()
@@ -112,7 +132,7 @@ def similarity(one: bytes, other: bytes, least: float) -> float:
     return len(tails) / (n + m - len(tails)) if len(tails) >= need else 0.0
 
 
-def sketches_of(df: DataFrame, sketches: int, picked: int) -> DataFrame:
+def sketches_of(df: DataFrame, sketches: int, picked: int, least: float) -> DataFrame:
     """doc_id, digest of the words (null without words), number of k-mers, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +148,7 @@ def sketches_of(df: DataFrame, sketches: int, picked: int) -> DataFrame:
                     words = part[at[k] : at[k + 1]].tobytes().split()
                     digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
                     mine = labels[cut[k] : cut[k + 1]]
-                    keys.append(sketch(mine, sketches, picked).view(np.int64) if len(mine) else np.zeros(0, np.int64))
+                    keys.append(keys_of(mine, sketches, picked, least).view(np.int64))
                 bands = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), np.concatenate(keys))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(digests, pa.binary()), pa.array(np.diff(cut).astype(np.int32)), bands], ["doc_id", "digest", "n", "keys"])
 
@@ -203,7 +223,7 @@ def near_duplicates(df: DataFrame, folder: str, least: float = 0.8, sketches: in
     spark = df.sparkSession
     docs = keyed(df, id_col, text_col)
     kept, folder = folder, f"{folder}/steps"
-    sketched = staged(sketches_of(docs, sketches, picked), f"{kept}/sketched")
+    sketched = staged(sketches_of(docs, sketches, picked, least), f"{kept}/sketched")
     tidy(spark)
     worded = sketched.filter("digest IS NOT NULL")
     texts_of = worded.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min_by(F.struct("n", "keys"), "doc_id").alias("s"))

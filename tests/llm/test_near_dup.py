@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from foldloom.llm import common, near_dup
@@ -92,3 +93,36 @@ def test_odd_rows(spark, odd, empty):
     got = [(r.doc_id, r.class_id) for r in near_dup.near_duplicates(odd, common.shared_dir(spark)).collect()]
     assert sorted(got, key=str) == sorted(((d, d) for d, _ in ODD), key=str)
     assert near_dup.near_duplicates(empty, common.shared_dir(spark)).collect() == []
+
+
+@pytest.fixture
+def short():
+    """Families of texts of 5 to 40 words with words put on or taken off at their ends, and a line that many share."""
+    rng, rows = random.Random(11), [["w1", "w2", "w3", "w4", "w5", "w6", "w7", "w8"], ["w1", "w2", "w3", "w4", "w5", "w6", "w7", "w8", "w9"]]
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    line = [word() for _ in range(7)]
+    for n in range(5, 41):
+        for _ in range(4):
+            base = [word() for _ in range(n)]
+            for _ in range(3):
+                front, back = rng.randint(-2, 2), rng.randint(-2, 2)
+                rows.append([word() for _ in range(front)] + base[max(0, -front) : n + min(0, back)] + [word() for _ in range(back)])
+    rows += [line + [word() for _ in range(rng.randint(0, 4))] for _ in range(30)]
+    rng.shuffle(rows)
+    return [(i, " ".join(x)) for i, x in enumerate(rows)]
+
+
+def test_short_texts_equal_brute_force(spark, short):
+    assert run(spark, short) == brute(short)
+
+
+def test_prefix_misses_no_pair():
+    """All sizes under the limit: with m of a and b labels in common at 0.8, one key at least is equal."""
+    rng = np.random.default_rng(2)
+    for a in range(1, near_dup.EXACT + 1):
+        for b in range(a, near_dup.EXACT + 1):
+            m = -(-4 * (a + b) // 9)
+            if m <= a:
+                labels = rng.integers(0, 1 << 63, a + b - m).astype(np.uint64)
+                one, other = (near_dup.keys_of(x, 32, 6, 0.8) for x in (labels[:a], labels[a - m :]))
+                assert len(np.intersect1d(one, other))
