@@ -1,7 +1,7 @@
 """Secret scans over a worklist of decoded layers.
 
 Layers of a text: its URL escapes undone, its Unicode and HTML number escapes undone, and each base64 token decoded
-(gzip, zlib and bzip2 data are unpacked). Every new layer is scanned and goes on the worklist itself; a layer that
+(gzip, zlib and bzip2 data are unpacked, all members and down to what isn't compressed). Every new layer is scanned and goes on the worklist itself; a layer that
 was met before at the same place ends there, so cycles end and the worklist reaches its fixpoint. Each character of
 a layer knows the stretch of the source text it came from, and found spans are given in code points of the source.
 
@@ -16,7 +16,7 @@ import binascii
 import bz2
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -110,28 +110,66 @@ def escape_cuts(text: str) -> list[tuple[int, int, str]]:
     return cuts
 
 
-def unpacked(raw: bytes) -> Iterator[bytes]:
-    """The data itself, or what it holds if it is compressed, in bounded stretches."""
-    if raw[:2] == b"\x1f\x8b":
-        engine = zlib.decompressobj(31)
-    elif len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        engine = zlib.decompressobj(15)
-    elif raw[:3] == b"BZh":
-        engine = bz2.BZ2Decompressor()
-    else:
-        yield raw
-        return
-    keep, more = b"", raw
-    try:
-        while more or (isinstance(engine, bz2.BZ2Decompressor) and not engine.needs_input and not engine.eof):
-            part = engine.decompress(more, MAX_LAYER)
-            more = b"" if isinstance(engine, bz2.BZ2Decompressor) else engine.unconsumed_tail
-            if not part:
+def opened(head: bytes) -> object | None:
+    """A decompressor for data that begins like this."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if len(head) > 2 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj(15)
+    return bz2.BZ2Decompressor() if head[:3] == b"BZh" else None
+
+
+def members(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """What a compressed stream holds, one member after the other, in pieces of bounded size."""
+    engine, held = None, b""
+    for piece in pieces:
+        held += piece
+        while True:
+            if engine is None and (engine := opened(held)) is None:
+                if len(held) > 2:
+                    return
+                break
+            try:
+                part = engine.decompress(held, MAX_LAYER)
+            except (zlib.error, OSError, EOFError):
+                return
+            if part:
+                yield part
+            if engine.eof:
+                engine, held = None, engine.unused_data
+                continue
+            held = getattr(engine, "unconsumed_tail", b"")
+            if not held and len(part) < MAX_LAYER:
                 break
-            yield keep + part
-            keep = part[-OVERLAP:]
-    except (zlib.error, OSError, EOFError):
-        return
+
+
+def stretches(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The stream in stretches of ``MAX_LAYER`` bytes that overlap."""
+    held = bytearray()
+    for piece in pieces:
+        held += piece
+        while len(held) > MAX_LAYER:
+            yield bytes(held[:MAX_LAYER])
+            del held[: MAX_LAYER - min(OVERLAP, MAX_LAYER // 2)]
+    if held:
+        yield bytes(held)
+
+
+def unpacked(raw: memoryview) -> Iterator[bytes]:
+    """What compressed data holds, and what that holds, down to what isn't compressed (or was met before)."""
+    met, head = set(), bytes(raw[:3])
+    source = lambda: (bytes(raw[i : i + 65_536]) for i in range(0, len(raw), 65_536))
+    while opened(head) is not None:
+        inner, head, count = (lambda source=source: members(source())), b"", 0
+        for part in stretches(inner()):
+            head, count = head if count else part, count + 1
+            yield part
+        if count == 1:
+            if head in met:
+                return
+            met.add(head)
+            inner = lambda data=head: iter((data,))
+        source = inner
 
 
 def printable(raw: bytes) -> str | None:
@@ -154,7 +192,7 @@ def base64_layers(layer: Layer) -> Iterator[Layer]:
             raw = base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        for part in unpacked(raw):
+        for part in unpacked(memoryview(raw)) if opened(raw) is not None else (raw,):
             if (text := printable(part)) is not None:
                 yield Layer(text, whole=layer.source(m.start(), m.end()))
 

@@ -71,6 +71,23 @@ def test_short_match_takes_its_text_with_it():
     assert find_secrets("token: secret: abcdefghij") == []
 
 
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+def caught(text, low=0, high=None):
+    """A decoded assignment within the stretch."""
+    return any(k == 0 and low <= a < b <= (high or len(text)) and not base for k, a, b, base in find_secrets(text))
+
+
+@pytest.mark.parametrize("outer", [gzip.compress, zlib.compress, bz2.compress])
+@pytest.mark.parametrize("inner", [gzip.compress, zlib.compress, bz2.compress])
+def test_compressed_twice_and_members(outer, inner):
+    assert caught("x " + b64(outer(inner(SECRET.encode()))) + " y", 2)
+    assert caught("x " + b64(outer(outer(inner(SECRET.encode())))))
+    assert caught(b64(outer(b"first") + inner(b"second " + SECRET.encode())))
+
+
 def test_base_equals_the_contract():
     for _, text in small_documents():
         assert [(a, k, b) for k, a, b, base in find_secrets(text) if base] == plain(text)
