@@ -17,6 +17,7 @@ import bz2
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -192,7 +193,7 @@ def base64_layers(layer: Layer) -> Iterator[Layer]:
             raw = base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        for part in unpacked(memoryview(raw)) if opened(raw) is not None else (raw,):
+        for part in chain((raw,), unpacked(memoryview(raw))):
             if (text := printable(part)) is not None:
                 yield Layer(text, whole=layer.source(m.start(), m.end()))
 

@@ -88,6 +88,11 @@ def test_compressed_twice_and_members(outer, inner):
     assert caught(b64(outer(b"first") + inner(b"second " + SECRET.encode())))
 
 
+@pytest.mark.parametrize("begin", ["x = ", "8080: ", "hb ", "HK ", "(S ", "BZh "])
+def test_text_that_looks_compressed(begin):
+    assert caught("see " + b64((begin + SECRET.replace(" ", "")).encode()), 4)
+
+
 def test_base_equals_the_contract():
     for _, text in small_documents():
         assert [(a, k, b) for k, a, b, base in find_secrets(text) if base] == plain(text)
