@@ -5,8 +5,8 @@ Layers of a text: its URL escapes undone, its Unicode and HTML number escapes un
 was met before at the same place ends there, so cycles end and the worklist reaches its fixpoint. Each character of
 a layer knows the stretch of the source text it came from, and found spans are given in code points of the source.
 
-Defined results: null text counts as empty and has no spans; equal spans of one kind are given once; what doesn't
-decode to printable UTF-8 is no layer. Unpacked data over ``MAX_LAYER`` bytes is scanned in overlapping stretches.
+Defined results: null text counts as empty and has no spans; equal spans of one kind are given once; decoded
+bytes are scanned as they are, whether they are UTF-8 or not. Unpacked data over ``MAX_LAYER`` bytes is scanned in overlapping stretches.
 """
 
 from __future__ import annotations
@@ -173,17 +173,6 @@ def unpacked(raw: memoryview) -> Iterator[bytes]:
         source = inner
 
 
-def printable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        try:  # a stretch may begin or end inside a character
-            text = raw[3:-3].decode("utf-8", "strict") if len(raw) >= MAX_LAYER else None
-        except UnicodeDecodeError:
-            return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
-
-
 def base64_layers(layer: Layer) -> Iterator[Layer]:
     for m in BASE64.finditer(layer.text):
         token = m[0].rstrip("=").replace("-", "+").replace("_", "/")
@@ -194,8 +183,8 @@ def base64_layers(layer: Layer) -> Iterator[Layer]:
         except (binascii.Error, ValueError):
             continue
         for part in chain((raw,), unpacked(memoryview(raw))):
-            if (text := printable(part)) is not None:
-                yield Layer(text, whole=layer.source(m.start(), m.end()))
+            # Patterns are ASCII, so a character is made of each byte, whatever it is.
+            yield Layer(part.decode("latin-1"), whole=layer.source(m.start(), m.end()))
 
 
 def find_secrets(text: str) -> list[tuple[int, int, int, bool]]:

@@ -93,6 +93,13 @@ def test_text_that_looks_compressed(begin):
     assert caught("see " + b64((begin + SECRET.replace(" ", "")).encode()), 4)
 
 
+@pytest.mark.parametrize("char", ["\u00a0", "\u3000", "\u200b", "\ufeff", "\x1b", "\f", "\0"])
+def test_characters_that_are_not_printable(char):
+    data = f"one{char}\n{SECRET}\ntwo".encode()
+    assert caught(b64(data)) and caught(b64(gzip.compress(data))) and caught(b64(b64(data).encode() + char.encode()))
+    assert caught(b64(b"caf\xe9 " + SECRET.encode()))
+
+
 def test_base_equals_the_contract():
     for _, text in small_documents():
         assert [(a, k, b) for k, a, b, base in find_secrets(text) if base] == plain(text)
