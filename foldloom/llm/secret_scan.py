@@ -1,7 +1,8 @@
 """Secret scans over a worklist of decoded layers.
 
-Layers of a text: its URL escapes undone, its Unicode and HTML number escapes undone, and each base64 token decoded
-(gzip, zlib and bzip2 data are unpacked, all members and down to what isn't compressed). Every new layer is scanned and goes on the worklist itself; a layer that
+Layers of a text: its URL escapes undone, its Unicode and HTML number escapes undone, and each base64 token decoded in
+its four alignments, also over line ends (gzip, zlib and bzip2 data that begins with the token, or after a line end,
+'/', '-' or '_', is unpacked too, all members and down to what isn't compressed). Every new layer is scanned and goes on the worklist itself; a layer that
 was met before at the same place ends there, so cycles end and the worklist reaches its fixpoint. Each character of
 a layer knows the stretch of the source text it came from, and found spans are given in code points of the source.
 
@@ -11,13 +12,13 @@ bytes are scanned as they are, whether they are UTF-8 or not. Unpacked data over
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import re
 import zlib
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,9 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{?([0-9A-Fa-f]{4,6})\}?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+CUT = re.compile(r"[/_-]")
 MAX_LAYER = 16_000_000
 OVERLAP = 100_000
 
@@ -50,14 +54,16 @@ def base_spans(text: str) -> list[Span]:
 
 
 class Layer:
-    """A text and where its characters came from: ``starts[i]`` to ``stops[i]``, or all from one stretch."""
+    """A text and where its characters came from: ``starts[i]`` to ``stops[i]``, or all from one stretch, or what ``place`` says."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, stops: list[int] | None = None, whole: tuple[int, int] | None = None):
-        self.text, self.starts, self.stops, self.whole = text, starts, stops, whole
+    def __init__(self, text: str, starts: list[int] | None = None, stops: list[int] | None = None, whole: tuple[int, int] | None = None, place: Callable[[int, int], tuple[int, int]] | None = None):
+        self.text, self.starts, self.stops, self.whole, self.place = text, starts, stops, whole, place
 
     def source(self, start: int, stop: int) -> tuple[int, int]:
         if self.whole:
             return self.whole
+        if self.place:
+            return self.place(start, stop)
         if self.starts is None:
             return start, stop
         return self.starts[start], self.stops[stop - 1]
@@ -173,18 +179,61 @@ def unpacked(raw: memoryview) -> Iterator[bytes]:
         source = inner
 
 
+def _readable(raw: bytes) -> bool:
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def token_layers(layer: Layer, token: str, at: Callable[[int], int], stop: int, cuts: list[int], exact: bool) -> Iterator[Layer]:
+    """Layers of a base64 token in each of its four alignments, and of compressed data from each of ``cuts`` on.
+
+    ``at``: places of the token's characters. What is found stands for the token from a cut on, or (``exact``) for the
+    characters that it was decoded from. Patterns are ASCII, so a character is made of each byte, whatever it is.
+    """
+    token = token.replace("-", "+").replace("_", "/")
+    for r in range(4):
+        part = token[r : len(token) - ((len(token) - r) % 4 == 1)]
+        raw = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+        mine = [c for c in cuts if c % 4 == r]
+
+        def place(i: int, j: int, r: int = r, raw: bytes = raw, mine: list[int] = mine) -> tuple[int, int]:
+            first = r + 8 * i // 6
+            if exact:
+                return layer.source(at(first), at(r + (8 * j - 1) // 6) + 1)
+            before = mine[: bisect_right(mine, first)]
+            begin = next((c for c in before if _readable(raw[(c - r) // 4 * 3 : i])), before[0] if before else r)
+            return layer.source(at(begin), stop)
+
+        if raw:
+            yield Layer(raw.decode("latin-1"), place=place)
+        for c in sorted({r, *mine}):
+            o = (c - r) // 4 * 3
+            if opened(raw[o : o + 3]) is not None:
+                for inner in unpacked(memoryview(raw)[o:]):
+                    yield Layer(inner.decode("latin-1"), whole=layer.source(at(c), stop))
+
+
 def base64_layers(layer: Layer) -> Iterator[Layer]:
     for m in BASE64.finditer(layer.text):
-        token = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(token) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
-        except (binascii.Error, ValueError):
+        token = m[0].rstrip("=")
+        cuts = [0, *(i.end() for i in CUT.finditer(token))]
+        yield from token_layers(layer, token, lambda i, m=m: m.start() + i, m.end(), cuts, False)
+    for m in WRAPPED.finditer(layer.text) if "\n" in layer.text or "\r" in layer.text else ():
+        lines = [(x.start(), x[0]) for x in LINE.finditer(layer.text, m.start(), m.end())]
+        token = "".join(x for _, x in lines)
+        if len(token) < 16:
             continue
-        for part in chain((raw,), unpacked(memoryview(raw))):
-            # Patterns are ASCII, so a character is made of each byte, whatever it is.
-            yield Layer(part.decode("latin-1"), whole=layer.source(m.start(), m.end()))
+        begins = [0, *accumulate(len(x) for _, x in lines)][:-1]
+
+        def at(i: int, lines: list[tuple[int, str]] = lines, begins: list[int] = begins) -> int:
+            k = bisect_right(begins, i) - 1
+            return lines[k][0] + i - begins[k]
+
+        cuts = sorted({*begins, *(i.end() for i in CUT.finditer(token))})
+        yield from token_layers(layer, token, at, m.end(), cuts, True)
 
 
 def find_secrets(text: str) -> list[tuple[int, int, int, bool]]:

@@ -100,6 +100,24 @@ def test_characters_that_are_not_printable(char):
     assert caught(b64(b"caf\xe9 " + SECRET.encode()))
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+def test_wrapped_base64(end):
+    noise = hashlib.sha512(b"x").hexdigest().upper()[:70].replace("A", "?")
+    for data in (b"z" * 50 + SECRET.encode() + b" and more " * 9, gzip.compress((noise * 3 + SECRET).encode())):
+        lines = [b64(data)[i : i + 76] for i in range(0, len(b64(data)), 76)]
+        assert len(lines) > 1
+        text = "see (" + end.join(lines) + ") end"
+        assert caught(text, 5, len(text) - 5)
+
+
+@pytest.mark.parametrize("before", ["config/", "key-", "a_", "/usr/lib/", "ab", "configs/"])
+def test_base64_after_other_characters(before):
+    text = before + b64(b"see " + SECRET.encode())
+    assert caught(text) and redact(text, find_secrets(text)).startswith(before if before != "ab" else "")
+    if before != "ab":
+        assert caught(before + b64(gzip.compress(SECRET.encode())), len(before))
+
+
 def test_base_equals_the_contract():
     for _, text in small_documents():
         assert [(a, k, b) for k, a, b, base in find_secrets(text) if base] == plain(text)
