@@ -7,7 +7,7 @@ was met before at the same place ends there, so cycles end and the worklist reac
 a layer knows the stretch of the source text it came from, and found spans are given in code points of the source.
 
 Defined results: null text counts as empty and has no spans; equal spans of one kind are given once; decoded
-bytes are scanned as they are, whether they are UTF-8 or not. Unpacked data over ``MAX_LAYER`` bytes is scanned in overlapping stretches.
+bytes are scanned as they are, whether they are UTF-8 or not. Unpacked data over ``MAX_LAYER`` bytes is scanned in overlapping stretches of bytes.
 """
 
 from __future__ import annotations

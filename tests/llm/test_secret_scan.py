@@ -118,6 +118,15 @@ def test_base64_after_other_characters(before):
         assert caught(before + b64(gzip.compress(SECRET.encode())), len(before))
 
 
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_long_layers_of_wide_characters(size, monkeypatch):
+    monkeypatch.setattr(secret_scan, "MAX_LAYER", 1000)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 100)
+    char = ["x", "é", "日"][size - 1]
+    for n in (400, 990 // size, 1500):
+        assert caught(b64(gzip.compress((char * n + " " + SECRET + " " + char * 700).encode())))
+
+
 def test_base_equals_the_contract():
     for _, text in small_documents():
         assert [(a, k, b) for k, a, b, base in find_secrets(text) if base] == plain(text)
