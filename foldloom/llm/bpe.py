@@ -7,17 +7,24 @@ Its path is a parameter; nothing is copied.
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import os
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+
+from foldloom.llm.common import CHUNK_BYTES, text_buffer
 
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN = 0, 1, 2, 3, 4
 #: The white space of the splitting pattern.
 WHITE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Pieces kept by a worker; beyond it the cache starts anew.
 CACHE_PIECES = 700_000
+#: Pieces of more bytes are merged by rank over all of them, not round by round.
+LONG = 64
 
 
 @functools.cache
@@ -83,32 +90,57 @@ def piece_starts(points: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def split_pieces(texts: list[str], special: str = "") -> tuple[list[str], np.ndarray]:
-    """Pieces of all texts in order and the n+1 piece offsets of the texts.
-
-    An occurrence of ``special`` is one piece.
-    """
-    whole = "".join(texts)
-    ends = np.cumsum([0, *map(len, texts)])
-    breaks, inside = ends, []
-    if special and special in whole:
-        cuts = []
-        for base, text in zip(ends.tolist(), texts, strict=False):
-            at = text.find(special)
-            while at >= 0:
-                cuts += [base + at, base + at + len(special)]
-                inside.append(base + at)
-                at = text.find(special, at + len(special))
-        breaks = np.union1d(ends, cuts)
-    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
-    starts = piece_starts(points, breaks)
-    if inside:
-        skip = np.zeros(len(points) + 1, bool)
-        for at in inside:
+def special_places(raw: np.ndarray, offsets: np.ndarray, special: bytes) -> list[int]:
+    """Where ``special`` occurs inside the rows, from the left and without overlaps."""
+    data, found = raw.tobytes(), []
+    if not special or special not in data:
+        return found
+    at = data.find(special)
+    while at >= 0:
+        inside = at + len(special) <= int(offsets[np.searchsorted(offsets, at, "right")])
+        found += [at] if inside else []
+        at = data.find(special, at + (len(special) if inside else 1))
+    return found
+
+
+def split_pieces(raw: np.ndarray, offsets: np.ndarray, special: bytes = b"") -> np.ndarray:
+    """Byte places where the pieces of UTF-8 rows start. An occurrence of ``special`` is one piece."""
+    places = special_places(raw, offsets, special)
+    cuts = np.array([c for at in places for c in (at, at + len(special))], np.int64)
+    breaks = np.union1d(offsets, cuts)
+    if raw.max(initial=0) < 128:
+        starts = piece_starts(raw, breaks[breaks < len(raw)])
+    else:
+        first = np.flatnonzero((raw & 0xC0) != 0x80)
+        points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4")
+        starts = first[piece_starts(points, np.searchsorted(first, breaks[breaks < len(raw)]))]
+    if places:
+        skip = np.zeros(len(raw) + 1, bool)
+        for at in places:
             skip[at + 1 : at + len(special)] = True
         starts = starts[~skip[starts]]
-    cut = starts.tolist() + [len(whole)]
-    return [whole[a:b] for a, b in zip(cut, cut[1:], strict=False)], np.searchsorted(starts, ends)
+    return starts
+
+
+def windows(raw: np.ndarray, offsets: np.ndarray, limit: int, special: bytes = b"") -> Iterator[tuple[int, int]]:
+    """Byte ranges of about ``limit`` bytes that together are all of ``raw``. They end with a row or, inside a long one,
+    before a blank between two ASCII letters (a piece always starts there)."""
+    at, n = 0, len(raw)
+    while at < n:
+        end, size = n, limit
+        while at + size < n:
+            row = int(offsets[np.searchsorted(offsets, at + size, "right") - 1])
+            if row > at:
+                end = row
+                break
+            part = raw[at : at + size + 1] | 32
+            blank = (raw[at + 1 : at + size] == 32) & (part[:-2] >= 97) & (part[:-2] <= 122) & (part[2:] >= 97) & (part[2:] <= 122)
+            if len(blanks := np.flatnonzero(blank)) and not (special and b" " in special):
+                end = at + 1 + int(blanks[-1])
+                break
+            size *= 2
+        yield at, end
+        at = end
 
 
 class Vocabulary:
@@ -139,30 +171,39 @@ class Vocabulary:
         for word, i in self.special.items():
             self.token_bytes[i] = word.encode()
 
+    def ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each pair among the sorted pair keys, and its rank (``never`` if it doesn't merge)."""
+        pair = (left << 32) | right
+        found = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return found, np.where(self.keys[found] == pair, self.ranks[found], len(self.keys))
+
     def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece: in each round every piece merges its lowest-ranked pair, all pieces at once."""
+        """Ids of each piece. Long pieces have rounds of their own."""
+        out: list[np.ndarray | None] = [None] * len(pieces)
+        for some, rounds in (([k for k, p in enumerate(pieces) if len(p) <= LONG], self.rounds), ([k for k, p in enumerate(pieces) if len(p) > LONG], self.long_rounds)):
+            if some:
+                for k, ids in zip(some, rounds([pieces[k] for k in some]), strict=True):
+                    out[k] = ids
+        return out
+
+    def rounds(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """In each round every piece merges its lowest-ranked pair, all pieces at once in one flat array."""
         sizes = np.array([len(p) for p in pieces], np.int64)
         symbols = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
         owner = np.repeat(np.arange(len(pieces)), sizes)
         done_symbols, done_owner = [], []
         never = len(self.keys)
         while len(symbols):
-            pair = (symbols[:-1] << 32) | symbols[1:]
-            found = np.minimum(np.searchsorted(self.keys, pair), never - 1)
             rank = np.full(len(symbols), never)
-            hit = (self.keys[found] == pair) & (owner[:-1] == owner[1:])
-            rank[:-1][hit] = self.ranks[found[hit]]
+            found, ranks = self.ranked(symbols[:-1], symbols[1:])
+            rank[:-1] = np.where(owner[:-1] == owner[1:], ranks, never)
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.r_[first, len(owner)]))
             over = best == never
             done_symbols.append(symbols[over])
             done_owner.append(owner[over])
             chosen = (rank == best) & ~over
-            # Of overlapping equal pairs the first, third, ... merge.
-            run = np.flatnonzero(chosen & ~np.r_[False, chosen[:-1]])
-            at = np.flatnonzero(chosen)
-            base = run[np.searchsorted(run, at, "right") - 1]
-            at = at[(at - base) % 2 == 0]
+            at = every_other(np.flatnonzero(chosen))
             symbols = symbols.copy()
             symbols[at] = self.made[found[at]]
             keep = ~over
@@ -174,8 +215,82 @@ class Vocabulary:
         bounds = np.searchsorted(owner[order], np.arange(len(pieces) + 1))
         return [symbols[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def long_rounds(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """A round merges the lowest rank that is left, wherever it is, and then only looks at the pairs that this
+        made: so a piece of n bytes costs about n log n, not n for every one of its ranks."""
+        ends = np.cumsum([len(p) for p in pieces])
+        symbols = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
+        n, never = len(symbols), len(self.keys)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = n
+        before[np.r_[0, ends[:-1]]] = -1
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks_left: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            """Let the pairs that start at these places wait for their rank's turn."""
+            at = at[after[at] < n]
+            _, rank = self.ranked(symbols[at], symbols[after[at]])
+            at, rank = at[rank < never], rank[rank < never]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cut = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(at) else at
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(at)], strict=False):
+                if int(rank[a]) not in waiting:
+                    heapq.heappush(ranks_left, int(rank[a]))
+                waiting.setdefault(int(rank[a]), []).append(at[a:b])
+
+        look(np.arange(n))
+        while ranks_left:
+            turn = heapq.heappop(ranks_left)
+            at = np.unique(np.concatenate(waiting.pop(turn)))
+            # What has merged meanwhile is no pair of this rank any more.
+            at = at[(symbols[at] >= 0) & (after[at] < n)]
+            found, rank = self.ranked(symbols[at], symbols[after[at]])
+            at, found = at[rank == turn], found[rank == turn]
+            if not len(at):
+                continue
+            at = at[alternating(np.r_[False, after[at[:-1]] == at[1:]])]
+            symbols[at] = self.made[found[0]]
+            gone = after[at]
+            symbols[gone] = -1
+            after[at] = after[gone]
+            behind = after[at][after[at] < n]
+            before[behind] = at[after[at] < n]
+            look(np.unique(np.r_[before[at][before[at] >= 0], at]))
+        alive = np.flatnonzero(symbols >= 0)
+        kept = symbols[alive].astype("<u4")
+        bounds = np.searchsorted(alive, np.r_[0, ends])
+        return [kept[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+
+    @functools.cached_property
+    def table(self) -> pa.LargeBinaryArray:
+        return pa.array(self.token_bytes, pa.large_binary())
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """Texts of the rows of a flat id array, what isn't UTF-8 replaced."""
+        taken = self.table.take(pa.array(ids.astype(np.int64)))
+        _, offsets, data = taken.buffers()
+        at = np.frombuffer(offsets, np.int64)[: len(taken) + 1][bounds] if len(taken) else np.zeros(len(bounds), np.int64)
+        raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        rows = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(np.ascontiguousarray(at)), pa.py_buffer(raw))
+        try:
+            rows.validate(full=True)
+        except pa.ArrowInvalid:
+            cells = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+            rows = pa.array(cells, pa.large_string())
+        return rows
+
+
+def alternating(follows: np.ndarray) -> np.ndarray:
+    """Of overlapping equal pairs the first, third, ... merge: which stay, where ``follows`` says that one overlaps the
+    one before."""
+    k = np.arange(len(follows))
+    return (k - np.maximum.accumulate(np.where(follows, 0, k))) % 2 == 0
+
+
+def every_other(at: np.ndarray) -> np.ndarray:
+    return at[alternating(np.r_[False, at[1:] == at[:-1] + 1][: len(at)])]
 
 
 @functools.lru_cache(2)
@@ -188,7 +303,7 @@ class Encoder:
     else to the merge rounds. Pieces are encoded apart from each other, so their ids don't depend on the text around."""
 
     def __init__(self, path: str, library: bool = False):
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.path = path
         if library:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -198,31 +313,54 @@ class Encoder:
             self.library.no_truncation()
             self.library.no_padding()
             added = self.library.get_added_tokens_decoder()
-            self.special = next((t.content for t in added.values()), "")
+            self.special = next((t.content for t in added.values()), "").encode()
         else:
             self.library = None
-            self.special = next(iter(vocabulary(path).special), "")
+            self.special = next(iter(vocabulary(path).special), "").encode()
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[bytes]) -> None:
         if self.library is not None:
-            made = self.library.encode_batch_fast(new, add_special_tokens=False)
+            made = self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
             self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, made, strict=True))
             return
         vocab = vocabulary(self.path)
-        for p in [p for p in new if p in vocab.special]:
-            self.known[p] = np.array([vocab.special[p]], "<u4").tobytes()
-        new = [p for p in new if p not in vocab.special]
-        ids = vocab.merge([p.encode("utf-8", "replace") for p in new])
-        self.known.update((p, x.tobytes()) for p, x in zip(new, ids, strict=True))
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        pieces, bounds = split_pieces(texts, self.special)
+        own = {word.encode(): np.array([i], "<u4").tobytes() for word, i in vocab.special.items()}
+        self.known.update((p, own[p]) for p in new if p in own)
+        new = [p for p in new if p not in own]
+        self.known.update((p, x.tobytes()) for p, x in zip(new, vocab.merge(new), strict=True))
+
+    def _window(self, raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of one stretch, and how many of them come before each of ``breaks``."""
+        starts = split_pieces(raw, np.r_[breaks, len(raw)], self.special)
+        cut = np.r_[starts, len(raw)].astype(np.int64)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(raw))])
+        coded = pieces.dictionary_encode()
+        which, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        if new := list(set(pieces).difference(self.known)):
+        cells = list(map(self.known.get, distinct))
+        if new := [p for p, cell in zip(distinct, cells, strict=True) if cell is None]:
             self._learn(new)
-        ids = list(map(self.known.__getitem__, pieces))
-        return [np.frombuffer(b"".join(ids[a:b]), "<u4") for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+            cells = list(map(self.known.__getitem__, distinct))
+        size = np.fromiter(map(len, cells), np.int64, len(cells)) // 4
+        flat, first = np.frombuffer(b"".join(cells), "<u4"), np.cumsum(size) - size
+        n = size[which]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(first[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.r_[0, ends][np.searchsorted(starts, breaks)]
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows in one array, and the n+1 bounds of the rows in it; a null row has none."""
+        raw, offsets = text_buffer(column)
+        parts, bounds, total = [np.zeros(0, "<u4")], np.zeros(len(offsets), np.int64), 0
+        for a, b in windows(raw, offsets, CHUNK_BYTES, self.special):
+            rows = slice(*np.searchsorted(offsets, [a, b]))
+            ids, at = self._window(raw[a:b], offsets[rows] - a)
+            bounds[rows] = total + at
+            total += len(ids)
+            parts.append(ids)
+        bounds[offsets == len(raw)] = total
+        return np.concatenate(parts), bounds
 
 
 @functools.lru_cache(2)

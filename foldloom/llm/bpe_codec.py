@@ -23,10 +23,8 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         encode, vocab = encoder(path, False), vocabulary(path)
         for batch in batches:
             for part in text_chunks(batch):
-                ids = encode([t or "" for t in part.column(1).to_pylist()])
-                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = np.concatenate([np.zeros(0, "<u4"), *ids]).astype(np.int32)
-                arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), arrays, pa.array([vocab.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+                ids, bounds = encode(part.column(1))
+                arrays = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), arrays, vocab.decode(ids, bounds).cast(pa.string())], ["doc_id", "ids", "decoded"])
 
     return keyed(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")

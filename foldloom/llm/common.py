@@ -49,9 +49,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def bounded(spark: SparkSession, rows: int = 1000) -> None:
-    """Small Arrow batches: what a Python worker and the JVM hold at a time doesn't grow with the number of short texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of bounded bytes and rows. The setting is the session's and acts when a plan runs; every operator
+    asks for the same values, so it doesn't matter which was built last."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

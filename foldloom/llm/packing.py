@@ -86,20 +86,26 @@ def pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str, te
     """One row a piece; ``rank`` counts pieces of the same length in the same task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = encoder(path, True), TaskContext.get().partitionId(), Counter()
+        encode, part, seen = encoder(path, True), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for chunk in text_chunks(batch):
-                rows = []
-                for doc, x in zip(chunk.column(0).to_pylist(), encode([t or "" for t in chunk.column(1).to_pylist()]), strict=True):
-                    raw, n = x.tobytes() + end_id.to_bytes(4, "little"), len(x) + 1
-                    first = n if n <= capacity else n % capacity or capacity
-                    for piece, start in enumerate([0, *range(first, n, capacity)]):
-                        stop = first if start == 0 else start + capacity
-                        rows.append((doc, piece, start, stop - start, zlib.crc32(raw[4 * start : 4 * stop]), part, seen[stop - start]))
-                        seen[stop - start] += 1
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+                ids, bounds = encode(chunk.column(1))
+                flat = memoryview(np.insert(ids, bounds[1:], end_id).astype("<u4").tobytes())
+                n, begin = np.diff(bounds) + 1, bounds[:-1] + np.arange(chunk.num_rows)
+                count = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                stop = n[row] - (count[row] - 1 - piece) * capacity
+                start = np.where(piece > 0, stop - capacity, 0)
+                length, at = stop - start, begin[row]
+                sums = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip((at + start).tolist(), (at + stop).tolist(), strict=True)]
+                order = np.argsort(length, kind="stable")
+                kinds, first, many = np.unique(length[order], return_index=True, return_counts=True)
+                rank = np.empty(len(row), np.int64)
+                rank[order] = np.arange(len(row)) - np.repeat(first, many) + np.repeat(seen[kinds], many)
+                seen[kinds] += many
+                columns = [chunk.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(np.full(len(row), part, np.int32)), pa.array(rank)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
     return keyed(df, id_col, text_col).mapInArrow(run, PIECE)
 

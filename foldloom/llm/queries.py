@@ -55,7 +55,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write(documents(spark, sf_dir), vocabulary_path(), shared_dir(spark) + "/files", end_id=2)
-    return token_files.read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_files.read(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op8_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import glob
+import random
 import zlib
 
 import numpy as np
@@ -14,13 +16,14 @@ LIBRARY = Tokenizer.from_file(PATH)
 
 
 @settings(deadline=None, max_examples=100)
-@given(st.lists(st.integers(0, 1 << 40), max_size=700))
+@given(st.lists(st.one_of(st.integers(0, 1 << 62), st.integers(0, 1000)), max_size=700))
 def test_elias_fano(values):
     values = sorted(values)
     made, rest = EliasFano.read(memoryview(EliasFano.of(np.array(values, np.uint64)).to_bytes() + b"more"))
-    assert bytes(rest) == b"more" and made.all().tolist() == values
+    assert bytes(rest) == b"more" and made.select(np.arange(len(values))).tolist() == values
     for i in {0, len(values) // 2, len(values) - 1} & set(range(len(values))):
-        assert made.select(i) == values[i]
+        assert made.select(np.array([i])).tolist() == [values[i]]
+    assert made.select(np.arange(0, len(values), 7)).tolist() == values[::7]
 
 
 def test_near_minimal_space():
@@ -33,7 +36,7 @@ def test_file_round_trip():
     for size in (50_257, 70_000):
         file = TokenFile(pack(docs, ids, size))
         assert [(d, x.tolist()) for d, x in map(file.document, range(5))] == [(d, x.tolist()) for d, x in zip(docs, ids, strict=True)]
-        assert file.documents()[0] == docs
+        assert file.documents(0, 5)[0] == docs and file.documents(2, 4)[1].tolist() == [3, 8, 9]
 
 
 def wanted(rows):
@@ -51,9 +54,24 @@ def test_query(spark):
     assert sorted(got) == wanted(small_documents())
 
 
-def test_many_files_and_odd_rows(spark, odd, empty):
-    files = token_files.write(odd, PATH, common.shared_dir(spark) + "/f", file_ids=20)
-    assert files.count() > 4
-    got = [(str(r.doc_id), r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in token_files.read(files).collect()]
+def test_many_files_and_odd_rows(spark, odd, empty, tmp_path):
+    folder = str(tmp_path / "f")
+    token_files.write(odd, PATH, folder, file_ids=20)
+    got = [(str(r.doc_id), r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in token_files.read(spark, folder).collect()]
     assert sorted(got) == wanted(ODD)
-    assert token_files.read(token_files.write(empty, PATH, common.shared_dir(spark) + "/f")).collect() == []
+    assert token_files.read(spark, token_files.write(empty, PATH, str(tmp_path / "e"))).collect() == []
+    # A file is read alone, without Spark.
+    paths = sorted(glob.glob(f"{folder}/file=*/*.txt"))
+    assert len(paths) > 4
+    alone = [TokenFile.open(p) for p in paths]
+    rows = [file.document(i) for file in alone for i in range(file.n)]
+    assert sorted((str(d), zlib.crc32(x.astype("<u4").tobytes())) for d, x in rows) == sorted((d, c) for d, _, _, c in got)
+    assert [d for d, _ in rows] == sorted((d for d, _ in ODD), key=lambda d: (d is not None, d or 0))
+
+
+def test_long_texts(spark):
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice(("one", "two", "é", "3")) for _ in range(n))) for k, n in enumerate((1_000_000, 3, 400_000, 0))]
+    folder = token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), PATH, common.shared_dir(spark) + "/f", file_ids=300_000)
+    got = [(str(r.doc_id), r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in token_files.read(spark, folder).collect()]
+    assert sorted(got) == wanted(rows)
