@@ -98,6 +98,15 @@ def argument(arguments: Column, name: str) -> Column:
     return F.get_json_object(arguments, f"$.{name}")
 
 
+def coerced(arguments: Column) -> Column:
+    """Arguments as an object: of a JSON string the object that it holds; nothing or anything else that can't be read
+    is an empty one."""
+    plain = F.from_json(F.concat(F.lit('{"x":'), arguments, F.lit("}")), "x string")["x"]
+    held = F.when(F.startswith(F.ltrim(plain), F.lit("{")) & F.try_parse_json(plain).isNotNull(), plain)
+    given = F.when(F.startswith(F.ltrim(arguments), F.lit('"')), held).when(F.trim(arguments) != "null", arguments)
+    return F.coalesce(given, F.lit("{}"))
+
+
 def text_of(content: Column, calls: Column) -> Column:
     """Content, then name and arguments of each call; empty parts left out."""
     parts = F.flatten(F.transform(F.coalesce(calls, F.array().cast(calls_type())), lambda c: F.array(F.coalesce(c["function"]["name"], F.lit("")), F.coalesce(c["function"]["arguments"], F.lit("null")))))

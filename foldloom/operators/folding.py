@@ -91,9 +91,11 @@ def fold_tokens(folds: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def in_range(folds: DataFrame, steps: DataFrame, low: Column, high: Column, columns: list[str]) -> DataFrame:
-    """Fold keys with the steps between ``low`` and ``high`` (expressions over the fold): an equi-join on the trajectory."""
-    f = folds.select(KEY, F.col("step_idx").alias("fold"), low.alias("low"), high.alias("high"))
-    return f.join(steps.select(KEY, F.col("step_idx").alias("step"), *columns), KEY).filter(F.col("step").between(F.col("low"), F.col("high"))).drop("low", "high")
+    """Fold keys with the steps between ``low`` and ``high`` (expressions over the fold). The range becomes one row a
+    step before the join, so that a fold only meets its own steps."""
+    f = folds.select(KEY, F.col("step_idx").alias("fold"), low.cast("long").alias("low"), high.cast("long").alias("high")).filter("low <= high")
+    each = f.select(KEY, "fold", F.explode(F.sequence("low", "high")).alias("step"))
+    return each.join(steps.select(KEY, F.col("step_idx").cast("long").alias("step"), *columns), [KEY, "step"]).select(KEY, "fold", "step", *columns)
 
 
 def joined_text(rows: DataFrame, column: str, name: str) -> DataFrame:

@@ -5,13 +5,18 @@ The scorer here is offline: an interpolated cache model over the default tokens.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.functions import text as T
+from foldloom.operators.folding import in_range
 from foldloom.operators.messages import KEY
 
 FOLD = [KEY, "fold"]
+#: Stretches that positions are looked for in.
+SLICES = 128
 
 
 def segments(folds: DataFrame, horizon: int = 4, prefix_steps: int = 4) -> DataFrame:
@@ -36,10 +41,13 @@ def score(parts: DataFrame, counts: DataFrame, tau: float = 0.15, max_context: i
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.countDistinct("token").alias("v")).first()
     common = counts.groupBy("token").agg(F.sum("n").alias("bg"))
     f = parts.select(KEY, F.col("step_idx").alias("fold"), "p_lo", "comp_lo", "comp_hi", "c_lo", "c_hi")
+    # The head and each step of prefix, slice and continuation, so that a fold only meets the tokens of its own steps.
+    own = F.concat(F.array(F.lit(-1).cast("long")), F.sequence(F.col("p_lo").cast("long"), F.coalesce("c_hi", "comp_hi").cast("long")))
+    f = f.withColumn("step_idx", F.explode(own))
     step, head = F.col("step_idx"), F.col("step_idx") == -1
     of = lambda test, name: F.when(test, F.col("n")).otherwise(0).alias(name)
     # One row a fold and token: how often both contexts and the continuation have it.
-    near = f.join(counts, KEY).filter(head | step.between(F.col("p_lo"), F.coalesce("c_hi", "comp_hi"))).select(
+    near = f.join(counts.withColumn("step_idx", step.cast("long")), [KEY, "step_idx"]).select(
         *FOLD, "token", of(head | step.between(F.col("p_lo"), F.col("comp_hi")), "raw"), of(head | step.between(F.col("p_lo"), F.col("comp_lo") - 1), "folded"),
         of(F.col("said") & step.between(F.col("c_lo"), F.col("c_hi")), "c"),
     )
@@ -61,6 +69,28 @@ def score(parts: DataFrame, counts: DataFrame, tau: float = 0.15, max_context: i
     return met.withColumn("sufficient", F.col("delta_nll_per_tok") <= tau).drop("fold")
 
 
+#: What scoring adds to a fold.
+SCORES = ("c_tokens", "context_tokens", "nll_raw", "nll_folded", "delta_nll_per_tok", "status", "sufficient")
+
+
+def repair_counts(done: DataFrame) -> DataFrame:
+    """One row: folds that were repaired, and those of them that are sufficient now."""
+    return done.agg(F.count_if(F.col("repaired") > 0).alias("repaired"), F.count_if((F.col("repaired") > 0) & F.coalesce("sufficient", F.lit(False))).alias("recovered"))
+
+
+def following_calls(parts: DataFrame, steps: DataFrame) -> DataFrame:
+    """Fold keys, step and arguments of the calls in each fold's continuation (c_lo to c_hi)."""
+    rows = in_range(parts, steps, F.col("c_lo"), F.col("c_hi"), ["tool_calls"])
+    return rows.select(*FOLD, "step", F.explode("tool_calls").alias("c")).select(*FOLD, "step", F.col("c.function.arguments").alias("arguments"))
+
+
+def rescored(fresh: DataFrame, score_of: Callable[[DataFrame], DataFrame], steps: DataFrame) -> DataFrame:
+    """Folds with a new M, scored anew, with ``leaks``."""
+    done = score_of(fresh.drop(*SCORES))
+    leaked = leaks(done.select(KEY, F.col("step_idx").alias("fold"), "M"), following_calls(done, steps).drop("step")).withColumnRenamed("fold", "step_idx")
+    return done.join(leaked, [KEY, "step_idx"])
+
+
 def passed(scored: DataFrame, drop_insufficient: bool = True, strict: bool = False) -> DataFrame:
     """Folds that go on: unscorable ones too, unless ``strict``."""
     if not drop_insufficient:
@@ -71,10 +101,17 @@ def passed(scored: DataFrame, drop_insufficient: bool = True, strict: bool = Fal
 def positional(values: DataFrame, column: str, places: dict[str, Column]) -> DataFrame:
     """One row of values at 0-based places (expressions over n) of the ascending column.
 
-    Counts of distinct values are ranked, not the rows.
+    Counts of distinct values are ranked, not the rows, and they are ranked inside ``SLICES`` stretches of about as many
+    values; only the stretches' totals meet in one place.
     """
     counts = values.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("k"))
-    ranked = counts.select("x", F.sum("k").over(Window.orderBy("x")).alias("upto"), F.sum("k").over(Window.partitionBy()).alias("n"))
+    edges = counts.agg(F.percentile_approx("x", [i / SLICES for i in range(1, SLICES)], 10 * SLICES)).first()[0] or []
+    slice_ = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < F.col("x"))) if edges else F.lit(0)
+    sliced = counts.withColumn("slice", slice_)
+    totals = sliced.groupBy("slice").agg(F.sum("k").alias("total"))
+    bases = totals.select("slice", (F.sum("total").over(Window.orderBy("slice")) - F.col("total")).alias("base"), F.sum("total").over(Window.partitionBy()).alias("n"))
+    here = F.sum("k").over(Window.partitionBy("slice").orderBy("x"))
+    ranked = sliced.join(F.broadcast(bases), "slice").select("x", (F.col("base") + here).alias("upto"), "n")
     return ranked.agg(*(F.min(F.when(F.col("upto") > place, F.col("x"))).alias(name) for name, place in places.items()))
 
 

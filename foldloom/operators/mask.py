@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from foldloom.functions import text as T
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 START, END, NEWLINE, USER, ASSISTANT = 1, 2, 3, 11, 12
 IGNORED = -100
 CHAT_TOKEN = r"<\|im_start\|>|<\|im_end\|>|\n|[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]"
 
 
-def turn() -> Column:
-    """A message (role, content, summary) in the chat template."""
-    body = F.concat_ws("\n", F.nullif("content", F.lit("")), F.col("summary"))
-    return F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), body, F.lit("<|im_end|>\n"))
+def turn(of: Callable[[str], Column] = F.col) -> Column:
+    """A message (role, content, name, tool_call_id, tool_calls) in the chat template: what it says, then each call with
+    its id, name and arguments; an observation says which call it answers."""
+    call = lambda c: F.concat_ws(" ", F.lit("<tool_call>"), c["id"], c["function"]["name"], c["function"]["arguments"], F.lit("</tool_call>"))
+    answer = F.when((of("role") == "tool") & F.coalesce(of("tool_call_id"), of("name")).isNotNull(), F.concat_ws(" ", F.lit("<tool_response>"), of("tool_call_id"), of("name")))
+    body = F.concat_ws("\n", answer, F.nullif(of("content"), F.lit("")), F.nullif(F.array_join(F.transform(of("tool_calls"), call), "\n"), F.lit("")))
+    return F.concat(F.lit("<|im_start|>"), of("role"), F.lit("\n"), body, F.lit("<|im_end|>\n"))
 
 
-def rendered(messages: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
-    """One chat text for each key."""
+def rendered(messages: DataFrame, keys: list[str], order: str = "pos", tools: str = "") -> DataFrame:
+    """One chat text for each key. ``tools``: JSON of the tool list, told first."""
     rows = F.sort_array(F.collect_list(F.struct(order, turn().alias("x"))))
-    return messages.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["x"]), "").alias("chat"))
+    told = f"<|im_start|>system\n# Tools\n{tools}<|im_end|>\n" if tools else ""
+    return messages.groupBy(*keys).agg(F.concat(F.lit(told), F.array_join(F.transform(rows, lambda r: r["x"]), "")).alias("chat"))
 
 
 def token_id(token: Column) -> Column:
@@ -34,23 +41,35 @@ def encoded(chat: Column) -> Column:
     return F.transform(F.regexp_extract_all(chat, F.lit(CHAT_TOKEN), F.lit(0)), token_id)
 
 
-def masked(rows: DataFrame, keys: list[str], ids: str = "ids") -> DataFrame:
-    """The rows with ``labels``: content and end token of assistant spans keep their ids, all else is ignored.
-
-    Window work over the ids; a span runs from the first start after the last end, its header to its first line end.
-    """
-    long = rows.select(*keys, F.posexplode(ids).alias("p", "id"))
-    of, here = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("p")
-    upto, before = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(Window.unboundedPreceding, -1)
-    span = F.coalesce(F.sum((F.col("id") == END).cast("int")).over(before), F.lit(0))
-    in_span = Window.partitionBy(*keys, "span").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    marked = long.withColumn("span", span).withColumn("start", F.min(F.when(F.col("id") == START, F.col("p"))).over(in_span))
-    marked = marked.withColumn("line", F.min(F.when((F.col("id") == NEWLINE) & (F.col("p") > F.col("start")), F.col("p"))).over(in_span))
-    marked = marked.withColumn("said", F.max(F.when((F.col("id") == ASSISTANT) & (F.col("p") == F.col("start") + 1), 1)).over(in_span))
-    kept = (F.col("p") > F.col("line")) & (F.col("line") == F.col("start") + 2) & (F.col("said") == 1)
-    label = F.when(kept, F.col("id")).otherwise(IGNORED)
-    labels = marked.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("p", label.alias("l")))), lambda x: x["l"]).alias("labels"))
-    return rows.join(labels, keys, "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<int>")))
+def span_labels(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Labels of the flat ids of rows of the given sizes: content and end token of assistant spans keep their ids, all
+    else is ignored. A span runs from the first start after the last end, its header to its first line end."""
+    n = len(ids)
+    if n == 0:
+        return np.zeros(0, np.int32)
+    p, row = np.arange(n), np.repeat(np.arange(len(sizes)), sizes)
+    new = np.r_[True, (row[1:] != row[:-1]) | (ids[:-1] == END)]
+    first, span = np.flatnonzero(new), np.cumsum(new) - 1
+    start = np.minimum.reduceat(np.where(ids == START, p, n), first)[span]
+    line = np.minimum.reduceat(np.where((ids == NEWLINE) & (p > start), p, n), first)[span]
+    said = (line == start + 2) & (ids[np.minimum(start + 1, n - 1)] == ASSISTANT)
+    return np.where(said & (p > line), ids, IGNORED).astype(np.int32)
+
+
+def masked(rows: DataFrame, ids: str = "ids") -> DataFrame:
+    """The rows with ``labels``: one pass over the id arrays, where they lie."""
+    place = rows.columns.index(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(place)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            labels = span_labels(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+            cells = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(labels))
+            yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=[*batch.schema.names, "labels"])
+
+    kind = StructType([*rows.schema.fields, StructField("labels", ArrayType(IntegerType()))])
+    return rows.mapInArrow(run, kind)
 
 
 def from_target(labels: Column, start: Column) -> Column:

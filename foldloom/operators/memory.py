@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.functions import text as T
@@ -50,8 +50,8 @@ def ratio_action(value: Column, cut: Column, least: float = 0.18, most: float =
 
 def step_facts(steps: DataFrame) -> DataFrame:
     """What a step did, for summaries and the recall audit: arrays of state-changing commands and edited paths,
-    of failing commands, and of error lines."""
-    calls = F.col("tool_calls")
+    of failing commands, and of error lines. Arguments that are JSON strings of an object count as that object."""
+    calls = F.transform("tool_calls", lambda c: c.withField("function.arguments", T.coerced(c["function"]["arguments"])))
     command = lambda c: T.strip(T.argument(c["function"]["arguments"], "command"))
     runs = lambda c: (c["function"]["name"] == "execute_bash") & (F.coalesce(command(c), F.lit("")) != "")
     edits = lambda c: (c["function"]["name"] == "str_replace_editor") & T.argument(c["function"]["arguments"], "command").isin("create", "str_replace", "insert")
@@ -72,14 +72,14 @@ def summaries(folds: DataFrame, facts: DataFrame, heads: DataFrame) -> DataFrame
     """The offline extractive summary M of each fold's compressed range. It stands in for a language model; its
     figures are its own."""
     some = folds.filter("comp_lo IS NOT NULL")
-    rows = in_range(some, facts, F.col("comp_lo"), F.col("comp_hi"), ["did", "error_lines", "tried", "err", "obs_text"])
-    order = F.sort_array(F.collect_list(F.struct("step", "did", "error_lines", "tried", "err", F.col("obs_text").alias("obs"))))
+    rows = in_range(some, facts, F.col("comp_lo"), F.col("comp_hi"), ["did", "error_lines", "tried"])
+    order = F.sort_array(F.collect_list(F.struct("step", "did", "error_lines", "tried")))
     each = rows.groupBy(KEY, "fold").agg(order.alias("s"))
     listed = lambda name: F.coalesce(F.nullif(F.array_join(F.array_distinct(F.flatten(F.transform("s", lambda x: x[name]))), "\n"), F.lit("")), F.lit("None yet"))
-    last = F.element_at("s", -1)
-    told = each.select(KEY, "fold", listed("did").alias("did"), listed("error_lines").alias("feedback"), listed("tried").alias("dead"), F.when(last["err"], T.strip(last["obs"])).otherwise(F.lit("None yet")).alias("open"))
+    told = each.select(KEY, "fold", listed("did").alias("did"), listed("error_lines").alias("feedback"), listed("tried").alias("dead"))
+    lasts = facts.select(KEY, F.col("step_idx").alias("comp_hi"), F.when(F.col("err"), T.strip(F.col("obs_text"))).otherwise(F.lit("None yet")).alias("open"))
     nexts = facts.select(KEY, F.col("step_idx").alias("after"), "action")
-    met = some.withColumn("after", F.col("comp_hi") + 1).join(nexts, [KEY, "after"], "left").join(heads.select(KEY, "task"), KEY, "left")
+    met = some.withColumn("after", F.col("comp_hi") + 1).join(nexts, [KEY, "after"], "left").join(lasts, [KEY, "comp_hi"]).join(heads.select(KEY, "task"), KEY, "left")
     met = met.withColumn("fold", F.col("step_idx")).join(told, [KEY, "fold"])
     body = [F.coalesce("task", F.lit("")), F.col("did"), F.col("feedback"), F.lit("None"), F.col("dead"), F.col("open"), F.coalesce("action", F.lit("finish"))]
     parts = [F.concat(F.lit(h + "\n"), b) for h, b in zip(T.HEADERS, body, strict=True)]
@@ -124,5 +124,22 @@ def rolling_memories(chosen: DataFrame) -> DataFrame:
     return met.withColumn("M", T.with_pinned(F.col("M"), F.col("pinned")))
 
 
+def pinned_lines(chosen: DataFrame) -> DataFrame:
+    """``chosen`` with what the offline summary pins: the lines of its own attempts."""
+    lines = F.concat_ws("\n", F.transform(F.split(T.section(F.col("M"), "[Attempts & Results]"), "\n"), lambda x: F.concat(F.lit("- "), x)))
+    return chosen.withColumn("new_pinned", lines)
+
+
+def with_prior(rolling: DataFrame) -> DataFrame:
+    """Rolling memories with the one before: prev_M, prev_signal."""
+    order = Window.partitionBy(KEY).orderBy("comp_lo")
+    return rolling.withColumns({"prev_M": F.lag("M").over(order), "prev_signal": F.lag("signal").over(order)})
+
+
 def word_budget(words: Column, ratio_: float = 0.30, most: int = 4000) -> Column:
     return F.greatest(F.lit(128), F.least((words * F.lit(1.3) * F.lit(ratio_)).cast("long"), F.lit(most))).cast("long")
+
+
+def word_ratio(memory: Column, before: Column, new_steps: Column) -> Column:
+    """Words of a rolling memory for each word of what it consolidates: the memory before and the new steps."""
+    return T.word_count(memory) / F.greatest(F.lit(1), T.word_count(before) + T.word_count(new_steps))

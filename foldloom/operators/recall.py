@@ -15,7 +15,7 @@ FOLD = [KEY, "fold"]
 def items(folds: DataFrame, facts: DataFrame) -> DataFrame:
     """Distinct (fold, kind, item) over the compressed range. kinds: edited, command, error, decision, observed (seen in
     observations only)."""
-    acted = F.concat_ws("\n", "thought", F.array_join(F.transform("tool_calls", lambda c: F.concat(c["function"]["name"], F.lit("("), c["function"]["arguments"], F.lit(")"))), "\n"))
+    acted = F.concat_ws("\n", "thought", F.array_join(F.transform("tool_calls", lambda c: F.concat(F.coalesce(c["function"]["name"], F.lit("None")), F.lit("("), T.coerced(c["function"]["arguments"]), F.lit(")"))), "\n"))
     errors = F.regexp_extract_all("obs_text", F.lit(T.ERROR_CLASS), F.lit(1))
     rows = facts.withColumns({"errors": errors, "decided": T.identifiers(acted), "observed": T.identifiers(F.col("obs_text"))})
     near = in_range(folds.filter("comp_lo IS NOT NULL"), rows, F.col("comp_lo"), F.col("comp_hi"), ["edited", "ran", "errors", "decided", "observed"])
@@ -41,4 +41,4 @@ def summary(recalled: DataFrame) -> DataFrame:
 
 def sampled(folds: DataFrame, n: int = 120) -> DataFrame:
     """The first ``n`` folds of the trajectories in hashed order."""
-    return folds.filter("comp_lo IS NOT NULL").orderBy(F.xxhash64(KEY), KEY, "step_idx").limit(n)
+    return folds.filter("comp_lo IS NOT NULL").orderBy(F.sha2(F.col(KEY).cast("string"), 256), KEY, "step_idx").limit(n)

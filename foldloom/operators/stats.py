@@ -22,6 +22,12 @@ def signal_breakdown(folds: DataFrame) -> DataFrame:
     return folds.groupBy("signal").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "signal")
 
 
+def compression(memories: DataFrame, tokens) -> DataFrame:
+    """One row: number of memories and the average of their token ratios. ``tokens``: counts tokens of a column."""
+    ratio = tokens(F.col("M")) / F.greatest(F.lit(1), F.col("comp_tokens"))
+    return memories.agg(F.count("*").alias("n_folds"), F.coalesce(F.round(F.avg(ratio), 3), F.lit(0.0)).alias("avg_ratio"))
+
+
 def plan_stats(per: DataFrame, folds: DataFrame, steps: DataFrame, heads: DataFrame) -> DataFrame:
     """One row: averages and token sums."""
     a = per.agg(F.count("*").alias("n_trajectories"), F.sum("n_folds").alias("n_folds"), F.round(F.avg("n_folds"), 3).alias("avg_folds"))

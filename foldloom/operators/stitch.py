@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from foldloom.functions import text as T
 from foldloom.operators.messages import KEY
 
-OUT = [KEY, "pos", "role", "content", "tool_name", "summary"]
+#: A message as it goes on: its calls whole, and which call an observation answers.
+MESSAGE = ["role", "content", "name", "tool_call_id", "tool_calls"]
+OUT = [KEY, "pos", *MESSAGE]
 
 
 def blocks(folds: DataFrame) -> DataFrame:
@@ -27,27 +29,30 @@ def blocks(folds: DataFrame) -> DataFrame:
     return last.join(used, [KEY, "step_idx"])
 
 
-def context_pair(signal: Column, memory: Column) -> Column:
-    """The two messages that put a memory into a conversation."""
-    call = F.concat(F.lit("call_ctx_"), F.substring(F.sha2(memory, 256), 1, 24))
-    none = F.lit(None).cast("string")
-    one = lambda k, role, content, tool, summary: F.struct(F.lit(k).alias("k"), F.lit(role).alias("role"), content.alias("content"), F.lit(tool).alias("tool_name"), call.alias("call_id"), summary.alias("summary"))
-    return F.array(one(0, "assistant", T.phrase(signal), "context", memory), one(1, "tool", F.lit(T.ACKNOWLEDGED), "context", none))
+def context_pair(signal: Column, memory: Column, place: Column) -> Column:
+    """The two messages that put a memory into a conversation: a call with the memory as its summary, and its answer.
+    The id of the call is a digest of ``place`` and memory."""
+    call = F.concat(F.lit("call_ctx_"), F.substring(F.sha2(F.concat_ws("|", place, memory), 256), 1, 24))
+    calls = F.array(F.struct(call.alias("id"), F.lit("function").alias("type"), F.struct(F.lit("context").alias("name"), F.to_json(F.struct(memory.alias("summary"))).alias("arguments")).alias("function"))).cast(T.calls_type())
+    none, empty = F.lit(None).cast("string"), F.array().cast(T.calls_type())
+    one = lambda k, role, content, name, answers, made: F.struct(F.lit(k).cast("long").alias("k"), F.lit(role).alias("role"), content.alias("content"), name.alias("name"), answers.alias("tool_call_id"), made.alias("tool_calls"))
+    return F.array(one(0, "assistant", T.phrase(signal), none, none, calls), one(1, "tool", F.lit(T.ACKNOWLEDGED), F.lit("context"), call, empty))
 
 
 def raw_rows(staged: DataFrame) -> DataFrame:
-    name = F.try_element_at(F.transform("tool_calls", lambda c: c["function"]["name"]), F.lit(1))
-    return staged.select(KEY, "step_idx", "msg_idx", "role", F.coalesce("content", F.lit("")).alias("content"), name.alias("tool_name"), F.lit(None).cast("string").alias("summary"))
+    """Messages as they came."""
+    kept = [c if c in staged.columns else F.lit(None).cast("string").alias(c) for c in MESSAGE[:-1]]
+    return staged.select(KEY, "step_idx", "msg_idx", *kept, F.coalesce("tool_calls", F.array().cast(T.calls_type())).alias("tool_calls"))
 
 
 def stitched(staged: DataFrame, folds: DataFrame) -> DataFrame:
     """Messages of every conversation that uses a memory: raw steps outside used blocks, the pair in a block's place."""
-    used = blocks(folds).select(KEY, "comp_lo", "comp_hi", "signal", "M")
+    used = blocks(folds).select(KEY, "comp_lo", "comp_hi", "step_idx", "signal", "M")
     raw = raw_rows(staged).join(used.select(KEY).distinct(), KEY, "left_semi")
-    ranges = used.select(F.col(KEY).alias("t"), "comp_lo", "comp_hi")
-    open_ = raw.join(ranges, (F.col(KEY) == F.col("t")) & F.col("step_idx").between(F.col("comp_lo"), F.col("comp_hi")), "left_anti")
-    pairs = used.select(KEY, F.col("comp_lo").alias("step_idx"), F.explode(context_pair(F.col("signal"), F.col("M"))).alias("m"))
-    pairs = pairs.select(KEY, "step_idx", F.col("m.k").cast("long").alias("msg_idx"), "m.role", "m.content", "m.tool_name", "m.summary")
+    folded = used.select(KEY, F.explode(F.sequence("comp_lo", "comp_hi")).alias("step_idx"))
+    open_ = raw.join(folded, [KEY, "step_idx"], "left_anti")
+    pairs = used.select(KEY, F.col("comp_lo").alias("step_idx"), F.explode(context_pair(F.col("signal"), F.col("M"), F.concat_ws("|", KEY, "step_idx"))).alias("m"))
+    pairs = pairs.select(KEY, "step_idx", F.col("m.k").alias("msg_idx"), *(f"m.{c}" for c in MESSAGE))
     pos = F.row_number().over(Window.partitionBy(KEY).orderBy("step_idx", "msg_idx")) - 1
     return open_.unionByName(pairs).withColumn("pos", pos.cast("long")).select(*OUT)
 
@@ -63,13 +68,15 @@ def rolling_examples(staged: DataFrame, chosen: DataFrame, horizon: int = 6) ->
     """Messages of one example a chosen fold (with prev_hi, prev_M, prev_signal, M): head, prior memory, the raw steps
     since, then the new memory (from ``target_from_msg`` on) and what follows."""
     f = chosen.select(KEY, F.col("step_idx").alias("fold"), "signal", "M", "comp_hi", "prev_hi", "prev_M", "prev_signal")
-    raw = f.select(KEY, "fold", "comp_hi", "prev_hi").join(raw_rows(staged), KEY)
-    step = F.col("step_idx")
-    part = F.when(step == -1, 0).when(step.between(F.col("prev_hi") + 1, F.col("comp_hi")), 2).when(step.between(F.col("comp_hi") + 1, F.col("comp_hi") + horizon), 4)
-    columns = [KEY, "fold", "part", "msg_idx", "role", "content", "tool_name", "summary"]
-    rows = raw.withColumn("part", part).filter("part IS NOT NULL").select(columns)
-    pair = lambda when, k, signal, memory: f.filter(when).select(KEY, "fold", F.lit(k).alias("part"), F.explode(context_pair(F.col(signal), F.col(memory))).alias("m")).select(KEY, "fold", "part", F.col("m.k").cast("long").alias("msg_idx"), "m.role", "m.content", "m.tool_name", "m.summary")
-    every = rows.unionByName(pair("prev_M IS NOT NULL", 1, "prev_signal", "prev_M")).unionByName(pair("true", 3, "signal", "M"))
+    raw = raw_rows(staged).withColumn("step_idx", F.col("step_idx").cast("long"))
+    low, high = F.col("prev_hi").cast("long") + 1, F.col("comp_hi").cast("long") + horizon
+    near = f.select(KEY, "fold", "comp_hi", F.explode(F.concat(F.array(F.lit(-1).cast("long")), F.sequence(low, high))).alias("step_idx")).join(raw, [KEY, "step_idx"])
+    step, columns = F.col("step_idx"), [KEY, "fold", "part", "msg_idx", *MESSAGE]
+    part = F.when(step == -1, 0).when(step <= F.col("comp_hi"), 2).otherwise(4)
+    rows = near.withColumn("part", part).select(columns)
+    pair = lambda when, k, signal, memory, place: f.filter(when).select(KEY, "fold", F.lit(k).alias("part"), F.explode(context_pair(F.col(signal), F.col(memory), place)).alias("m")).select(KEY, "fold", "part", F.col("m.k").alias("msg_idx"), *(f"m.{c}" for c in MESSAGE))
+    prior, own = F.concat_ws("|", KEY, "fold", F.lit("prior")), F.concat_ws("|", KEY, "fold")
+    every = rows.unionByName(pair("prev_M IS NOT NULL", 1, "prev_signal", "prev_M", prior)).unionByName(pair("true", 3, "signal", "M", own))
     of = Window.partitionBy(KEY, "fold")
     pos = F.row_number().over(of.orderBy("part", "msg_idx")) - 1
     return every.withColumn("target_from_msg", F.sum((F.col("part") < 3).cast("int")).over(of)).withColumn("pos", pos.cast("long")).select(KEY, "fold", "target_from_msg", *OUT[1:])

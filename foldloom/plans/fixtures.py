@@ -11,7 +11,7 @@ from foldloom.operators.messages import KEY
 
 def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return rows.select(F.col("conv_id").alias(KEY), F.col("turn").alias("msg_idx"), "role", F.col("text").alias("content"), F.array().cast(calls_type()).alias("tool_calls"))
+    return rows.select(F.col("conv_id").alias(KEY), F.col("turn").alias("msg_idx"), "role", F.col("text").alias("content"), *(F.lit(None).cast("string").alias(c) for c in ("name", "tool_call_id")), F.array().cast(calls_type()).alias("tool_calls"))
 
 
 def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +45,9 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = F.when(F.col("event_id") % 97 == 0, F.concat(calls, F.array(call(1, F.lit("task_tracker"), F.lit('{"command": "plan"}'))))).otherwise(calls)
     thought = F.concat(F.lit("Next `step_"), k, F.lit("` with "), kind, F.lit(" on pkg.mod_"), k)
     none = F.array().cast(calls_type())
-    message = lambda at, role, content, c: F.struct(at.cast("long").alias("msg_idx"), F.lit(role).alias("role"), content.alias("content"), c.cast(calls_type()).alias("tool_calls"))
-    body_rows = events.select(KEY, F.explode(F.array(message(2 + 2 * F.col("i"), "assistant", thought, calls), message(3 + 2 * F.col("i"), "tool", seen, none))).alias("m"))
+    blank = F.lit(None).cast("string")
+    message = lambda at, role, content, c, name=blank, answers=blank: F.struct(at.cast("long").alias("msg_idx"), F.lit(role).alias("role"), content.alias("content"), name.alias("name"), answers.alias("tool_call_id"), c.cast(calls_type()).alias("tool_calls"))
+    body_rows = events.select(KEY, F.explode(F.array(message(2 + 2 * F.col("i"), "assistant", thought, calls), message(3 + 2 * F.col("i"), "tool", seen, none, tool, calls[0]["id"]))).alias("m"))
     head_rows = events.filter("i = 0").select(KEY, F.explode(F.array(
         message(F.lit(0), "system", F.lit("You are a careful engineer."), none),
         message(F.lit(1), "user", F.concat(F.lit("Fix the service of user "), F.col(KEY).cast("string"), F.lit(".")), none))).alias("m"))

@@ -39,13 +39,13 @@ st AS (SELECT *, {_any('obs', T.ERROR_MARKERS)} AS err, {_any('obs', T.VERIFY_MA
   'Thought: ' || thought || {NL} || 'Action: ' || tool || '(' || args || ')' || CASE WHEN plan THEN ' ; task_tracker({{"command": "plan"}})' ELSE '' END || {NL} AS pre FROM ez),
 sp AS (SELECT *, edit OR act AS sc, {TOK('said')} + {TOK('obs')} AS tok, pre || 'Observation: ' || obs AS rendered, count(*) OVER (PARTITION BY tid) AS n FROM st),
 hd AS (SELECT *, {TOK("'You are a careful engineer.'")} + {TOK('task')} AS head FROM (SELECT DISTINCT tid, 'Fix the service of user ' || tid || '.' AS task FROM ev)),
-ms AS (SELECT tid, -1 AS step, 0 AS m, 'system' AS role, 'You are a careful engineer.' AS content, NULL AS tool, 'You are a careful engineer.' AS said FROM hd
-  UNION ALL SELECT tid, -1, 1, 'user', task, NULL, task FROM hd
-  UNION ALL SELECT tid, i, 2 + 2 * i, 'assistant', thought, tool, said FROM sp
-  UNION ALL SELECT tid, i, 3 + 2 * i, 'tool', obs, NULL, obs FROM sp)"""
+ms AS (SELECT tid, -1 AS step, 0 AS m, 'system' AS role, 'You are a careful engineer.' AS content, 'You are a careful engineer.' AS said, NULL::VARCHAR AS tname, NULL::VARCHAR AS answers, []::VARCHAR[] AS cid, []::VARCHAR[] AS cname, []::VARCHAR[] AS cargs FROM hd
+  UNION ALL SELECT tid, -1, 1, 'user', task, task, NULL::VARCHAR, NULL::VARCHAR, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[] FROM hd
+  UNION ALL SELECT tid, i, 2 + 2 * i, 'assistant', thought, said, NULL::VARCHAR, NULL::VARCHAR, ['call_0_' || event_id] || CASE WHEN plan THEN ['call_1_' || event_id] ELSE [] END, [tool] || CASE WHEN plan THEN ['task_tracker'] ELSE [] END, [args] || CASE WHEN plan THEN ['{{"command": "plan"}}'] ELSE [] END FROM sp
+  UNION ALL SELECT tid, i, 3 + 2 * i, 'tool', obs, obs, tool, 'call_0_' || event_id, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[] FROM sp)"""
 #: The same of the conversations.
 TALKS = rf"""
-ms AS (SELECT conv_id AS tid, turn AS m, role, text AS content, NULL AS tool, text AS said, sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS step FROM conversations),
+ms AS (SELECT conv_id AS tid, turn AS m, role, text AS content, text AS said, sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS step FROM conversations),
 sp AS (SELECT tid, step AS i, max(CASE WHEN role = 'assistant' THEN content END) AS thought, coalesce(string_agg(CASE WHEN role != 'assistant' THEN {NL} || content END, '' ORDER BY m), '') AS obs,
   sum({TOK('content')})::BIGINT AS tok, count(*) AS n_msgs FROM ms WHERE step >= 0 GROUP BY tid, step),
 hd AS (SELECT tid, sum({TOK('content')})::BIGINT AS head, count(*) AS q, coalesce(substr(min_by(content, m) FILTER (role = 'user'), 1, 4000), '') AS task FROM ms WHERE step < 0 GROUP BY tid)"""
@@ -97,19 +97,26 @@ gr AS (SELECT tid, 0::BIGINT AS rn, -1::BIGINT AS ends, NULL::BIGINT AS a, -1::B
 ch AS (SELECT w.*, g.prev FROM gr g JOIN wd w ON w.tid = g.tid AND w.a = g.a)"""
 
 
+#: A message as it goes on, and the two that a memory becomes: a context call whose only argument is the summary, and
+#: what the tool says to that call.
+SENT = "role, content, tname, answers, cid, cname, cargs"
+_call_id = lambda mem, place: f"'call_ctx_' || substr(sha256({place} || '|' || {mem}), 1, 24)"
+_told = lambda sig, mem, place: f"'assistant', {PHRASE(sig)}, NULL::VARCHAR, NULL::VARCHAR, [{_call_id(mem, place)}], ['context'], [json_object('summary', {mem})::VARCHAR]"
+_answered = lambda mem, place: f"'tool', {_q(T.ACKNOWLEDGED)}, 'context', {_call_id(mem, place)}, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[]"
+CALLS = "array_to_string(cid, ',') AS call_ids, array_to_string(cname, ',') AS call_names, array_to_string(cargs, chr(10)) AS call_arguments"
 USED = MEMORY + "," + _chosen("hi + (a % 3) * 4 < n")
 ROLLING = USED + f""",
 pn AS (SELECT tid, a, string_agg('- ' || item, {NL} ORDER BY m) AS x FROM (SELECT c.tid, c.a, d.item, min(d.m) AS m FROM ch c JOIN ch e ON e.tid = c.tid AND e.lo <= c.lo JOIN did_d d ON d.tid = e.tid AND d.a = e.a GROUP BY ALL) GROUP BY ALL),
 rm AS (SELECT c.*, coalesce(pn.x, 'None yet') AS pinned, '[Pinned]' || {NL} || coalesce(pn.x, 'None yet') || {NL2} || mem AS rmem FROM ch c LEFT JOIN pn USING (tid, a)),
 rp AS (SELECT *, lag(rmem) OVER (PARTITION BY tid ORDER BY lo) AS pmem, lag(sig) OVER (PARTITION BY tid ORDER BY lo) AS psig FROM rm),
-ra AS (SELECT r.tid, r.a, CASE WHEN step = -1 THEN 0 WHEN step BETWEEN prev + 1 AND hi2 THEN 2 ELSE 4 END AS part, m, role, content, tool, NULL AS summary FROM rp r JOIN ms USING (tid) WHERE step = -1 OR step BETWEEN prev + 1 AND hi2 + 6
-  UNION ALL SELECT tid, a, 1, 0, 'assistant', {PHRASE('psig')}, 'context', pmem FROM rp WHERE pmem IS NOT NULL
-  UNION ALL SELECT tid, a, 1, 1, 'tool', {_q(T.ACKNOWLEDGED)}, 'context', NULL FROM rp WHERE pmem IS NOT NULL
-  UNION ALL SELECT tid, a, 3, 0, 'assistant', {PHRASE('sig')}, 'context', rmem FROM rp UNION ALL SELECT tid, a, 3, 1, 'tool', {_q(T.ACKNOWLEDGED)}, 'context', NULL FROM rp),
+ra AS (SELECT r.tid, r.a, CASE WHEN step = -1 THEN 0 WHEN step BETWEEN prev + 1 AND hi2 THEN 2 ELSE 4 END AS part, m, {SENT} FROM rp r JOIN ms USING (tid) WHERE step = -1 OR step BETWEEN prev + 1 AND hi2 + 6
+  UNION ALL SELECT tid, a, 1, 0, {_told("psig", "pmem", "tid || '|' || a || '|prior'")} FROM rp WHERE pmem IS NOT NULL
+  UNION ALL SELECT tid, a, 1, 1, {_answered("pmem", "tid || '|' || a || '|prior'")} FROM rp WHERE pmem IS NOT NULL
+  UNION ALL SELECT tid, a, 3, 0, {_told("sig", "rmem", "tid || '|' || a")} FROM rp UNION ALL SELECT tid, a, 3, 1, {_answered("rmem", "tid || '|' || a")} FROM rp),
 rx AS (SELECT *, row_number() OVER (PARTITION BY tid, a ORDER BY part, m) - 1 AS pos, count(*) FILTER (part < 3) OVER (PARTITION BY tid, a) AS target FROM ra)"""
 STITCHED = USED + f""",
-sa AS (SELECT tid, step, m, role, content, tool, NULL AS summary FROM ms WHERE tid IN (SELECT tid FROM ch) AND NOT EXISTS (SELECT 1 FROM ch WHERE ch.tid = ms.tid AND ms.step BETWEEN ch.lo AND ch.hi2)
-  UNION ALL SELECT tid, lo, 0, 'assistant', {PHRASE('sig')}, 'context', mem FROM ch UNION ALL SELECT tid, lo, 1, 'tool', {_q(T.ACKNOWLEDGED)}, 'context', NULL FROM ch),
+sa AS (SELECT tid, step, m, {SENT} FROM ms WHERE tid IN (SELECT tid FROM ch) AND NOT EXISTS (SELECT 1 FROM ch WHERE ch.tid = ms.tid AND ms.step BETWEEN ch.lo AND ch.hi2)
+  UNION ALL SELECT tid, lo, 0, {_told("sig", "mem", "tid || '|' || a")} FROM ch UNION ALL SELECT tid, lo, 1, {_answered("mem", "tid || '|' || a")} FROM ch),
 sx AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY step, m) - 1 AS pos FROM sa)"""
 GATE = MEMORY + f""",
 gs AS (SELECT *, greatest(0, lo - 4) AS plo, CASE WHEN hi + 1 < n THEN hi + 1 END AS clo, CASE WHEN hi + 1 < n THEN least(n - 1, hi + 4) END AS chi FROM mb),
@@ -135,7 +142,9 @@ cl AS (SELECT {keys}, mp, j, ({ID})::BIGINT AS id, role = 'assistant' AND j > 3
 
 
 TALK_IDS = TALKS + "," + _chat("ms", "tid", "m", "content") + ", ln AS (SELECT tid, count(*) AS n, bool_or(own) AS any_own, sum(id)::BIGINT AS ids, sum(CASE WHEN own THEN id ELSE -100 END)::BIGINT AS labels FROM cl GROUP BY tid)"
-SUMMED = "concat_ws(chr(10), nullif(content, ''), summary)"
+#: The body of a turn: which call it answers, what it says, its calls.
+SPOKEN = """concat_ws(chr(10), CASE WHEN role = 'tool' AND coalesce(answers, tname) IS NOT NULL THEN concat_ws(' ', '<tool_response>', answers, tname) END, nullif(content, ''),
+  nullif(array_to_string(list_transform(range(1, len(cid) + 1), lambda k: '<tool_call> ' || cid[k] || ' ' || cname[k] || ' ' || cargs[k] || ' </tool_call>'), chr(10)), ''))"""
 
 
 def _identifiers(source: str) -> str:
@@ -214,7 +223,7 @@ def oracle_sql() -> dict[str, str]:
     add("fold_failed_ids", FOLDS, f"SELECT trajectory_id FROM ({good}) WHERE NOT ok")
     add("rolling_fold_selection", MEMORY + "," + _chosen("true"), f"SELECT {key}, lo AS comp_lo, hi2 AS comp_hi, prev AS prev_hi FROM ch")
     add("rolling_memory", ROLLING, f"SELECT {key}, pinned, rmem AS memory FROM rm")
-    add("rolling_examples", ROLLING, f"SELECT {key}, target AS target_from_msg, pos, role, content, tool AS tool_name FROM rx")
+    add("rolling_examples", ROLLING, f"SELECT {key}, target AS target_from_msg, pos, role, content, tname AS name, answers AS tool_call_id, {CALLS} FROM rx")
     add("gate_segments", FOLDS, f"SELECT {key}, lo AS comp_lo, hi AS comp_hi, greatest(0, lo - 4) AS p_lo, CASE WHEN hi + 1 < n THEN hi + 1 END AS c_lo, CASE WHEN hi + 1 < n THEN least(n - 1, hi + 4) END AS c_hi FROM fp WHERE lo IS NOT NULL")
     add("gate_segments_whole_prefix", FOLDS, f"SELECT {key}, lo AS comp_lo, hi AS comp_hi, 0::BIGINT AS p_lo, CASE WHEN hi + 1 < n THEN hi + 1 END AS c_lo, CASE WHEN hi + 1 < n THEN least(n - 1, hi + 4) END AS c_hi FROM fp WHERE lo IS NOT NULL")
     add("gate_nll", GATE, f"SELECT {key}, CASE WHEN status = 'scored' THEN round(nr, 3) END AS nll_raw, CASE WHEN status = 'scored' THEN round(nf, 3) END AS nll_folded, coalesce(ct, 0)::BIGINT AS c_tokens FROM gd")
@@ -222,18 +231,29 @@ def oracle_sql() -> dict[str, str]:
     add("gate_filter", GATE, f"SELECT {key}, status FROM gd WHERE ok IS NULL OR ok")
     add("gate_stats", GATE + ", sd AS (SELECT round(d, 4) AS d, row_number() OVER (ORDER BY d) - 1 AS r, count(*) OVER () AS n FROM gd WHERE d IS NOT NULL)",
         "SELECT count(*) FILTER (status = 'scored') AS scored, count(*) FILTER (status != 'scored') AS unscorable, count(*) FILTER (ok) AS sufficient, (SELECT d FROM sd WHERE r = n // 2) AS median, (SELECT d FROM sd WHERE r = floor(n * 0.9::DOUBLE)) AS p90 FROM gd")
+    repair = GATE + f""",
+zz AS (SELECT f.tid, f.a, string_agg(s.rendered, {NL2} ORDER BY s.i) AS x FROM fp f JOIN sp s ON s.tid = f.tid AND s.i BETWEEN f.lo AND f.hi GROUP BY ALL),
+r1 AS (SELECT d.*, d.mem || {NL2} || z.x AS mem2 FROM gd d JOIN zz z USING (tid, a) WHERE NOT ok),
+rl AS (SELECT r.tid, r.a, coalesce(bool_or(length(trim(y.line)) >= 25 AND contains(mem2, trim(y.line))), false) AS leak FROM r1 r JOIN sp s ON s.tid = r.tid AND s.i BETWEEN r.clo AND r.chi,
+  unnest(flatten(list_transform(list_filter([s.cmd, s.path, json_extract_string(s.args, '$.file_text')], lambda v: v IS NOT NULL), lambda v: string_split(v, {NL})))) AS y(line) GROUP BY ALL),
+x2 AS (SELECT tid, a, t, count(*) AS c FROM (SELECT g.tid, g.a, t FROM r1 g JOIN tk USING (tid) WHERE step = -1 OR step BETWEEN plo AND lo - 1 UNION ALL SELECT tid, a, unnest(regexp_extract_all(mem2, {TOKEN})) FROM r1) GROUP BY ALL),
+n2 AS (SELECT cw.tid, cw.a, -sum(cw.c * ln(0.5::DOUBLE * coalesce(x2.c, 0) / z.c + 0.5::DOUBLE * (bg + 1) / nv)) AS nll FROM cw LEFT JOIN x2 USING (tid, a, t) JOIN (SELECT tid, a, sum(c) AS c FROM x2 GROUP BY ALL) z USING (tid, a) JOIN bg USING (t), tt GROUP BY ALL),
+rr AS (SELECT g.tid, g.a, CASE WHEN r.tid IS NOT NULL AND NOT rl.leak THEN 1 ELSE 0 END AS fixed, CASE WHEN r.tid IS NOT NULL AND NOT rl.leak THEN (n2.nll - g.nr) / g.ct ELSE g.d END AS d2 FROM gd g LEFT JOIN r1 r USING (tid, a) LEFT JOIN rl USING (tid, a) LEFT JOIN n2 USING (tid, a))"""
+    add("gate_repair", repair, f"SELECT {key}, fixed::BIGINT AS repaired, round(d2, 4) AS delta_nll_per_tok, d2 <= 0.15 AS sufficient FROM rr")
+    add("gate_repair_stats", repair, "SELECT count(*) FILTER (fixed = 1) AS repaired, count(*) FILTER (fixed = 1 AND d2 <= 0.15) AS recovered FROM rr")
     add("gate_by_signal", GATE, "SELECT sig AS signal, round(avg(ok::INT), 4) AS sufficiency, count(*) AS n FROM gd WHERE status = 'scored' GROUP BY sig")
     add("leak_check", GATE + f""", af AS (SELECT g.tid, g.a, g.mem, json_extract_string(s.args, '$.file_text') AS ft, unnest([s.cmd, s.path, json_extract_string(s.args, '$.file_text')]) AS v FROM gs g JOIN sp s ON s.tid = g.tid AND s.i BETWEEN g.clo AND g.chi),
 q AS (SELECT tid, a, max(ft) AS q FROM af GROUP BY ALL), l AS (SELECT tid, a, unnest(string_split(v, {NL})) AS line FROM af WHERE v IS NOT NULL)""",
         "SELECT g.tid AS trajectory_id, g.a AS step_idx, coalesce(bool_or(length(trim(line)) >= 25 AND contains(CASE WHEN g.a % 3 = 0 THEN mem || coalesce(q, '') ELSE mem END, trim(line))), false) AS leaks FROM gs g LEFT JOIN q USING (tid, a) LEFT JOIN l USING (tid, a) GROUP BY g.tid, g.a")
-    add("stitched_messages", STITCHED, "SELECT tid AS trajectory_id, pos, role, content, tool AS tool_name, summary FROM sx")
+    add("stitched_messages", STITCHED, f"SELECT tid AS trajectory_id, pos, role, content, tname AS name, answers AS tool_call_id, {CALLS} FROM sx")
+    add("stitched_mask", STITCHED + "," + _chat("sx", "tid", "pos", SPOKEN), "SELECT tid AS trajectory_id, count(*) AS length, count(*) FILTER (own) AS n_labels, coalesce(sum(id) FILTER (own), 0)::BIGINT AS label_sum FROM cl GROUP BY tid")
     add("stitch_stats", STITCHED, "SELECT count(*) AS n_conversations, round(avg(k), 3) AS avg_folds, (SELECT count(*) FROM ms WHERE tid IN (SELECT tid FROM ch)) AS messages_before, (SELECT count(*) FROM sx) AS messages_after FROM (SELECT tid, count(*) AS k FROM ch GROUP BY tid)")
     other = "CASE WHEN a % 5 = 0 THEN 'structural:testpass' WHEN a % 7 = 0 THEN 'something else' ELSE sig END"
     add("trigger_phrases", FOLDS, f"SELECT {key}, {other} AS signal, {PHRASE(other)} AS phrase FROM fp")
-    add("rendered_chat", STITCHED, f"SELECT tid AS trajectory_id, string_agg('<|im_start|>' || role || {NL} || {SUMMED} || '<|im_end|>' || {NL}, '' ORDER BY pos) AS chat FROM sx GROUP BY tid")
+    add("rendered_chat", STITCHED, f"""SELECT tid AS trajectory_id, '<|im_start|>system' || {NL} || '# Tools' || {NL} || '[{{"name": "context"}}]' || '<|im_end|>' || {NL} || string_agg('<|im_start|>' || role || {NL} || {SPOKEN} || '<|im_end|>' || {NL}, '' ORDER BY pos) AS chat FROM sx GROUP BY tid""")
     add("assistant_mask", TALK_IDS, "SELECT tid AS trajectory_id, p AS pos, CASE WHEN own THEN id ELSE -100 END AS label FROM cl")
     add("mask_filter", TALK_IDS, "SELECT tid AS trajectory_id, n AS length FROM ln WHERE n <= 500 AND any_own")
-    add("rolling_mask", ROLLING + "," + _chat("rx JOIN (SELECT DISTINCT tid AS t2, a AS a2, target AS tg FROM rx) ON t2 = tid AND a2 = a", "tid, a, target", "pos", SUMMED),
+    add("rolling_mask", ROLLING + "," + _chat("rx JOIN (SELECT DISTINCT tid AS t2, a AS a2, target AS tg FROM rx) ON t2 = tid AND a2 = a", "tid, a, target", "pos", SPOKEN),
         f"SELECT {key}, count(*) AS length, count(*) FILTER (mp < target) AS start, count(*) FILTER (own AND mp >= target) AS n_labels, coalesce(sum(id) FILTER (own AND mp >= target), 0)::BIGINT AS label_sum FROM cl GROUP BY tid, a")
     add("length_cap", TALK_IDS, "SELECT tid AS trajectory_id, n AS length FROM ln WHERE n <= 300")
     add("length_stats", TALK_IDS + ", r AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS k, count(*) OVER () AS c FROM ln)",
@@ -246,13 +266,19 @@ q AS (SELECT tid, a, max(ft) AS q FROM af GROUP BY ALL), l AS (SELECT tid, a, un
     add("recall_identifiers", RECALL, f"SELECT {key}, kind, n_items, n_kept FROM rc WHERE kind IN ('decision', 'observed')")
     add("recall_summary", RECALL, "SELECT kind, round(avg(n_kept / n_items), 6) AS mean, round(quantile_cont(n_kept / n_items, 0.5), 6) AS median, floor(100 * count(*) FILTER (n_kept / n_items >= 0.999::DOUBLE) / count(*))::BIGINT AS fully_kept_pct, count(*) AS n FROM rc GROUP BY kind")
     add("recall_worst", RECALL, f"SELECT round(n_kept / n_items, 2) AS recall, sig AS signal, {key} FROM rc WHERE kind = 'decision' AND n_kept < n_items ORDER BY 1, 2, 3, 4 LIMIT 8")
+    add("recall_string_arguments", RECALL, f"SELECT {key}, kind, n_items, n_kept FROM rc")
+    add("recall_sample", MEMORY, f"SELECT {key} FROM mb ORDER BY sha256(tid::VARCHAR), tid, a LIMIT 120")
+    add("avg_compression", MEMORY, f"SELECT count(*) AS n_folds, round(avg({TOK('mem')} / greatest(1, toks)), 3) AS avg_ratio FROM mb")
+    words = lambda x: f"len(regexp_extract_all({x}, '[^ \\t\\n]+'))"
+    add("rolling_word_ratio", ROLLING + f", nx AS (SELECT p.tid, p.a, string_agg(s.rendered, {NL2} ORDER BY s.i) AS x FROM rp p JOIN sp s ON s.tid = p.tid AND s.i BETWEEN p.prev + 1 AND p.hi2 GROUP BY ALL), rw AS (SELECT p.tid, p.a, {words('x')} AS w, {words('rmem')} / greatest(1, {words('x')} + coalesce({words('pmem')}, 0)) AS r FROM rp p JOIN nx USING (tid, a))",
+        f"SELECT {key}, round(r, 3) AS word_ratio, CASE WHEN r > 0.62::DOUBLE THEN 'strict' WHEN r < 0.18::DOUBLE THEN 'expand' ELSE 'accept' END AS action, greatest(128, least(trunc(w * 1.3::DOUBLE * 0.3::DOUBLE)::BIGINT, 4000)) AS budget FROM rw")
     records = ", r AS (SELECT tid, count(*) AS n_msgs, tid AS place FROM ms GROUP BY tid), r2 AS (SELECT * FROM r UNION ALL SELECT tid, 2, tid + 100000 FROM r WHERE tid % 5 = 0)"
     add("pool_last_wins", TALKS + records, "SELECT tid AS trajectory_id, arg_max(n_msgs, place) AS n_msgs, max(place) AS at FROM r2 GROUP BY tid")
     counts = "(SELECT tid AS trajectory_id, count(*) AS num_steps FROM sp GROUP BY tid)"
     add("resume_pending", TALKS, f"SELECT * FROM {counts} WHERE trajectory_id % 3 != 1")
     add("limit_processed", TALKS, f"SELECT * FROM {counts} ORDER BY trajectory_id LIMIT 20")
     add("tools_with_context", TALKS, f"SELECT trajectory_id, CASE WHEN trajectory_id % 4 = 0 THEN 'context' ELSE 'execute_bash,context' END AS if_absent, CASE WHEN trajectory_id % 4 = 0 THEN 'context,context' ELSE 'execute_bash,context' END AS always FROM {counts}")
-    add("pool_round_trip", EVENTS, "SELECT tid AS trajectory_id, row_number() OVER (PARTITION BY tid ORDER BY m) - 1 AS msg_idx, role, length(content) AS n_chars, CASE WHEN role != 'assistant' THEN 0 ELSE 1 + (said LIKE '%task_tracker%')::INT END AS n_calls FROM ms")
+    add("pool_round_trip", EVENTS, "SELECT tid AS trajectory_id, row_number() OVER (PARTITION BY tid ORDER BY m) - 1 AS msg_idx, role, tname AS name, answers AS tool_call_id, length(content) AS n_chars, CASE WHEN role != 'assistant' THEN 0 ELSE 1 + (said LIKE '%task_tracker%')::INT END AS n_calls FROM ms")
     add("observation_noise", EVENTS, f"SELECT {step}, {NL} || obs || CASE WHEN i % 3 = 0 THEN '' ELSE {NL} || '[Command finished with exit code ' || (i % 3) || ']' END AS obs_text FROM sp")
     add("prompt_text", FOLDS + f", z AS (SELECT f.tid, f.a, f.lo, f.hi, f.toks, {joined('s.rendered')} AS x FROM fs f JOIN sp s ON s.tid = f.tid AND s.i BETWEEN f.lo AND f.hi GROUP BY ALL)",
         f"SELECT {key}, '# Task' || {NL} || task || {NL2} || '# History to compress: steps ' || lo || ' to ' || hi || {NL} || x || {NL2} || '# Length' || {NL} || 'About ' || greatest(128, least(trunc(toks * 0.3::DOUBLE)::BIGINT, 6000)) || ' tokens.' || {NL2} || 'Return the memory alone.' AS prompt FROM z JOIN hd USING (tid)")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import cached_property
 
@@ -15,6 +14,7 @@ from foldloom.operators import folding, gate, mask, memory, messages, recall, st
 from foldloom.operators.messages import KEY
 from foldloom.plans import fixtures
 from foldloom.sources import plans as nested_plans
+from foldloom.shared import shared_dir, staged
 from foldloom.sources import pool
 
 #: Defaults but for the token budget: the fixture's trajectories have about 2,000 tokens.
@@ -24,18 +24,12 @@ SHORT = folding.FoldRules(t_fold=100, min_gap=1, recent_k=1)
 #: A context limit that some folds of the fixture exceed.
 MAX_CONTEXT = 900
 FOLD_KEY = [KEY, "step_idx"]
+TOOLS = '[{"name": "context"}]'
 
 
 def kept(part: Callable[[Run], DataFrame]) -> cached_property:
-    """A small part (rows of folds) that several later ones read: checkpointed, so that their plans begin at it."""
-    return cached_property(lambda self: checkpointed(part(self)))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="foldloom-"))
-    return df.checkpoint()
+    """A part (rows of folds) that several later ones read: stored, so that their plans begin at it."""
+    return cached_property(lambda self: staged(part(self), shared_dir(self.spark)))
 
 
 class Run:
@@ -85,10 +79,15 @@ class Run:
     @kept
     def rolling(self) -> DataFrame:
         chosen = memory.select_rolling(self.widened.filter("comp_hi < num_steps"))
-        lines = F.concat_ws("\n", F.transform(F.split(T.section(F.col("M"), "[Attempts & Results]"), "\n"), lambda x: F.concat(F.lit("- "), x)))
-        done = memory.rolling_memories(chosen.withColumn("new_pinned", lines))
-        order = Window.partitionBy(KEY).orderBy("comp_lo")
-        return done.withColumns({"prev_M": F.lag("M").over(order), "prev_signal": F.lag("signal").over(order)})
+        return memory.with_prior(memory.rolling_memories(memory.pinned_lines(chosen)))
+
+    @kept
+    def repaired(self) -> DataFrame:
+        """One round of repair, in which a memory gets the whole text of what it replaces."""
+        texts = folding.slice_text(self.folds, self.steps).withColumnRenamed("fold", "step_idx")
+        more = lambda again: again.join(texts, FOLD_KEY).withColumn("M", F.concat_ws("\n\n", "M", "slice_text")).drop("slice_text")
+        score_of = lambda parts: gate.score(parts, gate.step_token_counts(self.staged), max_context=MAX_CONTEXT)
+        return gate.repaired(self.scored, more, lambda fresh: gate.rescored(fresh, score_of, self.steps))
 
     @cached_property
     def examples(self) -> DataFrame:
@@ -100,12 +99,11 @@ class Run:
 
     @cached_property
     def conversation_ids(self) -> DataFrame:
-        rows = self.staged.withColumns({"pos": F.col("msg_idx"), "summary": F.lit(None).cast("string")})
-        return mask.rendered(rows, [KEY]).select(KEY, mask.encoded(F.col("chat")).alias("ids"))
+        return mask.rendered(self.staged, [KEY], "msg_idx").select(KEY, mask.encoded(F.col("chat")).alias("ids"))
 
     @cached_property
     def labelled(self) -> DataFrame:
-        return mask.masked(self.conversation_ids, [KEY])
+        return mask.masked(self.conversation_ids)
 
 
 def _events(make: Callable[[Run], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -216,8 +214,7 @@ def gate_by_signal(r: Run) -> DataFrame:
 def leak_check(r: Run) -> DataFrame:
     """Memories of every third fold quote the code that follows."""
     f = gate.segments(r.memories)
-    rows = folding.in_range(f, r.steps, F.col("c_lo"), F.col("c_hi"), ["tool_calls"])
-    calls = rows.select(KEY, "fold", "step", F.explode("tool_calls").alias("c")).select(KEY, "fold", "step", F.col("c.function.arguments").alias("arguments"))
+    calls = gate.following_calls(f, r.steps)
     quoted = calls.groupBy(KEY, "fold").agg(F.max(T.argument(F.col("arguments"), "file_text")).alias("q"))
     m = f.select(KEY, F.col("step_idx").alias("fold"), "M").join(quoted, [KEY, "fold"], "left")
     m = m.withColumn("M", F.when(F.col("fold") % 3 == 0, F.concat("M", F.coalesce("q", F.lit("")))).otherwise(F.col("M")))
@@ -229,6 +226,35 @@ def trigger_phrases(r: Run) -> DataFrame:
     return r.folds.select(*FOLD_KEY, other.alias("signal"), T.phrase(other).alias("phrase"))
 
 
+def _calls() -> list[F.Column]:
+    """Ids, names and arguments of all calls of a message, as texts."""
+    joined = lambda f, by: F.array_join(F.transform("tool_calls", f), by)
+    return [joined(lambda c: c["id"], ",").alias("call_ids"), joined(lambda c: c["function"]["name"], ",").alias("call_names"), joined(lambda c: c["function"]["arguments"], "\n").alias("call_arguments")]
+
+
+def stitched_mask(r: Run) -> DataFrame:
+    rows = mask.masked(mask.rendered(r.stitched, [KEY]).select(KEY, mask.encoded(F.col("chat")).alias("ids")))
+    kept = F.filter("labels", lambda x: x != mask.IGNORED)
+    return rows.select(KEY, F.size("ids").cast("long").alias("length"), F.size(kept).cast("long").alias("n_labels"), F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x).alias("label_sum"))
+
+
+def recall_string_arguments(r: Run) -> DataFrame:
+    """The audit where the arguments of every third step are JSON strings: it reads them as the objects they hold."""
+    quote = lambda x: F.to_json(F.struct(x.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(x.alias("x")))) - 6)
+    quoted = F.transform("tool_calls", lambda c: c.withField("function.arguments", quote(c["function"]["arguments"])))
+    steps = r.steps.withColumn("tool_calls", F.when(F.col("step_idx") % 3 == 0, quoted).otherwise(F.col("tool_calls")))
+    rows = recall.recalls(r.memories, memory.step_facts(steps))
+    return rows.select(KEY, F.col("fold").alias("step_idx"), "kind", "n_items", "n_kept")
+
+
+def rolling_word_ratio(r: Run) -> DataFrame:
+    """Words of each rolling memory against the memory before and the new steps, and what healing would do."""
+    new = folding.joined_text(folding.in_range(r.rolling, r.steps, F.col("prev_hi") + 1, F.col("comp_hi"), ["rendered"]), "rendered", "new_steps")
+    rows = r.rolling.withColumn("fold", F.col("step_idx")).join(new, [KEY, "fold"])
+    share = memory.word_ratio(F.col("M"), F.coalesce("prev_M", F.lit("")), F.col("new_steps"))
+    return rows.select(*FOLD_KEY, F.round(share, 3).alias("word_ratio"), memory.ratio_action(share, F.lit(False), 0.18, 0.62).alias("action"), memory.word_budget(T.word_count(F.col("new_steps"))).alias("budget"))
+
+
 def assistant_mask(r: Run) -> DataFrame:
     return r.labelled.select(KEY, F.posexplode("labels").alias("pos", "label"))
 
@@ -246,7 +272,7 @@ def _rolling_ids(r: Run) -> DataFrame:
 
 
 def rolling_mask(r: Run) -> DataFrame:
-    rows = mask.masked(_rolling_ids(r), [KEY, "fold"]).withColumn("start", T.common_prefix(F.col("context"), F.col("ids")))
+    rows = mask.masked(_rolling_ids(r)).withColumn("start", T.common_prefix(F.col("context"), F.col("ids")))
     labels = mask.from_target(F.col("labels"), F.col("start"))
     kept = F.filter(labels, lambda x: x != mask.IGNORED)
     return rows.select(KEY, F.col("fold").alias("step_idx"), F.size("ids").cast("long").alias("length"), "start", F.size(kept).cast("long").alias("n_labels"), F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x).alias("label_sum"))
@@ -319,11 +345,11 @@ def tools_with_context(r: Run) -> DataFrame:
 
 def pool_round_trip(r: Run) -> DataFrame:
     """Messages as written to JSON lines text and parsed back."""
-    shape = "struct<trajectory_id:bigint,trajectory:array<struct<role:string,content:string,tool_calls:array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>>>>"
-    per = r.staged.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("msg_idx", "role", "content", "tool_calls"))).alias("m"))
-    text = per.select(F.to_json(F.struct(KEY, F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), x["tool_calls"].alias("tool_calls"))).alias("trajectory"))).alias("value"))
+    shape = "struct<trajectory_id:bigint,trajectory:array<struct<role:string,content:string,name:string,tool_call_id:string,tool_calls:array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>>>>"
+    per = r.staged.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("msg_idx", *stitch.MESSAGE))).alias("m"))
+    text = per.select(F.to_json(F.struct(KEY, F.transform("m", lambda x: F.struct(*(x[c].alias(c) for c in stitch.MESSAGE))).alias("trajectory"))).alias("value"))
     back = text.select(F.from_json("value", shape, {"mode": "FAILFAST"}).alias("r")).select("r.*")
-    return pool.messages_of(back).select(KEY, "msg_idx", "role", F.length("content").cast("long").alias("n_chars"), F.size("tool_calls").cast("long").alias("n_calls"))
+    return pool.messages_of(back).select(KEY, "msg_idx", "role", "name", "tool_call_id", F.length("content").cast("long").alias("n_chars"), F.size("tool_calls").cast("long").alias("n_calls"))
 
 
 def observation_noise(r: Run) -> DataFrame:
@@ -385,7 +411,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fold_failed_ids": _events(lambda r: fold_all_or_nothing(r).filter("NOT ok").select(KEY)),
         "rolling_fold_selection": _events(rolling_fold_selection),
         "rolling_memory": _events(rolling_memory),
-        "rolling_examples": _events(lambda r: r.examples.select(KEY, F.col("fold").alias("step_idx"), "target_from_msg", "pos", "role", "content", "tool_name")),
+        "rolling_examples": _events(lambda r: r.examples.select(KEY, F.col("fold").alias("step_idx"), "target_from_msg", "pos", "role", "content", "name", "tool_call_id", *_calls())),
         "gate_segments": _events(lambda r: gate.segments(r.folds).select(*segs, "p_lo", "c_lo", "c_hi")),
         "gate_segments_whole_prefix": _events(lambda r: gate.segments(r.folds, prefix_steps=-1).select(*segs, "p_lo", "c_lo", "c_hi")),
         "gate_nll": _events(gate_nll),
@@ -393,11 +419,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gate_filter": _events(lambda r: gate.passed(r.scored).select(*FOLD_KEY, "status")),
         "gate_stats": _events(gate_stats),
         "gate_by_signal": _events(gate_by_signal),
+        "gate_repair": _events(lambda r: r.repaired.select(*FOLD_KEY, F.col("repaired").cast("long").alias("repaired"), F.round("delta_nll_per_tok", 4).alias("delta_nll_per_tok"), "sufficient")),
+        "gate_repair_stats": _events(lambda r: gate.repair_counts(r.repaired)),
         "leak_check": _events(leak_check),
-        "stitched_messages": _events(lambda r: r.stitched),
+        "stitched_messages": _events(lambda r: r.stitched.select(KEY, "pos", "role", "content", "name", "tool_call_id", *_calls())),
+        "stitched_mask": _events(stitched_mask),
         "stitch_stats": _events(lambda r: stitch.stitch_stats(r.staged, r.stitched, r.widened)),
         "trigger_phrases": _events(trigger_phrases),
-        "rendered_chat": _events(lambda r: mask.rendered(r.stitched, [KEY])),
+        "rendered_chat": _events(lambda r: mask.rendered(r.stitched, [KEY], tools=TOOLS)),
         "assistant_mask": _talks(assistant_mask),
         "mask_filter": _talks(mask_filter),
         "rolling_mask": _events(rolling_mask),
@@ -409,6 +438,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "recall_commands": _recalls("command"),
         "recall_errors": _recalls("error"),
         "recall_identifiers": _events(recall_identifiers),
+        "recall_string_arguments": _events(recall_string_arguments),
+        "rolling_word_ratio": _events(rolling_word_ratio),
+        "avg_compression": _events(lambda r: stats.compression(r.memories, T.token_count)),
         "recall_summary": _events(lambda r: recall.summary(recall.recalls(r.memories, r.facts))),
         "recall_worst": _events(recall_worst),
         "recall_sample": _events(lambda r: recall.sampled(r.memories).select(*FOLD_KEY)),

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from foldloom.functions import text as T
 from foldloom.operators.folding import FoldRules
 from foldloom.operators.messages import KEY
+from foldloom.shared import shared_dir
 
 STEP = f"{KEY} long, step_idx long, tokens long, head_tokens long, plan_call boolean, readonly boolean, err boolean, verified boolean"
 OUT = f"{KEY} long, step_idx long, signal string"
@@ -71,11 +72,8 @@ def detect(steps: DataFrame, rules: FoldRules) -> DataFrame:
 
 
 def run_available(spark: SparkSession, run: Any, rules: FoldRules) -> DataFrame:
-    """All steps that there are, as files through the stream, with a checkpoint; the folds that it wrote."""
-    import tempfile
-    import uuid
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/") + f"/online-{uuid.uuid4().hex}"
+    """All steps that there are, as files through the stream, with a checkpoint; the folds that it wrote. Its folder goes with the session."""
+    base = shared_dir(spark, "online")
     rows = run.steps.join(run.heads.select(KEY, "head_tokens"), KEY, "left").select(KEY, F.col("step_idx").cast("long").alias("step_idx"), "tokens", F.coalesce("head_tokens", F.lit(0)).alias("head_tokens"), "plan_call", "readonly", "err", "verified")
     rows.write.parquet(f"{base}/steps")
     store = "spark.sql.streaming.stateStore.providerClass"

@@ -1,5 +1,8 @@
 """Hand-worked cases of folding, stitching, pinning, masks and small functions."""
 
+import json
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,7 +49,7 @@ def stitched_of(spark, n, folds):
     staged = spark.createDataFrame(said, f"{KEY} long, msg_idx long, role string, content string, tool_calls {T.calls_type()}, step_idx long")
     rows = [(1, k, lo, hi, m, "x", n) for k, (lo, hi, m) in enumerate(folds)]
     made = spark.createDataFrame(rows, f"{KEY} long, step_idx long, comp_lo long, comp_hi long, M string, signal string, num_steps long")
-    return [r.summary or r.content for r in stitch.stitched(staged, made).orderBy("pos").collect() if r.role == "assistant"]
+    return [json.loads(r.tool_calls[0].function.arguments)["summary"] if r.tool_calls else r.content for r in stitch.stitched(staged, made).orderBy("pos").collect() if r.role == "assistant"]
 
 
 def test_stitching_skips_unreachable_and_late_blocks(spark):
@@ -82,7 +85,7 @@ def test_sections(spark):
     ([7, 1, 12, 3, 5, 2, 9, 1, 11, 3, 4, 2, 1, 12, 3, 6], [-100] * 4 + [5, 2] + [-100] * 9 + [6]),
 ])
 def test_loss_mask(spark, ids, labels):
-    rows = mask.masked(spark.createDataFrame([(1, ids)], "k long, ids array<int>"), ["k"])
+    rows = mask.masked(spark.createDataFrame([(1, ids)], "k long, ids array<int>"))
     assert rows.first().labels == labels
     assert mask.trainable(rows, 100).count() == (1 if any(x != -100 for x in labels) else 0)
 
@@ -167,3 +170,38 @@ def test_repair_takes_what_can_be_scored(spark):
     assert got[1] == ("new", 2) and got[2] == ("fine", 0) and got[3] == ("old", 0)
     best = {r.step_idx: r.M for r in gate.repaired(rows, regenerate, rescore, rounds=1, keep_best=True).collect()}
     assert best[1] == "old"
+
+
+def test_calls_go_through_whole(spark):
+    """Two calls in one message, null content, an observation that answers the second."""
+    calls = [("c1", "function", ("execute_bash", '{"command": "ls"}')), ("c2", "function", ("task_tracker", '"{\\"command\\": \\"plan\\"}"'))]
+    rows = [(1, 0, "user", "do it", None, None, [], -1), (1, 1, "assistant", None, None, None, calls, 0), (1, 2, "tool", "seen", "task_tracker", "c2", [], 0), (1, 3, "assistant", "folded", None, None, calls[:1], 1), (1, 4, "assistant", "end", None, None, [], 2)]
+    staged = spark.createDataFrame(rows, f"{KEY} long, msg_idx long, role string, content string, name string, tool_call_id string, tool_calls {T.calls_type()}, step_idx long")
+    folds = spark.createDataFrame([(1, 1, 1, 1, "M \"x\"\ny", "expansion", 3)], f"{KEY} long, step_idx long, comp_lo long, comp_hi long, M string, signal string, num_steps long")
+    out = stitch.stitched(staged, folds).orderBy("pos").collect()
+    assert [r.role for r in out] == ["user", "assistant", "tool", "assistant", "tool", "assistant"]
+    assert out[1].content is None and [(c.id, c.function.name, c.function.arguments) for c in out[1].tool_calls] == [(a, n, x) for a, _, (n, x) in calls]
+    assert (out[2].name, out[2].tool_call_id) == ("task_tracker", "c2")
+    made = out[3].tool_calls[0]
+    assert made.function.name == "context" and json.loads(made.function.arguments) == {"summary": 'M "x"\ny'}
+    assert made.id.startswith("call_ctx_") and len(made.id) == 33 and out[4].tool_call_id == made.id and out[4].name == "context"
+    chat = mask.rendered(stitch.stitched(staged, folds), [KEY], tools="[]").first().chat
+    assert chat.startswith("<|im_start|>system\n# Tools\n[]<|im_end|>\n<|im_start|>user\ndo it<|im_end|>\n")
+    said = "<tool_call> c1 execute_bash " + calls[0][2][1] + " </tool_call>\n<tool_call> c2 task_tracker " + calls[1][2][1] + " </tool_call>"
+    assert f"<|im_start|>assistant\n{said}<|im_end|>\n<|im_start|>tool\n<tool_response> c2 task_tracker\nseen<|im_end|>\n" in chat
+    ids = mask.masked(spark.createDataFrame([(chat,)], "chat string").select(mask.encoded(F.col("chat")).alias("ids"))).first()
+    kept = [x for x in ids.labels if x != mask.IGNORED]
+    assert len(kept) == sum(len(re.findall(mask.CHAT_TOKEN, p)) for p in re.findall(r"<\|im_start\|>assistant\n(.*?<\|im_end\|>)", chat, re.S))
+
+
+@pytest.mark.parametrize("given, read", [('{"a": 1}', '{"a": 1}'), ('"{\\"a\\": 1}"', '{"a": 1}'), ('"no json"', "{}"), ('"{broken"', "{}"), ("null", "{}"), (None, "{}"), ('""', "{}")])
+def test_arguments_are_coerced(spark, given, read):
+    assert value(spark, T.coerced(F.lit(given).cast("string"))) == read
+
+
+def test_positions_over_many_values(spark):
+    rows = spark.range(5000).select((F.col("id") % 1700).cast("double").alias("d"))
+    got = gate.positional(rows, "d", {"median": F.floor(F.col("n") / 2), "p90": F.floor(F.col("n") * 0.9)}).first()
+    plain = sorted(i % 1700 for i in range(5000))
+    assert (got.median, got.p90) == (plain[2500], plain[4500])
+    assert gate.positional(rows.limit(0), "d", {"median": F.floor(F.col("n") / 2)}).first().median is None
