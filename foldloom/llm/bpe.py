@@ -21,8 +21,9 @@ from foldloom.llm.common import CHUNK_BYTES, text_buffer
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN = 0, 1, 2, 3, 4
 #: The white space of the splitting pattern.
 WHITE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-#: Pieces kept by a worker; beyond it the cache starts anew.
-CACHE_PIECES = 700_000
+#: Pieces kept by a worker in the newer half of its cache; beyond it that becomes the older half, and what isn't met
+#: again goes.
+CACHE_PIECES = 200_000
 #: Pieces of more bytes are merged by rank over all of them, not round by round.
 LONG = 64
 
@@ -304,6 +305,7 @@ class Encoder:
 
     def __init__(self, path: str, library: bool = False):
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.path = path
         if library:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -337,10 +339,11 @@ class Encoder:
         coded = pieces.dictionary_encode()
         which, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHE_PIECES:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         cells = list(map(self.known.get, distinct))
         if new := [p for p, cell in zip(distinct, cells, strict=True) if cell is None]:
-            self._learn(new)
+            self.known.update((p, self.older[p]) for p in new if p in self.older)
+            self._learn([p for p in new if p not in self.older])
             cells = list(map(self.known.__getitem__, distinct))
         size = np.fromiter(map(len, cells), np.int64, len(cells)) // 4
         flat, first = np.frombuffer(b"".join(cells), "<u4"), np.cumsum(size) - size

@@ -137,7 +137,7 @@ class TokenFile:
         return keys[0], self.ids[start:stop]
 
 
-def write(df: DataFrame, path: str, folder: str, end_id: int = 2, vocabulary_size: int = 50_257, file_ids: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> str:
+def write(df: DataFrame, path: str, folder: str, end_id: int = 2, vocabulary_size: int = 50_257, file_ids: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode whole texts with the tokenizers library, append ``end_id``, and store files of about ``file_ids`` ids
     under ``folder`` in ascending document order (of their names, too). Returns ``folder``."""
     kind = "<u2" if vocabulary_size <= 1 << 16 else "<u4"
