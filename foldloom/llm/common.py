@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldloom.shared import shared_dir, staged
+
+__all__ = ["shared_dir", "staged"]
 #: Bytes of text that one vectorised step works on (a longer document is one step).
 CHUNK_BYTES = 1_000_000
 
@@ -19,32 +20,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, removed when the session's JVM ends.
-
-    Only where that setting is missing (tests on one machine) a temporary folder is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="foldloom-")
-    path = f"{base.rstrip('/')}/foldloom-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(jpath)
-    fs.deleteOnExit(jpath)
-    return path
-
-
 def remove(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def staged(df: DataFrame, path: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends there, so a lost executor costs
-    at most its running tasks."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -151,6 +131,15 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def numbered(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", name: str = "row_number") -> DataFrame:
+    """``df`` with a number of its own for each row, ascending with the id: the id where that is unique and never null;
+    else rows are counted in the order of id (null first) and text, and stored, as counting again might differ."""
+    if not df.groupBy(id_col).count().filter(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count():
+        return df.withColumn(name, F.col(id_col).cast("long"))
+    rows = df.repartitionByRange(partitions(df.sparkSession), id_col).sortWithinPartitions(id_col, text_col)
+    return staged(rows.withColumn(name, F.monotonically_increasing_id()), folder)
+
+
 def hashed_sample(df: DataFrame, n: int, seed: int, key: str = "doc_id") -> DataFrame:
     """``n`` rows (all, if there are no more) that are least by a hash of the key. The hash thins the table out where it
     lies, so that about 2n rows are ordered, whatever its size."""

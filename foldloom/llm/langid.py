@@ -2,11 +2,16 @@
 
 Two gated recurrent units read stretches of ``STRETCH`` bytes, one from either side; a linear layer over both states
 labels every byte, and a document's probabilities are the mean of its bytes' (white space left out). All bytes of a
-text are read. Training is backpropagation through time in numpy, on stretches of a bounded sample (``Training``) of
-labelled documents: the ``documents`` least by a hash of the id, of which ``stretches`` pieces each go to the driver.
+text are read. Training is backpropagation through time in numpy, on whole pieces of a bounded sample (``Training``) of
+labelled documents: of each of the ``languages`` most frequent languages as many documents, those least by a hash of
+the id, of which ``stretches`` pieces each go to the driver.
+
+Beside the languages the network learns a class for what is none of them. It is trained on the same pieces with their
+characters exchanged (for other letters, characters of other scripts, digits, noise). It is never predicted: a document
+gets the likeliest learned language, and its score is low where the class takes the probability away.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; if nothing is labelled all is ``und``;
-rows that share an id are predicted each by its own text.
+rows that share an id are predicted each by its own text; repeated rows get equal results; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -16,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import bounded, hashed_sample, row_chunks, text_buffer
+from foldloom.llm.common import bounded, row_chunks, text_buffer
 
 STRETCH = 64
 #: Stretches that run through the network together: their states stay in the processor's cache.
@@ -29,9 +34,11 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds and settings of training. At most ``documents`` x ``stretches`` pieces of ``chars`` are collected."""
+    """Bounds and settings of training. At most ``documents`` x ``stretches`` pieces of ``chars`` are collected, as many
+    of each of at most ``languages`` languages."""
 
     documents: int = 3000
+    languages: int = 64
     stretches: int = 3
     chars: int = 80
     hidden: int = 8
@@ -96,14 +103,15 @@ class Network:
         rng = np.random.default_rng(seed)
         self.languages = languages
         self.forth, self.back = Unit(hidden, rng), Unit(hidden, rng)
-        self.out = rng.normal(0, 0.3, (2 * hidden, len(languages))).astype(np.float32)
-        self.bias = np.zeros(len(languages), np.float32)
+        # The last output stands for none of the languages.
+        self.out = rng.normal(0, 0.3, (2 * hidden, len(languages) + 1)).astype(np.float32)
+        self.bias = np.zeros(len(languages) + 1, np.float32)
 
     def weights(self) -> list[np.ndarray]:
         return [x for u in (self.forth, self.back) for x in (u.table, u.gates, u.candidate)] + [self.out, self.bias]
 
     def label(self, data: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
-        """Probabilities (time, rows, language) at every byte."""
+        """Probabilities (time, rows, language, the last: none of them) at every byte."""
         half = self.forth.hidden
         flipped = None if inside is None else inside[::-1]
         x = self.forth.run(data, inside) @ self.out[:half]
@@ -145,25 +153,40 @@ def stretched(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return data, length, row
 
 
+def estranged(text: str, rng: np.random.Generator) -> str:
+    """The text with its letters exchanged: for others of the alphabet, for neighbours in some other stretch of Unicode,
+    for digits, or each place for itself for any printable character."""
+    kind, letters = rng.integers(4), sorted({c for c in text if c.isalpha()})
+    if kind == 3:
+        return "".join(c if c.isspace() else chr(x) for c, x in zip(text, rng.integers(33, 127, len(text)).tolist(), strict=True))
+    base = int(rng.integers(0x250, 0xD000))
+    new = rng.integers(0, 26, len(letters)).tolist() if kind == 0 else rng.permutation(len(letters)).tolist() if kind == 1 else rng.integers(0, 10, len(letters)).tolist()
+    first = (97, base, 48)[kind]
+    return text.translate({ord(c): first + x for c, x in zip(letters, new, strict=True)})
+
+
 def fit(samples: list[tuple[str, str]], training: Training) -> Network:
-    """A network from (language, text) pieces."""
+    """A network from (language, text) pieces; all bytes of a piece are learned from."""
     languages = sorted({lang for lang, _ in samples})
     network = Network(languages, training.hidden, training.seed)
-    if len(languages) < 2:
+    if not languages:
         return network
-    raw = [t.encode("utf-8", "replace")[:STRETCH] for _, t in samples]
-    data = np.zeros((len(raw), STRETCH), np.uint8)
-    inside = np.zeros((len(raw), STRETCH), np.float32)
-    for i, x in enumerate(raw):
-        data[i, : len(x)] = np.frombuffer(x, np.uint8)
-        inside[i, : len(x)] = 1
-    target = np.array([languages.index(lang) for lang, _ in samples])
-    # Every language is drawn as often as the others.
-    chance = 1 / np.bincount(target)[target]
     rng = np.random.default_rng(training.seed)
+    texts = [t for _, t in samples]
+    classes = [languages.index(lang) for lang, _ in samples]
+    strange = rng.choice(len(texts), -(-len(texts) // len(languages)), replace=False).tolist()
+    texts += [estranged(texts[k], rng) for k in strange]
+    classes += [len(languages)] * len(strange)
+    coded = [t.encode("utf-8", "replace") for t in texts]
+    offsets = np.cumsum([0, *map(len, coded)])
+    data, length, row = stretched(np.frombuffer(b"".join(coded), np.uint8), offsets)
+    inside = (np.arange(STRETCH) < length[:, None]).astype(np.float32)
+    target = np.array(classes)[row]
+    # Every language is drawn as often as the others.
+    chance = 1 / np.maximum(np.bincount(target), 1)[target]
     mean, square = [np.zeros_like(w) for w in network.weights()], [np.zeros_like(w) for w in network.weights()]
     for step in range(1, training.steps + 1):
-        pick = rng.choice(len(raw), training.batch, p=chance / chance.sum())
+        pick = rng.choice(len(data), training.batch, p=chance / chance.sum())
         _, grads = network.gradients(np.ascontiguousarray(data[pick].T), np.ascontiguousarray(inside[pick].T), target[pick])
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         rate = training.rate * min(1.0, 2 * (1 - step / (training.steps + 1)))
@@ -176,9 +199,9 @@ def fit(samples: list[tuple[str, str]], training: Training) -> Network:
 
 
 def pooled(network: Network, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Mean probabilities (row, language) over the bytes of each row that aren't white space."""
+    """Mean probabilities (row, language, the last: none of them) over the bytes of each row that aren't white space."""
     data, length, row = stretched(raw, offsets)
-    sums, n = np.zeros((len(offsets) - 1, len(network.languages))), np.zeros(len(offsets) - 1)
+    sums, n = np.zeros((len(offsets) - 1, len(network.languages) + 1)), np.zeros(len(offsets) - 1)
     for some in (np.flatnonzero(length == STRETCH), np.flatnonzero(length < STRETCH)):
         for i in range(0, len(some), TOGETHER):
             pick = some[i : i + TOGETHER]
@@ -198,7 +221,7 @@ def label_positions(network: Network, text: str) -> list[str]:
     if not len(raw):
         return []
     inside = (np.arange(STRETCH)[:, None] < length).astype(np.float32)
-    best = network.label(np.ascontiguousarray(data.T), inside).argmax(axis=2).T
+    best = network.label(np.ascontiguousarray(data.T), inside)[:, :, :-1].argmax(axis=2).T
     return [network.languages[k] for k, ok in zip(best.ravel().tolist(), inside.T.ravel().tolist(), strict=True) if ok]
 
 
@@ -212,7 +235,16 @@ def train(labelled: DataFrame, training: Training = Training()) -> Network:
     n = F.greatest(F.length("text") - training.chars, F.lit(0)) + 1
     cut = [F.col("text").substr((F.pmod(F.xxhash64("doc_id", F.lit(k)), n) + 1).cast("int"), F.lit(training.chars)) for k in range(training.stretches)]
     chosen = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.array(*cut).alias("cut"), "doc_id")
-    rows = hashed_sample(chosen, training.documents, -1).collect()
+    counts = chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(training.languages).collect()
+    if not counts:
+        return fit([], training)
+    # The hash thins each language out where it lies, so that about twice as many rows as wanted are ordered.
+    most, whole = -(-training.documents // len(counts)), 1 << 32
+    limits = labelled.sparkSession.createDataFrame([(r.lang, int(min(1.0, (2 * most + 100) / r["count"]) * whole)) for r in counts], "lang string, least long")
+    place = F.pmod(F.xxhash64("doc_id", F.lit(-1)), F.lit(whole))
+    thin = chosen.withColumn("place", place).join(F.broadcast(limits), "lang").filter("place < least")
+    ranked = thin.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id")))
+    rows = ranked.filter(F.col("rank") <= most).orderBy("lang", "rank").collect()
     return fit([(r.lang, t) for r in rows for t in r.cut if t.strip()], training)
 
 
@@ -230,7 +262,7 @@ def predict(df: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
             for i, j in row_chunks(offsets):
                 at = offsets[i : j + 1] - offsets[i]
                 if model.languages:
-                    p = pooled(model, raw[offsets[i] : offsets[j]], at)
+                    p = pooled(model, raw[offsets[i] : offsets[j]], at)[:, :-1]
                     best, score = p.argmax(axis=1), np.clip(p.max(axis=1), 0, 1)
                 else:
                     best, score = np.zeros(j - i, np.int64), np.zeros(j - i)
@@ -241,20 +273,27 @@ def predict(df: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(df: DataFrame, network: Network, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns as they are, whose text has a letter and a language of at least ``least``."""
+def keep_known(df: DataFrame, network: Network, most: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``df`` whose text has a letter and is of the learned languages: the class of none of them has under
+    ``most``. The language column, if there is one, gets the predicted language; the other columns stay as they are."""
     bounded(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(network)
-    place = df.columns.index(text_col)
+    place, told = df.columns.index(text_col), df.columns.index(lang_col) if lang_col in df.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             raw, offsets = text_buffer(batch.column(place))
             for i, j in row_chunks(offsets):
                 part = batch.slice(i, j - i)
                 good = np.array([t is not None and any(map(str.isalpha, t)) for t in part.column(place).to_pylist()], bool)
-                if shared.value.languages:
-                    good &= pooled(shared.value, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).max(axis=1) >= least
-                yield part.filter(pa.array(good))
+                columns = list(part.columns)
+                if model.languages:
+                    p = pooled(model, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    good &= p[:, -1] < most
+                    if told is not None:
+                        columns[told] = pa.array(names[p[:, :-1].argmax(axis=1)], part.schema.field(told).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(good))
 
     return df.mapInArrow(run, df.schema)

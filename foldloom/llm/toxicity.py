@@ -3,7 +3,8 @@
 The categories (0/1 columns of the labels, nulls unlabelled) are predicted one after another; each model gets, besides
 the words, the probabilities of the categories before it. While training, those are out-of-fold predictions, so a
 later model learns from the errors that earlier ones make on texts they haven't seen. The ``features`` are the words
-and word beginnings whose presence, or presence in at least one word of a hundred, tells most about a category, by a chi-square count over the sample, made in Spark.
+and word beginnings whose presence, or presence in at least one word of a hundred, tells most about a category, by a chi-square count over the sample, made in Spark. Each fold has features of its own, chosen without its labels, so
+that an out-of-fold prediction knows nothing of the fold it is for.
 
 The sample is bounded: the ``documents`` labelled documents least by a hash of the id; ``features`` bits of each and
 the labels are all that reaches the driver. Every document is scored over its whole text.
@@ -17,10 +18,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from foldloom.llm.common import hashed_sample, keyed, row_chunks, staged, text_buffer, word_hashes
@@ -117,21 +120,36 @@ class Chain:
         return out
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, features: np.ndarray, categories: tuple[str, ...], training: Training) -> Chain:
-    """``y``: (row, category), NaN where unlabelled."""
+def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, used: list[np.ndarray], features: np.ndarray, categories: tuple[str, ...], training: Training) -> Chain:
+    """``x``: bits of the features of the chain and of all folds; ``y``: (row, category), NaN where unlabelled;
+    ``used``: the columns of ``x`` that each fold's models see, and last those of the chain's."""
     models, before = [], np.zeros((len(x), 0))
-    fold = np.arange(len(x)) % training.folds
     for k in range(len(categories)):
-        now, known = np.concatenate([x, before], axis=1), ~np.isnan(y[:, k])
-        models.append(fit_linear(now[known], y[known, k], training))
+        known = ~np.isnan(y[:, k])
+        seen = lambda columns: np.concatenate([x[:, columns], before], axis=1)  # noqa: B023, E731
+        models.append(fit_linear(seen(used[-1])[known], y[known, k], training))
         out_of_fold = np.zeros(len(x))
         for f in range(training.folds):
-            rest = known & (fold != f)
+            now, rest = seen(used[f]), known & (fold != f)
             out_of_fold[fold == f] = apply_linear(fit_linear(now[rest], y[rest, k], training), now[fold == f])
         before = np.concatenate([before, out_of_fold[:, None]], axis=1)
     return Chain(categories, features, models)
 
 
+def telling(counts: DataFrame, totals: Row, names: list[str], without: int | None, folds: int, size: int) -> np.ndarray:
+    """The hashes, ascending, of the ``size`` features that tell most, by counts that leave one fold out."""
+    kept = [f for f in range(folds) if f != without]
+    score, seen = F.lit(0.0), F.lit(0)
+    for n in names:
+        shown, hits = (reduce(add, (F.col(f"{k}_{n}_{f}") for f in kept), F.lit(0)) for k in ("n", "s"))
+        rate = sum(totals[f"s_{n}_{f}"] for f in kept) / max(sum(totals[f"n_{n}_{f}"] for f in kept), 1)
+        spread = max(rate * (1 - rate), 1e-9)
+        score, seen = F.greatest(score, F.pow(hits - shown * rate, 2) / (F.greatest(shown, F.lit(1)) * spread)), shown
+    # A word of few texts tells by chance.
+    top = counts.filter(seen >= 8).groupBy("word").agg(F.max(score).alias("score")).orderBy(F.desc("score"), "word").limit(size).collect()
+    return np.sort(np.array([r.word for r in top], np.int64).view(np.uint64))
+
+
 def train(docs: DataFrame, labels: DataFrame, folder: str, categories: tuple[str, ...] = CATEGORIES, training: Training = Training()) -> Chain:
     marks = [F.col(c).cast("double").alias(f"label_{k}") for k, c in enumerate(categories)]
     chosen = hashed_sample(labels.filter("doc_id IS NOT NULL").select("doc_id", *marks), training.documents, 11)
@@ -152,26 +170,24 @@ def train(docs: DataFrame, labels: DataFrame, folder: str, categories: tuple[str
 
     names = [f"label_{k}" for k in range(len(categories))]
     rows = staged(sample.select("doc_id", "text", *names).mapInArrow(words, "doc_id long, " + "".join(f"{n} double, " for n in names) + "words array<long>, often array<long>"), f"{folder}/words")
-    totals = rows.agg(*(F.count(n).alias(f"n_{n}") for n in names), *(F.coalesce(F.sum(n), F.lit(0.0)).alias(f"s_{n}") for n in names)).first()
-    shown = rows.select(F.explode("words").alias("word"), F.lit(0).alias("kind"), *names).unionByName(rows.select(F.explode("often").alias("word"), F.lit(1).alias("kind"), *names))
-    counts = shown.groupBy("word", "kind").agg(*(F.count(n).alias(f"n_{n}") for n in names), *(F.coalesce(F.sum(n), F.lit(0.0)).alias(f"s_{n}") for n in names))
-    score = F.lit(0.0)
-    for n in names:
-        rate = totals[f"s_{n}"] / max(totals[f"n_{n}"], 1)
-        spread = max(rate * (1 - rate), 1e-9)
-        score = F.greatest(score, F.pow(F.col(f"s_{n}") - F.col(f"n_{n}") * rate, 2) / (F.greatest(F.col(f"n_{n}"), F.lit(1)) * spread))
-    # A word of few texts tells by chance.
-    top = counts.filter(F.col(f"n_{names[-1]}") >= 8).groupBy("word").agg(F.max(score).alias("score")).orderBy(F.desc("score"), "word").limit(training.features).collect()
-    features = np.sort(np.array([r.word for r in top], np.int64).view(np.uint64))
-    chosen_words = F.array(*(F.lit(int(x)) for x in features.view(np.int64).tolist())).cast("array<long>")
-    bits = rows.select("doc_id", *names, F.array_intersect("words", chosen_words).alias("words"), F.array_intersect("often", chosen_words).alias("often")).orderBy("doc_id").toArrow()
+    folds = training.folds
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(folds)).cast("int"))
+    cells = [agg(F.when(F.col("fold") == f, F.col(n))).alias(f"{k}_{n}_{f}") for n in names for f in range(folds) for k, agg in (("n", F.count), ("s", lambda c: F.coalesce(F.sum(c), F.lit(0.0))))]
+    totals = rows.agg(*cells).first()
+    shown = rows.select(F.explode("words").alias("word"), F.lit(0).alias("kind"), "fold", *names).unionByName(rows.select(F.explode("often").alias("word"), F.lit(1).alias("kind"), "fold", *names))
+    counts = staged(shown.groupBy("word", "kind").agg(*cells), f"{folder}/counts")
+    sets = [telling(counts, totals, names, f, folds, training.features) for f in (*range(folds), None)]
+    every = np.unique(np.concatenate(sets))
+    chosen_words = F.array(*(F.lit(int(x)) for x in every.view(np.int64).tolist())).cast("array<long>")
+    bits = rows.select("doc_id", "fold", *names, F.array_intersect("words", chosen_words).alias("words"), F.array_intersect("often", chosen_words).alias("often")).orderBy("doc_id").toArrow()
     y = np.stack([bits.column(n).to_numpy().astype(float) for n in names], axis=1)
-    x = np.zeros((len(y), 2 * len(features)), np.float32)
+    x = np.zeros((len(y), 2 * len(every)), np.float32)
     for k, name in enumerate(("words", "often")):
         lists = bits.column(name).combine_chunks()
         found = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        x[np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(int)), np.searchsorted(features, found) + k * len(features)] = 1
-    return fit_chain(x, y, features, categories, training)
+        x[np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(int)), np.searchsorted(every, found) + k * len(every)] = 1
+    used = [np.r_[at, at + len(every)] for at in (np.searchsorted(every, s) for s in sets)]
+    return fit_chain(x, y, bits.column("fold").to_numpy(), used, sets[-1], categories, training)
 
 
 def predict(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

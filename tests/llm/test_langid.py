@@ -11,7 +11,7 @@ QUICK = langid.Training(documents=300, steps=60)
 
 
 def test_gradients_by_differences():
-    network = langid.Network(["a", "b", "c"], 3, 1)
+    network = langid.Network(["a", "b"], 3, 1)
     rng = np.random.default_rng(0)
     data, inside, target = rng.integers(0, 256, (7, 4)).astype(np.uint8), np.ones((7, 4), np.float32), np.array([0, 1, 2, 0])
     inside[5:, 1] = 0
@@ -50,6 +50,73 @@ def test_held_out_accuracy(spark):
     assert rows.score.between(0, 1).all()
 
 
+def plain(network, text):
+    """Mean probabilities of a text, byte by byte, one step after the other."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    raw, total, n = text.encode(), np.zeros(len(network.languages) + 1), 0
+    for at in range(0, len(raw), langid.STRETCH):
+        part = raw[at : at + langid.STRETCH]
+
+        def states(unit, bytes_):
+            h, out, k = np.zeros(unit.hidden), [], unit.hidden
+            for b in bytes_:
+                x = unit.table[b].astype(float)
+                z, r = sig(x[:k] + h @ unit.gates[:, :k]), sig(x[k : 2 * k] + h @ unit.gates[:, k:])
+                h = (1 - z) * np.tanh(x[2 * k :] + (r * h) @ unit.candidate) + z * h
+                out.append(h)
+            return out
+
+        both = zip(states(network.forth, part), reversed(states(network.back, part[::-1])), part, strict=True)
+        for f, b, byte in both:
+            if byte > 32:
+                e = np.exp(np.r_[f, b] @ network.out + network.bias)
+                total, n = total + e / e.sum(), n + 1
+    return total / max(n, 1)
+
+
+def test_pooled_probabilities_by_a_plain_network(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    network = langid.train(docs, QUICK)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(25).collect()] + ["é", "日本 語", "x" * 65, "  "]
+    raw = [t.encode() for t in texts]
+    got = langid.pooled(network, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert np.allclose(got, [plain(network, t) for t in texts], atol=1e-4)
+    rows = {r.text: r for r in langid.predict(docs.orderBy("doc_id").limit(25), network).join(docs, "doc_id").collect()}
+    for t in texts[:25]:
+        p = plain(network, t)[:-1]
+        assert rows[t].lang_pred == network.languages[int(p.argmax())] and abs(rows[t].score - p.max()) < 1e-4
+
+
+STRANGE = ["Съешь же ещё этих мягких французских булок, да выпей чаю. Широкая электрификация южных губерний.", "いろはにほへと ちりぬるを わかよたれそ つねならむ", "a 0123 456789 0123456789 2024-01-01 12:30:55 99 88 77", "xqzj vkwq zzxp qqkj wxvz jjqk zxqv kkwq", "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία", "#$% a {}[]=> ;;; ***** ~~~ ^^^ ||| \\\\ //// ++++ !!!!"]
+
+
+def test_texts_of_no_learned_language_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    network = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
+    rows = spark.createDataFrame([(k, t, "xx") for k, t in enumerate(STRANGE)], "doc_id long, text string, lang string")
+    assert langid.keep_known(rows, network).collect() == []
+    assert all(r.score < 0.5 and r.lang_pred in network.languages for r in langid.predict(rows, network).collect())
+    kept = langid.keep_known(docs, network)
+    told = kept.join(docs.select("doc_id", F.col("lang").alias("truth")), "doc_id").toPandas()
+    assert len(told) > 0.985 * docs.count() and (told.lang == told.truth).mean() > 0.97
+
+
+def test_rare_languages_are_learned(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(10_000_000 + k, t, "ru") for k, t in enumerate(["широкая электрификация южных губерний даст мощный толчок " * 5] * 3)], docs.schema)
+    network = langid.train(docs.unionByName(rare))
+    assert "ru" in network.languages
+    assert langid.predict(rare.limit(1), network).first().lang_pred == "ru"
+
+
+def test_long_texts_and_shared_ids(spark):
+    network = langid.train(spark.read.parquet(f"{SF}/documents.parquet"), QUICK)
+    long = "the thing and the ing of " * 90_000
+    rows = spark.createDataFrame([(1, long), (1, "é"), (1, None), (None, "the")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.lang_pred) for r in langid.predict(rows, network).collect())
+    assert len(got) == 4 and ("1", "und") in got and ("1", "en") in got
+
+
 def test_positions_are_labelled(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     network = langid.train(docs, QUICK)
@@ -66,7 +133,7 @@ def test_odd_rows(spark, odd, empty):
     by = {d: (p, s) for d, p, s in got}
     assert len(got) == 12 and all(by[d] == ("und", 0.0) for d in (0, 1, 2)) and by[5][0] != "und"
     assert langid.predict(empty, network).collect() == []
-    kept = langid.keep_known(odd, network)
+    kept = langid.keep_known(odd, network, most=1.1)
     assert kept.columns == odd.columns and kept.filter("doc_id IN (0, 1, 2)").count() == 0 and kept.count() == 9
 
 
