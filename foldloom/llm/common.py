@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,6 +124,19 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return Rolling(raw.astype(np.uint64) + np.uint64(1), BASES[0])(starts, ends)
 
 
+def word_digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit halves of a cryptographic digest of each word. Distinct words are digested once."""
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    sizes = ends - starts
+    cut = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    data = raw[np.repeat(starts - cut[:-1], sizes) + np.arange(cut[-1])]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cut), pa.py_buffer(data)]).dictionary_encode()
+    made = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words.dictionary.to_numpy(zero_copy_only=False).tolist())
+    halves = np.frombuffer(made, "<u8").reshape(-1, 2)[words.indices.to_numpy()]
+    return np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+
+
 def tidy(spark: SparkSession) -> None:
     """Let the driver drop the shuffle files of steps whose result is stored."""
     import gc
@@ -131,13 +145,14 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def numbered(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", name: str = "row_number") -> DataFrame:
+def numbered(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", name: str = "row_number") -> tuple[DataFrame, bool]:
     """``df`` with a number of its own for each row, ascending with the id: the id where that is unique and never null;
-    else rows are counted in the order of id (null first) and text, and stored, as counting again might differ."""
+    else rows are counted in the order of id (null first) and text, and stored, as counting again might differ. Also
+    tells whether the number is the id."""
     if not df.groupBy(id_col).count().filter(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count():
-        return df.withColumn(name, F.col(id_col).cast("long"))
+        return df.withColumn(name, F.col(id_col).cast("long")), True
     rows = df.repartitionByRange(partitions(df.sparkSession), id_col).sortWithinPartitions(id_col, text_col)
-    return staged(rows.withColumn(name, F.monotonically_increasing_id()), folder)
+    return staged(rows.withColumn(name, F.monotonically_increasing_id()), folder), False
 
 
 def hashed_sample(df: DataFrame, n: int, seed: int, key: str = "doc_id") -> DataFrame:

@@ -8,21 +8,24 @@ The index is a list of runs, each an immutable table bucketed and sorted by fing
 with greater ids than the documents before) is merge-joined with the runs, bucket by bucket, without dealing the runs
 out again; only the history rows whose fingerprint the batch has go on. Then
 
-* a fingerprint with surroundings that occurred before: all its windows are repeats;
+* a fingerprint with surroundings that occurred before: all its windows are repeats. Surroundings are told by 64 bits
+  of digests of their words and the fingerprint by other 64; words are told by a cryptographic digest;
 * a fingerprint that occurred before in other surroundings: its windows are verified one by one by a 128-bit
-  cryptographic digest of their words, read from the stored texts.
+  cryptographic digest of their words, read from the stored texts of the batches that hold such documents.
 
-The batch becomes a new run; ``fanout`` runs of one level are compacted into one of the next. Repeats within one chunk
-of a task are settled there and aren't dealt out, so a hot passage sends at most one row a chunk.
+The batch becomes a new run; ``fanout`` runs of one level are compacted into one of the next. Repeats within a task are
+settled there as far as they occur twice in one chunk of it, so a hot passage sends about one row a task. After each
+batch a manifest names the runs and texts, from which a later session opens the index (``FingerprintIndex.open``).
 
-Defined results: null or empty text has no words; fewer than ``WINDOW`` words have no window; rows that share an id
-count as one document, each losing what any of them loses; a null id counts as the smallest.
+Defined results: null or empty text has no words; fewer than ``WINDOW`` words have no window; every row is a document
+of its own, rows that share an id in the order of their texts; a null id is the smallest.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -31,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import BASES, Rolling, keyed, partitions, remove, row_chunks, staged, text_buffer, tidy, word_bounds, word_hashes
+from foldloom.llm.common import BASES, Rolling, keyed, numbered, partitions, remove, row_chunks, staged, text_buffer, tidy, word_bounds, word_digests
 
 WINDOW, GRAM = 20, 8
 #: Runs of GRAM words in a window.
 SPREAD = WINDOW - GRAM + 1
-NO_ID = -(1 << 63)
+#: Hot keys that a task keeps in mind.
+KEPT = 200_000
+TEXTS, RUN = "doc_id bigint, text string", "a bigint, c bigint, doc_id bigint, pos int, kind int"
 
 
 def _sliding(x: np.ndarray, pick: np.ufunc) -> np.ndarray:
@@ -48,8 +53,9 @@ def _sliding(x: np.ndarray, pick: np.ufunc) -> np.ndarray:
     return pick(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprint, hash of the surroundings, row and place in the row (in words) of every chosen run of words."""
+def anchors(words: np.ndarray, others: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprint, hash of the surroundings, row and place in the row (in words) of every chosen run of words, from the
+    two halves of the words' digests."""
     n = len(words)
     if n < WINDOW:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -62,7 +68,7 @@ def anchors(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     chosen = np.flatnonzero(_sliding(padded, np.maximum)[: len(gram)] == gram)
     begin, stop = bounds[row[chosen]], bounds[row[chosen] + 1]
     low, high = np.maximum(begin, chosen - SPREAD + 1), np.minimum(stop, chosen + WINDOW)
-    around = Rolling(words, BASES[2])(low, high) + (chosen - low).astype(np.uint64)
+    around = Rolling(others, BASES[2])(low, high) + (chosen - low).astype(np.uint64)
     return gram[chosen], around, row[chosen], chosen - begin
 
 
@@ -78,30 +84,62 @@ def _later(keys: list[np.ndarray], docs: np.ndarray, places: np.ndarray) -> np.n
     return out
 
 
+class Seen:
+    """Tells later occurrences of keys from the first, in a chunk and, of keys that one chunk has twice, in all chunks
+    of a task. An occurrence is only called later if an earlier one was passed on."""
+
+    def __init__(self) -> None:
+        self.first: dict[tuple[int, int], tuple[int, int]] = {}
+        self.sorted = np.zeros(0, np.uint64)
+
+    def later(self, one: np.ndarray, two: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
+        out = _later([one, two], docs, places)
+        mixed = one.view(np.uint64) ^ (two.view(np.uint64) * np.uint64(BASES[0]))
+        if len(self.sorted):
+            at = np.minimum(np.searchsorted(self.sorted, mixed), len(self.sorted) - 1)
+            for k in np.flatnonzero((self.sorted[at] == mixed) & ~out).tolist():
+                key, here = (int(one[k]), int(two[k])), (int(docs[k]), int(places[k]))
+                if (before := self.first.get(key)) is not None:
+                    out[k] = before < here
+                    self.first[key] = min(before, here)
+        twice = np.unique(mixed[out])
+        for k in np.flatnonzero(np.isin(mixed, twice, kind="sort") & ~out).tolist() if len(twice) else ():
+            key, here = (int(one[k]), int(two[k])), (int(docs[k]), int(places[k]))
+            if key in self.first or len(self.first) < KEPT:
+                self.first[key] = min(self.first.get(key, here), here)
+        if len(twice):
+            keys = np.array(list(self.first), np.int64 if one.dtype == np.int64 else np.uint64).reshape(-1, 2)
+            self.sorted = np.sort(keys[:, 0].view(np.uint64) ^ (keys[:, 1].view(np.uint64) * np.uint64(BASES[0])))
+        return out
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = Seen()
     for batch in batches:
         raw, offsets = text_buffer(batch.column(1))
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for i, j in row_chunks(offsets):
             part = raw[offsets[i] : offsets[j]]
             starts, ends, bounds = word_bounds(part, offsets[i : j + 1] - offsets[i])
-            print_, around, row, place = anchors(word_hashes(part, starts, ends), bounds)
+            print_, around, row, place = anchors(*word_digests(part, starts, ends), bounds)
             doc = ids[i:j][row]
-            dup = _later([print_, around], doc, place)
+            dup = seen.later(print_, around, doc, place)
             yield pa.RecordBatch.from_arrays([pa.array(print_.view(np.int64)), pa.array(around.view(np.int64)), pa.array(doc, pa.int64()), pa.array(place.astype(np.int32)), pa.array(dup)], ["a", "c", "doc_id", "pos", "dup"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of all windows that the given fingerprints may stand for."""
+    seen = Seen()
     for batch in batches:
         ids, texts, places = (batch.column(k).to_pylist() for k in range(3))
         digests, docs, starts = [], [], []
 
         def out() -> pa.RecordBatch:
             pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            one, two = np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])
             d, s = np.array(docs, np.int64), np.array(starts, np.int32)
-            dup = _later([pair[:, 0], pair[:, 1]], d, s)
-            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(d), pa.array(s), pa.array(dup)], ["w1", "w2", "doc_id", "start", "dup"])
+            dup = seen.later(one, two, d, s)
+            return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(d), pa.array(s), pa.array(dup)], ["w1", "w2", "doc_id", "start", "dup"])
 
         for doc, text, at in zip(ids, texts, places, strict=True):
             words = text.encode().split()
@@ -109,9 +147,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digests.append(hashlib.blake2b(b" ".join(words[s : s + WINDOW]), digest_size=16).digest())
                 docs.append(doc)
                 starts.append(s)
-            if len(docs) > 200_000:
-                yield out()
-                digests, docs, starts = [], [], []
+                if len(docs) > 200_000:
+                    yield out()
+                    digests, docs, starts = [], [], []
         if docs:
             yield out()
 
@@ -135,13 +173,42 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class FingerprintIndex:
-    """Runs of fingerprints and the texts behind them, in the shared folder."""
+    """Runs of fingerprints and the texts behind them, in the shared folder. Their tables are only in the catalog while
+    the index is open."""
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None, fanout: int = 4):
         self.spark, self.folder, self.fanout = spark, folder, fanout
         self.buckets = buckets or partitions(spark)
         self.runs: list[tuple[int, str]] = []
-        self.texts: list[str] = []
+        #: Name, least and greatest document of each batch.
+        self.texts: list[tuple[str, int, int]] = []
+        self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> FingerprintIndex:
+        """The index that an earlier session left in the folder."""
+        root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        done = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest-*/_SUCCESS"))
+        versions = sorted(int(f.getPath().getParent().getName().split("-")[1]) for f in done)
+        state = json.loads(spark.read.text(f"{folder}/manifest-{versions[-1]}").first().value)
+        index = cls(spark, folder, state["buckets"], state["fanout"])
+        index.version = versions[-1]
+        index.runs, index.texts = [tuple(r) for r in state["runs"]], [tuple(t) for t in state["texts"]]
+        for name, columns, key in [*((n, RUN, "a") for _, n in index.runs), *((t[0], TEXTS, "doc_id") for t in index.texts)]:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {index.buckets} BUCKETS LOCATION '{folder}/{name}'")
+        return index
+
+    def close(self) -> None:
+        """Take the tables out of the catalog; their files stay."""
+        for name in [*(n for _, n in self.runs), *(t[0] for t in self.texts)]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def _record(self) -> None:
+        """A new manifest, complete before the one before goes."""
+        self.version += 1
+        state = json.dumps({"buckets": self.buckets, "fanout": self.fanout, "runs": self.runs, "texts": self.texts})
+        self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/manifest-{self.version}")
+        remove(self.spark, f"{self.folder}/manifest-{self.version - 1}")
 
     def _store(self, df: DataFrame, key: str) -> str:
         """An immutable table of one sorted file a bucket."""
@@ -159,11 +226,13 @@ class FingerprintIndex:
         return [self.spark.table(name).filter("kind < 2").select("a", "c", "doc_id", "pos") for _, name in self.runs]
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Deduplicate a batch (doc_id, text) against the index and itself, then make it part of the index.
-        Returns doc_id, n_words, n_removed, kept (the kept words, joined by one blank)."""
+        """Deduplicate a batch (doc_id, unique and never null, and text) against the index and itself, then make it part
+        of the index. Returns doc_id, n_words, n_removed, kept (the kept words, joined by one blank)."""
         spark, tag = self.spark, uuid.uuid4().hex
-        self.texts.append(self._store(docs, "doc_id"))
-        texts = spark.table(self.texts[-1])
+        name = self._store(docs, "doc_id")
+        texts = spark.table(name)
+        ends = texts.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+        self.texts.append((name, *((0, -1) if ends.low is None else (ends.low, ends.high))))
         prints = staged(texts.mapInArrow(_fingerprints, "a long, c long, doc_id long, pos int, dup boolean"), f"{self.folder}/prints-{tag}")
         fresh = prints.filter("NOT dup").select("a", "c", "doc_id", "pos", F.lit(False).alias("old"))
         for run in self.history():
@@ -181,7 +250,10 @@ class FingerprintIndex:
         table = spark.table(run)
         need = table.filter("kind IN (1, 3)").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
         read = lambda name: spark.table(name).join(need, "doc_id").select("doc_id", "text", "at").mapInArrow(_windows, "w1 long, w2 long, doc_id long, start int, dup boolean")
-        windows = [staged(read(name), f"{self.folder}/windows-{tag}-{k}") for k, name in enumerate(self.texts)]
+        # Only the texts of batches that hold such documents are read.
+        hit = need.agg(*(F.count_if(F.col("doc_id").between(low, high)).alias(f"n{k}") for k, (_, low, high) in enumerate(self.texts))).first()
+        read_from = [k for k in range(len(self.texts)) if hit[f"n{k}"]] or [len(self.texts) - 1]
+        windows = [staged(read(self.texts[k][0]), f"{self.folder}/windows-{tag}-{k}") for k in read_from]
         every = windows[0]
         for w in windows[1:]:
             every = every.unionByName(w)
@@ -192,19 +264,21 @@ class FingerprintIndex:
         covers = later.select("doc_id", F.col("start").alias("low"), (F.col("start") + WINDOW).alias("high")).unionByName(
             around.select("doc_id", F.greatest(F.col("pos") - (SPREAD - 1), F.lit(0)).alias("low"), (F.col("pos") + WINDOW).alias("high")))
         covers = staged(covers.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("covers")), f"{self.folder}/covers-{tag}")
-        for path in (f"{self.folder}/prints-{tag}", *(f"{self.folder}/windows-{tag}-{k}" for k in range(len(windows)))):
+        for path in (f"{self.folder}/prints-{tag}", *(f"{self.folder}/windows-{tag}-{k}" for k in read_from)):
             remove(spark, path)
         self.runs.append((0, run))
         self._compact()
+        self._record()
         tidy(spark)
-        joined = texts.join(covers, "doc_id", "left").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", "covers")
+        joined = texts.join(covers, "doc_id", "left").select("doc_id", "text", "covers")
         return joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
 
     def forget(self) -> None:
-        """Drop the runs; results that were returned only need the texts."""
+        """Drop the runs; results that were returned only need the files of the texts."""
         for _, name in self.runs:
             self._drop(name)
         self.runs = []
+        self.close()
 
     def _compact(self) -> None:
         """Merge ``fanout`` runs of one level; of equal fingerprints in equal surroundings the first stays."""
@@ -223,9 +297,10 @@ class FingerprintIndex:
 
 
 def dedup(df: DataFrame, folder: str, batches: int = 3, fanout: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A whole table through the index, in batches of ascending id."""
+    """A whole table through the index, in batches of ascending id: a row of results for each row."""
     spark = df.sparkSession
-    docs = keyed(df, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    rows, by_id = numbered(keyed(df, id_col, text_col), f"{folder}/rows")
+    docs = rows.select(F.col("row_number").alias("doc_id"), "text")
     cuts = docs.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000).alias("q")).first().q if batches > 1 else []
     edges = [None, *sorted(set(cuts or [])), None]
     index, out = FingerprintIndex(spark, folder, fanout=fanout), None
@@ -238,7 +313,10 @@ def dedup(df: DataFrame, folder: str, batches: int = 3, fanout: int = 4, id_col:
         done = index.add(batch)
         out = done if out is None else out.unionByName(done)
     index.forget()
-    return out
+    if by_id:
+        return out
+    named = out.withColumnRenamed("doc_id", "row_number").join(rows.select("row_number", "doc_id"), "row_number")
+    return named.select("doc_id", "n_words", "n_removed", "kept")
 
 
 ORACLE = r"""
