@@ -31,7 +31,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of near duplicates the row with the least id stays; of rows that share that id one (the least text). Null ids
     count as the least. Texts without words (null, empty) are no duplicates of anything, and stay."""
     folder = shared_dir(spark)
-    rows = numbered(docs, f"{folder}/numbered")
+    rows, _ = numbered(docs, f"{folder}/numbered")
     classes = near_dup.near_duplicates(rows.select("row_number", "text"), folder, id_col="row_number")
     gone = classes.filter("doc_id != class_id").select(F.col("doc_id").alias("row_number"))
     return rows.join(gone, "row_number", "left_anti").select(docs.columns)
@@ -42,7 +42,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids the earliest); rows that lose all their words go. Rows that lose nothing keep their text as it is, those
     without words too."""
     folder = shared_dir(spark)
-    rows = numbered(docs, f"{folder}/numbered")
+    rows, _ = numbered(docs, f"{folder}/numbered")
     done = substring_dedup.dedup(rows.select("row_number", "text"), folder, id_col="row_number").filter("n_removed > 0")
     cut = done.select(F.col("doc_id").alias("row_number"), F.col("kept").alias("kept_text"))
     joined = rows.join(cut, "row_number", "left").filter("kept_text IS NULL OR kept_text != ''")
