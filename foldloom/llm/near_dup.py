@@ -14,7 +14,8 @@ m / (a + b - m).
 No pair of a bucket is skipped unless its two texts are in one class already, and no bucket is expanded into all its
 pairs first: equal texts are one text; then everything in a bucket is compared with its leading text; what that leaves
 outside the leading text's class is compared, a growing number of texts at a time, with all of the bucket that is in
-other classes by then. Classes are connected components, found by label spreading over stored tables.
+other classes by then. Before any text is read, a parity bound rules pairs out: each text has ``64 * WORDS`` bits, one
+flipped for each labelled k-mer, so two texts differ in at least as many k-mers as in bits. Classes are connected components, found by label spreading over stored tables.
 
 Defined results: a text without words (null, empty) is a class of its own; texts of under five words are linked if
 their words are equal; a null id joins the class of an equal text, else its class is null; rows that share an id
@@ -27,10 +28,12 @@ import hashlib
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.llm.common import BASES, Rolling, keyed, mixed, remove, row_chunks, staged, text_buffer, tidy, word_bounds, word_hashes
@@ -40,10 +43,17 @@ SHINGLE = 5
 RARE, LISTED = 8, 32
 #: Pairs of texts of at most so many k-mers are found by a prefix filter, not by sketches.
 EXACT = 32
+#: 64-bit words of a text's parity.
+WORDS = 8
+#: Pairs that one copy of a leading text serves.
+SERVED = 256
 #: How fast the number of texts of a bucket grows that are compared with the rest of it in a round.
 GROWTH = 8
 
 
+PARITY = [f"p{k}" for k in range(WORDS)]
+
+
 def labelled_hashes(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the labelled k-mers of all rows in text order, and their n+1 offsets."""
     n = len(words) - SHINGLE + 1
@@ -101,6 +111,17 @@ def keys_of(labels: np.ndarray, sketches: int, picked: int, least: float) -> np.
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]))
 
 
+def parity(labels: np.ndarray) -> np.ndarray:
+    """One bit for each residue of the labels: whether an odd number of them has it."""
+    return np.packbits((np.bincount((labels % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def alike(least: float, n: str, m: str) -> Column:
+    """Whether two texts of ``n`` and ``m`` k-mers (parities p0, ... and x0, ...) may be similar enough, by their parities."""
+    apart = reduce(add, (F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"x{k}"))) for k in range(WORDS)))
+    return apart <= F.lit((1 - least) / (1 + least)) * (F.col(n) + F.col(m)) + F.lit(1e-6)
+
+
 def similarity(one: bytes, other: bytes, least: float) -> float:
     """Similarity by banded alignment, 0 where it can't reach ``least``."""
     a, b = one.split(), other.split()
@@ -133,7 +154,7 @@ def similarity(one: bytes, other: bytes, least: float) -> float:
 
 
 def sketches_of(df: DataFrame, sketches: int, picked: int, least: float) -> DataFrame:
-    """doc_id, digest of the words (null without words), number of k-mers, keys."""
+    """doc_id, digest of the words (null without words), number of k-mers, keys, parity words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,16 +164,17 @@ def sketches_of(df: DataFrame, sketches: int, picked: int, least: float) -> Data
                 at = offsets[i : j + 1] - offsets[i]
                 starts, ends, bounds = word_bounds(part, at)
                 labels, cut = labelled_hashes(word_hashes(part, starts, ends), bounds)
-                digests, keys = [], []
+                digests, keys, bits = [], [], []
                 for k in range(j - i):
                     words = part[at[k] : at[k + 1]].tobytes().split()
                     digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
                     mine = labels[cut[k] : cut[k + 1]]
                     keys.append(keys_of(mine, sketches, picked, least).view(np.int64))
+                    bits.append(parity(mine))
                 bands = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), np.concatenate(keys))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(digests, pa.binary()), pa.array(np.diff(cut).astype(np.int32)), bands], ["doc_id", "digest", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(digests, pa.binary()), pa.array(np.diff(cut).astype(np.int32)), bands, *map(pa.array, np.stack(bits).T)], ["doc_id", "digest", "n", "keys", *PARITY])
 
-    return df.mapInArrow(run, "doc_id long, digest binary, n int, keys array<long>")
+    return df.mapInArrow(run, "doc_id long, digest binary, n int, keys array<long>, " + ", ".join(f"{p} long" for p in PARITY))
 
 
 def kmers_of(texts: DataFrame) -> DataFrame:
@@ -174,14 +196,17 @@ def rarities(kmers: DataFrame) -> DataFrame:
     """doc, alone (k-mers that no other text has), rare (those that at most RARE texts have, null if over LISTED)."""
     spread = kmers.groupBy("label").agg(F.count("*").alias("df"), F.min("doc").alias("doc"))
     alone = spread.filter("df = 1").groupBy("doc").agg(F.count("*").alias("alone"))
-    few = kmers.join(spread.filter(F.col("df").between(2, RARE)).select("label"), "label").groupBy("doc").agg(F.collect_list("label").alias("rare"))
-    few = few.select("doc", F.when(F.size("rare") <= LISTED, F.col("rare")).alias("rare"), F.lit(True).alias("some"))
+    few = kmers.join(spread.filter(F.col("df").between(2, RARE)).select("label"), "label")
+    many = few.groupBy("doc").agg(F.count("*").alias("n_rare"))
+    lists = few.join(many.filter(F.col("n_rare") <= LISTED).select("doc"), "doc", "left_semi").groupBy("doc").agg(F.collect_list("label").alias("rare"))
+    few = many.join(lists, "doc", "left").select("doc", "rare", F.lit(True).alias("some"))
     met = alone.join(few, "doc", "full")
     return met.select("doc", F.coalesce("alone", F.lit(0)).alias("alone"), F.when(F.col("some").isNull(), F.array().cast("array<bigint>")).otherwise(F.col("rare")).alias("rare"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts are similar."""
+    """Those of ``pairs`` (a, b) whose texts are similar. A text that is ``a`` in many pairs is copied once for about
+    ``SERVED`` of them, so that they can go to many tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,8 +214,12 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             good = [similarity(s.encode(), t.encode(), least) >= least for s, t in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, g in zip(a, good, strict=True) if g], pa.int64()), pa.array([i for i, g in zip(b, good, strict=True) if g], pa.int64())], ["a", "b"])
 
-    left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SERVED).alias("shares"))
+    dealt = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), "shares").alias("share"))
+    copies = shares.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+    left = copies.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
+    return dealt.join(right, "b").join(left, ["a", "share"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, folder: str) -> DataFrame:
@@ -226,8 +255,8 @@ def near_duplicates(df: DataFrame, folder: str, least: float = 0.8, sketches: in
     sketched = staged(sketches_of(docs, sketches, picked, least), f"{kept}/sketched")
     tidy(spark)
     worded = sketched.filter("digest IS NOT NULL")
-    texts_of = worded.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min_by(F.struct("n", "keys"), "doc_id").alias("s"))
-    firsts = staged(texts_of.select("digest", "doc", "s.n", "s.keys"), f"{folder}/firsts")
+    texts_of = worded.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min_by(F.struct("n", "keys", *PARITY), "doc_id").alias("s"))
+    firsts = staged(texts_of.select("digest", "doc", "s.*"), f"{folder}/firsts")
     rows = firsts.select("doc", "n", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("size")).filter("low != high").select("key", "size")
     shared = staged(rows.join(sizes, "key"), f"{folder}/shared")
@@ -241,20 +270,25 @@ def near_duplicates(df: DataFrame, folder: str, least: float = 0.8, sketches: in
     # Texts whose numbers of k-mers differ too much can't be similar enough.
     sized = lambda m, n: F.least(F.col(m), F.col(n)) >= F.lit(least) * F.greatest(F.col(m), F.col(n))
     pairs = buckets.filter((F.col("doc") != F.col("lead")) & sized("n", "lead_n")).select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
-    tested = staged(pairs, f"{folder}/pairs-0")
+    bits = lambda name, as_: firsts.select(F.col("doc").alias(name), F.col("n").alias(f"n_{name}"), *(F.col(p).alias(f"{as_}{k}") for k, p in enumerate(PARITY)))
+    near = pairs.join(bits("b", "p"), "b").join(bits("a", "x"), "a").filter(alike(least, "n_a", "n_b"))
+    tested = staged(near.select("a", "b"), f"{folder}/pairs-0")
     links = staged(verified(tested, texts, least), f"{folder}/links-0")
     tidy(spark)
     labels = merged(members.select("doc", F.col("doc").alias("comp")), links, f"{folder}/round-0")
     here = buckets.join(labels, "doc")
     split = here.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("doc") == F.col("lead"), F.col("comp"))).alias("home")).filter("low != high").select("key", "home")
     open_ = staged(here.join(split, "key").filter("doc != lead").select("key", "doc", "n", "weight", "comp", "home"), f"{folder}/open")
-    rest = open_.filter("comp != home").select("key", "doc", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "doc")).alias("rank"))
+    # A place in the bucket for each text outside the class of its lead, drawn by a hash, so that no bucket is sorted.
+    outside = open_.filter("comp != home").select("key", "doc")
+    drawn = F.pmod(F.xxhash64("key", "doc"), F.lit(1 << 32)) / (1 << 32)
+    rest = outside.join(outside.groupBy("key").agg(F.count("*").alias("size")), "key").select("key", "doc", (F.floor(drawn * F.col("size")) + 1).alias("rank"))
     # What two texts can align: no k-mer that one of them has alone, and of the rare ones only those that both have.
     kmers = staged(kmers_of(texts.join(open_.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")), f"{folder}/kmers")
     none = F.array().cast("array<bigint>")
     rest = open_.select("key", "doc", "n").join(rest, ["key", "doc"], "left").join(rarities(kmers).withColumn("told", F.lit(True)), "doc", "left")
     rest = rest.withColumns({"shared": F.col("n") - F.coalesce("alone", F.lit(0)), "rare": F.when(F.col("told").isNull(), none).otherwise(F.col("rare"))})
-    rest = rest.filter(F.col("shared") >= F.lit(least - 1e-9) * F.col("n")).join(firsts.select("doc", "keys"), "doc")
+    rest = rest.filter(F.col("shared") >= F.lit(least - 1e-9) * F.col("n")).join(firsts.select("doc", "keys", *PARITY), "doc")
     rest = staged(rest.withColumn("common", F.col("shared") - F.size("rare")).drop("alone", "told"), f"{folder}/rest")
     loose = F.least("shared", "xshared")
     tight = F.least("common", "xcommon") + F.size(F.array_intersect("rare", "xrare"))
@@ -266,8 +300,8 @@ def near_duplicates(df: DataFrame, folder: str, least: float = 0.8, sketches: in
         turn += 1
         high = low * GROWTH - 1
         now = rest.join(labels, "doc")
-        leaders = now.filter(F.col("rank").between(low, high)).select("key", F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("shared").alias("xshared"), F.col("common").alias("xcommon"), F.col("rare").alias("xrare"), F.col("keys").alias("xkeys"), F.col("rank").alias("r"), F.col("comp").alias("c"))
-        fresh = now.join(leaders, "key").filter((F.col("comp") != F.col("c")) & (F.col("rank").isNull() | (F.col("rank") > F.col("r"))) & sized("n", "xn") & enough() & once)
+        leaders = now.filter(F.col("rank").between(low, high)).select("key", F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("shared").alias("xshared"), F.col("common").alias("xcommon"), F.col("rare").alias("xrare"), F.col("keys").alias("xkeys"), F.col("rank").alias("r"), F.col("comp").alias("c"), *(F.col(p).alias(f"x{k}") for k, p in enumerate(PARITY)))
+        fresh = now.join(leaders, "key").filter((F.col("comp") != F.col("c")) & (F.col("rank").isNull() | (F.struct("rank", "doc") > F.struct("r", "x"))) & sized("n", "xn") & alike(least, "n", "xn") & enough() & once)
         fresh = fresh.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).join(tested, ["a", "b"], "left_anti")
         pairs = staged(fresh, f"{folder}/pairs-{turn}")
         found = staged(verified(pairs, texts, least), f"{folder}/links-{turn}")

@@ -126,3 +126,62 @@ def test_prefix_misses_no_pair():
                 labels = rng.integers(0, 1 << 63, a + b - m).astype(np.uint64)
                 one, other = (near_dup.keys_of(x, 32, 6, 0.8) for x in (labels[:a], labels[a - m :]))
                 assert len(np.intersect1d(one, other))
+
+
+def test_parity_rules_out_no_similar_pair():
+    rng = np.random.default_rng(7)
+    for _ in range(2000):
+        a, b = rng.integers(1, 400, 2)
+        m = rng.integers(0, min(a, b) + 1)
+        labels = rng.integers(0, 1 << 63, a + b - m).astype(np.uint64)
+        apart = sum(bin(int(x) & (1 << 64) - 1).count("1") for x in near_dup.parity(labels[:a]) ^ near_dup.parity(labels[a - m :]))
+        assert apart <= a + b - 2 * m
+
+
+def stock(n, seed=9):
+    """Texts of one header and three of forty stock sentences."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    header, sentences = [word() for _ in range(60)], [[word() for _ in range(12)] for _ in range(40)]
+    return [(i, " ".join(header + [w for k in rng.sample(range(40), 3) for w in sentences[k]])) for i in range(n)]
+
+
+def counted(spark, rows, monkeypatch):
+    """Classes, and how many pairs were verified."""
+    total, plain = [], near_dup.verified
+
+    def verified(pairs, texts, least):
+        total.append(pairs.count())
+        return plain(pairs, texts, least)
+
+    monkeypatch.setattr(near_dup, "verified", verified)
+    out = run(spark, rows)
+    monkeypatch.undo()
+    return out, sum(total)
+
+
+def test_boilerplate_makes_few_pairs(spark, monkeypatch):
+    """Texts that share a header and stock sentences: nearly all pairs are ruled out unread, and no link is lost."""
+    rows = stock(300)
+    got, few = counted(spark, rows, monkeypatch)
+    assert got == brute(rows) and few < 900
+    many = counted(spark, stock(1200), monkeypatch)[1]
+    assert many < 12 * max(few, 300)
+
+
+def test_long_texts_and_shared_ids(spark):
+    rng = random.Random(6)
+    long = [f"x{rng.randrange(10**6)}" for _ in range(200_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(edited(rng, long, 500))), (3, " ".join(long[::-1])), (4, "é " * 600_000), (5, "é " * 590_000)]
+    assert run(spark, rows) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    df = spark.createDataFrame([(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "h i j k l m n"), (None, "a b c d e f g")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.class_id) for r in near_dup.near_duplicates(df, common.shared_dir(spark)).collect())
+    assert got == [("1", 1), ("1", 1), ("2", 1), ("None", 1)]
+
+
+def test_a_hot_lead_is_copied(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SERVED", 3)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(edited(rng, base, 1))) for i in range(40)]
+    assert run(spark, rows) == brute(rows)
