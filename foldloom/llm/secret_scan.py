@@ -1,10 +1,12 @@
 """Secret scans over a worklist of decoded layers.
 
-Layers of a text: its URL escapes undone, its Unicode and HTML number escapes undone, and each base64 token decoded in
-its four alignments, also over line ends (gzip, zlib and bzip2 data that begins with the token, or after a line end,
-'/', '-' or '_', is unpacked too, all members and down to what isn't compressed). Every new layer is scanned and goes on the worklist itself; a layer that
-was met before at the same place ends there, so cycles end and the worklist reaches its fixpoint. Each character of
-a layer knows the stretch of the source text it came from, and found spans are given in code points of the source.
+Layers of a text: its URL escapes undone, its Unicode and HTML number escapes undone, each run of 16-bit characters
+read as such, and each base64 token decoded in its four alignments, also over line ends (gzip, zlib and bzip2 data that
+begins with the token, or after a line end, '/', '-' or '_', is unpacked too, all members and down to what isn't
+compressed). Every new layer is scanned and unwrapped itself; a layer that was met before at the same place ends there,
+so cycles end and the worklist reaches its fixpoint. The worklist goes deep first and makes a layer when its turn comes:
+what it holds at a time is one layer for each level of nesting, and a digest of each layer that was met. A layer knows
+which stretch of the source text its characters came from, and found spans are given in code points of the source.
 
 Defined results: null text counts as empty and has no spans; equal spans of one kind are given once; decoded
 bytes are scanned as they are, whether they are UTF-8 or not. Unpacked data over ``MAX_LAYER`` bytes is scanned in overlapping stretches of bytes.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import binascii
 import bz2
+import hashlib
 import re
 import zlib
 from bisect import bisect_right
@@ -36,6 +39,7 @@ BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 CUT = re.compile(r"[/_-]")
+WIDE = re.compile(r"(?:[\t\n\r\x20-\x7e]\x00){7,}[\t\n\r\x20-\x7e]?")
 MAX_LAYER = 16_000_000
 OVERLAP = 100_000
 
@@ -54,38 +58,50 @@ def base_spans(text: str) -> list[Span]:
 
 
 class Layer:
-    """A text and where its characters came from: ``starts[i]`` to ``stops[i]``, or all from one stretch, or what ``place`` says."""
+    """A text, and where it came from: all of it from one stretch (``whole``), or its parts from what ``place`` says."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, stops: list[int] | None = None, whole: tuple[int, int] | None = None, place: Callable[[int, int], tuple[int, int]] | None = None):
-        self.text, self.starts, self.stops, self.whole, self.place = text, starts, stops, whole, place
+    def __init__(self, text: str, whole: tuple[int, int] | None = None, place: Callable[[int, int], tuple[int, int]] | None = None):
+        self.text, self.whole, self.place = text, whole, place
 
     def source(self, start: int, stop: int) -> tuple[int, int]:
         if self.whole:
             return self.whole
-        if self.place:
-            return self.place(start, stop)
-        if self.starts is None:
-            return start, stop
-        return self.starts[start], self.stops[stop - 1]
+        return self.place(start, stop) if self.place else (start, stop)
+
+    def key(self) -> bytes:
+        """A digest of the text and its place."""
+        return hashlib.blake2b(self.text.encode("utf-8", "surrogatepass") + b"%d %d" % self.source(0, len(self.text)), digest_size=16).digest()
 
     def replaced(self, cuts: list[tuple[int, int, str]]) -> Layer:
-        """The layer with stretches replaced; a replacement of as many characters as its stretch has equal parts keeps
-        them apart."""
-        out, starts, stops, at = [], [], [], 0
-        one = lambda i: self.source(i, i + 1)
-        for a, b, new in [*cuts, (len(self.text), len(self.text), "")]:
-            out += [self.text[at:a], new]
-            if not self.whole:
-                for i in range(at, a):
-                    s, e = one(i)
-                    starts.append(s)
-                    stops.append(e)
-                if new:
-                    s, e = self.source(a, b)
-                    starts += [s] * len(new)
-                    stops += [e] * len(new)
+        """The layer with stretches replaced. What is kept from it is known by the cuts alone."""
+        parts, begins, shift, at, size = [], [], [], 0, 0
+        for a, b, new in cuts:
+            parts += [self.text[at:a], new]
+            size += a - at
+            begins.append(size)
+            size += len(new)
+            shift.append(size)
             at = b
-        return Layer("".join(out), None if self.whole else starts, None if self.whole else stops, self.whole)
+        parts.append(self.text[at:])
+
+        def near(i: int) -> tuple[int, int]:
+            """The stretch of this layer that character ``i`` of the new one stands for."""
+            k = bisect_right(begins, i) - 1
+            if k >= 0 and i < shift[k]:
+                return cuts[k][:2]
+            old = i if k < 0 else cuts[k][1] + i - shift[k]
+            return old, old + 1
+
+        def place(start: int, stop: int) -> tuple[int, int]:
+            return self.source(*near(start))[0], self.source(*near(stop - 1))[1]
+
+        return Layer("".join(parts), whole=self.whole, place=place)
+
+
+def wide_layers(layer: Layer) -> Iterator[Layer]:
+    """Runs of ASCII characters of 16 bits each."""
+    for m in WIDE.finditer(layer.text):
+        yield Layer(m[0][::2], place=lambda i, j, m=m: layer.source(m.start() + 2 * i, m.start() + 2 * j - 1))
 
 
 def url_cuts(text: str) -> list[tuple[int, int, str]]:
@@ -236,26 +252,30 @@ def base64_layers(layer: Layer) -> Iterator[Layer]:
         yield from token_layers(layer, token, at, m.end(), cuts, True)
 
 
+def unwrapped(layer: Layer) -> Iterator[Layer]:
+    """The layers right under one, one at a time."""
+    if "%" in layer.text and (cuts := url_cuts(layer.text)):
+        yield layer.replaced(cuts)
+    if ("\\" in layer.text or "&#" in layer.text) and (cuts := escape_cuts(layer.text)):
+        yield layer.replaced(cuts)
+    if "\0" in layer.text:
+        yield from wide_layers(layer)
+    yield from base64_layers(layer)
+
+
 def find_secrets(text: str) -> list[tuple[int, int, int, bool]]:
     """(kind, start, end, base) of all layers, by start, then kind."""
     base = set(base_spans(text))
-    found = set(base)
-    work, met = [Layer(text)], {(text, 0, len(text))}
+    found, first = set(base), Layer(text)
+    work, met = [unwrapped(first)], {first.key()}
     while work:
-        layer = work.pop()
-        new = []
-        if "%" in layer.text and (cuts := url_cuts(layer.text)):
-            new.append(layer.replaced(cuts))
-        if ("\\" in layer.text or "&#" in layer.text) and (cuts := escape_cuts(layer.text)):
-            new.append(layer.replaced(cuts))
-        new += base64_layers(layer)
-        for inner in new:
-            key = (inner.text, *inner.source(0, len(inner.text))) if inner.text else ("", 0, 0)
-            if not inner.text or key in met:
-                continue
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+        elif layer.text and (key := layer.key()) not in met:
             met.add(key)
-            work.append(inner)
-            found.update((k, *inner.source(a, b)) for k, a, b in base_spans(inner.text))
+            found.update((k, *layer.source(a, b)) for k, a, b in base_spans(layer.text))
+            work.append(unwrapped(layer))
     return sorted(((k, a, b, (k, a, b) in base) for k, a, b in found), key=lambda x: (x[1], x[0], x[2]))
 
 
