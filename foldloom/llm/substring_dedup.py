@@ -40,7 +40,7 @@ WINDOW, GRAM = 20, 8
 #: Runs of GRAM words in a window.
 SPREAD = WINDOW - GRAM + 1
 #: Hot keys that a task keeps in mind.
-KEPT = 200_000
+KEPT = 50_000
 TEXTS, RUN = "doc_id bigint, text string", "a bigint, c bigint, doc_id bigint, pos int, kind int"
 
 
@@ -89,27 +89,31 @@ class Seen:
     of a task. An occurrence is only called later if an earlier one was passed on."""
 
     def __init__(self) -> None:
-        self.first: dict[tuple[int, int], tuple[int, int]] = {}
-        self.sorted = np.zeros(0, np.uint64)
+        #: Hot keys in the order of ``mixed``: both halves, and the earliest document and place so far.
+        self.one = self.two = self.doc = self.place = np.zeros(0, np.int64)
+        self.mixed = np.zeros(0, np.uint64)
 
     def later(self, one: np.ndarray, two: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
         out = _later([one, two], docs, places)
+        one, two = one.view(np.int64), two.view(np.int64)
         mixed = one.view(np.uint64) ^ (two.view(np.uint64) * np.uint64(BASES[0]))
-        if len(self.sorted):
-            at = np.minimum(np.searchsorted(self.sorted, mixed), len(self.sorted) - 1)
-            for k in np.flatnonzero((self.sorted[at] == mixed) & ~out).tolist():
-                key, here = (int(one[k]), int(two[k])), (int(docs[k]), int(places[k]))
-                if (before := self.first.get(key)) is not None:
-                    out[k] = before < here
-                    self.first[key] = min(before, here)
-        twice = np.unique(mixed[out])
-        for k in np.flatnonzero(np.isin(mixed, twice, kind="sort") & ~out).tolist() if len(twice) else ():
-            key, here = (int(one[k]), int(two[k])), (int(docs[k]), int(places[k]))
-            if key in self.first or len(self.first) < KEPT:
-                self.first[key] = min(self.first.get(key, here), here)
-        if len(twice):
-            keys = np.array(list(self.first), np.int64 if one.dtype == np.int64 else np.uint64).reshape(-1, 2)
-            self.sorted = np.sort(keys[:, 0].view(np.uint64) ^ (keys[:, 1].view(np.uint64) * np.uint64(BASES[0])))
+        known = np.zeros(len(out), bool)
+        if len(self.mixed):
+            at = np.minimum(np.searchsorted(self.mixed, mixed), len(self.mixed) - 1)
+            known = ~out & (self.one[at] == one) & (self.two[at] == two)
+            mine = np.flatnonzero(known)
+            k = at[mine]
+            after = (docs[mine] > self.doc[k]) | ((docs[mine] == self.doc[k]) & (places[mine] > self.place[k]))
+            out[mine[after]] = True
+            self.doc[k[~after]], self.place[k[~after]] = docs[mine[~after]], places[mine[~after]]
+        if len(self.mixed) < KEPT and out.any():
+            new = np.flatnonzero(~out & ~known & np.isin(mixed, np.unique(mixed[out]), kind="sort"))[: KEPT - len(self.mixed)]
+            if len(new):
+                joined = np.r_[self.mixed, mixed[new]]
+                order = np.argsort(joined, kind="stable")
+                self.mixed = joined[order]
+                for name, x in (("one", one), ("two", two), ("doc", docs), ("place", places)):
+                    setattr(self, name, np.r_[getattr(self, name), x[new]].astype(np.int64)[order])
         return out
 
 
@@ -147,7 +151,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digests.append(hashlib.blake2b(b" ".join(words[s : s + WINDOW]), digest_size=16).digest())
                 docs.append(doc)
                 starts.append(s)
-                if len(docs) > 200_000:
+                if len(docs) > 50_000:
                     yield out()
                     digests, docs, starts = [], [], []
         if docs:

@@ -1,6 +1,9 @@
 import hashlib
+import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foldloom.llm import common, digests
@@ -62,3 +65,29 @@ def test_neighbours_equal_brute_force(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(str(r[0]), *r[1:]) for r in digests.compare_neighbours(df, common.shared_dir(spark)).collect()]
     assert sorted(got) == brute(rows)
+
+
+def test_stretches_change_nothing(monkeypatch):
+    texts = [t for _, t in small_documents()[:30]] + ["", "ab", "é" * 900]
+    whole = digests.digests(texts)
+    monkeypatch.setattr(digests, "STRETCH", 1000)
+    assert (digests.digests(texts) == whole).all()
+
+
+def test_edits_by_sql(spark):
+    """Sizes and edited texts as DuckDB makes them."""
+    rows = small_documents()
+    text, ids = pa.array([t for _, t in rows], pa.string()), pa.array([d for d, _ in rows])
+    documents = pa.table({"doc_id": ids, "text": text})  # noqa: F841
+    want = duckdb.sql("""SELECT doc_id, length(text) AS n, sha256(substr(text, 1, length(text) - length(text) // 2) || substr(next, 1, length(text) // 2)) AS e FROM (
+        SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first(text) OVER (ORDER BY doc_id DESC)) AS next FROM documents)""").fetchall()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_chars, r.edited_sha256) for r in digests.compare_neighbours(df, common.shared_dir(spark)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_long_texts(spark):
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choice("abcdé \n") for _ in range(n))) for k, n in enumerate((1_300_000, 3, 2_100_000))]
+    got = [(str(r[0]), *r[1:]) for r in digests.compare_neighbours(spark.createDataFrame(rows, "doc_id long, text string"), common.shared_dir(spark)).collect()]
+    assert sorted(got) == brute(rows)

@@ -69,3 +69,12 @@ def test_odd_rows(spark, odd, empty):
     got = packing.pack_documents(odd, PATH, common.shared_dir(spark), capacity=16, end_id=7).collect()
     check(ODD, got, 16, 7)
     assert packing.pack_documents(empty, PATH, common.shared_dir(spark)).collect() == []
+
+
+def test_long_texts_and_shared_ids(spark):
+    """Texts over several windows, rows that share an id with different texts, repeated rows; each is packed whole."""
+    rng = random.Random(6)
+    rows = [(1, " ".join(rng.choice(("one", "two", "é", "3")) for _ in range(600_000))), (1, "short"), (1, "short"), (None, None), (2, "x" * 70_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sequences, tokens = check(rows, packing.pack_documents(df, PATH, common.shared_dir(spark)).collect(), 2048, 0)
+    assert sequences <= 1.05 * -(-tokens // 2048) + 1

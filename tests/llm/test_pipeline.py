@@ -2,6 +2,8 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from foldloom.llm import common, secret_scan
 from tests.llm.conftest import SMALL
 from tests.llm.test_near_dup import brute as near_brute
@@ -44,6 +46,32 @@ def test_stages_against_plain_versions(spark):
     assert Counter(map(key, whole)) == Counter(map(key, rows))
 
 
+def test_rows_that_share_ids_keep_their_own_text(spark):
+    """Rows with one id and different texts, null ids, repeated rows, empty and long texts: each stage, row by row,
+    against plain versions over rows in the order of id (null first) and text."""
+    en = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").filter("lang = 'en' AND n_chars BETWEEN 900 AND 4000").orderBy("doc_id").limit(9).collect()]
+    passage = " ".join(en[7].split()[:60])
+    rows = [(2, en[0]), (2, en[1] + " " + passage), (2, en[0]), (3, en[0]), (None, en[2] + " " + passage), (None, en[3] + " " + passage), (None, en[2] + " " + passage), (5, passage), (5, en[4] + " password: hunter2hunter2"), (6, None), (6, ""), (7, " ".join(en * 160)), (None, None)]
+    df = spark.createDataFrame([(d, t, None, "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    shown = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    ordered = order(rows)
+    classes = near_brute([(k, t) for k, (_, t) in enumerate(ordered)])
+    one = corpus_pipeline.one_of_each_group(spark, df, SMALL)
+    assert one.columns == COLUMNS and shown(one) == Counter(r for k, r in enumerate(ordered) if classes[k] == k)
+    cut = repeats_brute([(k, t) for k, (_, t) in enumerate(ordered)])
+    want = Counter((d, t if not cut[k][1] else cut[k][2]) for k, (d, t) in enumerate(ordered) if not cut[k][1] or cut[k][2])
+    left = corpus_pipeline.without_repeats(spark, df, SMALL)
+    assert left.columns == COLUMNS and shown(left) == want
+    clean = corpus_pipeline.without_secrets(spark, df, SMALL)
+    assert shown(clean) == Counter((d, t and secret_scan.redact(t, secret_scan.find_secrets(t))) for d, t in rows)
+    check(rows, corpus_pipeline.packed(spark, df, SMALL).collect(), 2048, 0)
+    labelled = df.withColumn("lang", F.when(F.col("text").isNotNull(), "en"))
+    known = corpus_pipeline.known_language(spark, labelled.unionByName(common.documents(spark, SMALL).select(COLUMNS)), SMALL)
+    assert known.columns == COLUMNS and Counter((r.doc_id, r.text) for r in known.filter("source = 's'").collect()) == Counter(r for r in rows if r[1])
+    assert {r.lang for r in known.filter("source = 's'").collect()} == {"en"}
+
+
 def test_odd_rows(spark, odd, empty):
     rows = odd.selectExpr("doc_id", "text", "lang", "cast(null as string) AS source", "cast(null as bigint) AS n_chars")
     for docs in (rows, rows.limit(0), rows.withColumn("lang", rows.source)):

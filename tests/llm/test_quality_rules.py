@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -43,6 +44,14 @@ def test_long_repeats_are_linear(spark):
     assert got[2][0] == 60_000 and got[2][4] == 0
 
 
+def test_long_text_and_shared_ids(spark):
+    rng = random.Random(2)
+    long = " ".join(rng.choice(("one", "two#", "é", "three\n", "x%d" % rng.randrange(10**6))) for _ in range(400_000))
+    rows = [(1, long), (1, "other"), (1, None), (None, long[:2_000])]
+    got = sorted((str(r.doc_id), shown(r)) for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((str(d), base(t)) for d, t in rows)
+
+
 def test_no_user_functions_in_the_plan(spark):
     plan = queries.op5_quality_rules(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
