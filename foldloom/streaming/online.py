@@ -1,7 +1,8 @@
 """Online fold detection: a stream of step rows, one small state a trajectory.
 
-The state is what acceptance needs: steps seen, errors right before, whether an action came before, the last fold and
-the tokens since it. As the end of a trajectory isn't known, a fold is only confirmed once ``recent_k`` more steps
+The state is what acceptance needs: the next step, errors right before, whether an action came before, the last fold
+and the tokens since it, and the steps that came before their turn: a file source doesn't promise order across batches,
+so a step waits until all before it are there. A step that comes again is passed over. As the end of a trajectory isn't known, a fold is only confirmed once ``recent_k`` more steps
 have come, which is the batch rule for finished trajectories.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,16 @@ STEP = f"{KEY} long, step_idx long, tokens long, head_tokens long, plan_call boo
 OUT = f"{KEY} long, step_idx long, signal string"
 
 
+class Step(NamedTuple):
+    step_idx: int
+    tokens: int
+    head_tokens: int
+    plan_call: bool
+    readonly: bool
+    err: bool
+    verified: bool
+
+
 class Detector(StatefulProcessor):
     def __init__(self, rules: FoldRules):
         self.rules = rules
@@ -34,18 +45,23 @@ class Detector(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("step_idx")
-        s = json.loads(self.state.get()[0]) if self.state.exists() else {"run": 0, "acted": False, "last": -(10**9), "tokens": None, "open": []}
-        out = []
+        s = json.loads(self.state.get()[0]) if self.state.exists() else {"next": 0, "held": {}, "run": 0, "acted": False, "last": -(10**9), "tokens": None, "open": []}
         for r in batch.itertuples(index=False):
+            if r.step_idx >= s["next"]:
+                s["held"].setdefault(str(r.step_idx), [int(r.step_idx), int(r.tokens), int(r.head_tokens), *map(bool, (r.plan_call, r.readonly, r.err, r.verified))])
+        out = []
+        while (step := s["held"].pop(str(s["next"]), None)) is not None:
+            r = Step(*step)
+            s["next"] += 1
             if s["tokens"] is None:
-                s["tokens"] = int(r.head_tokens)
-            s["tokens"] += int(r.tokens)
+                s["tokens"] = r.head_tokens
+            s["tokens"] += r.tokens
             signal = self._signal(r, s)
-            s["acted"] = s["acted"] or not bool(r.readonly)
+            s["acted"] = s["acted"] or not r.readonly
             s["run"] = s["run"] + 1 if r.err else 0
             if signal and r.step_idx - s["last"] >= self.rules.min_gap:
-                s["last"], s["tokens"] = int(r.step_idx), int(r.head_tokens)
-                s["open"].append([int(r.step_idx), signal])
+                s["last"], s["tokens"] = r.step_idx, r.head_tokens
+                s["open"].append([r.step_idx, signal])
             while s["open"] and r.step_idx - s["open"][0][0] >= self.rules.recent_k:
                 out.append((key[0], *s["open"].pop(0)))
         self.state.update((json.dumps(s),))
@@ -67,7 +83,7 @@ class Detector(StatefulProcessor):
 
 
 def detect(steps: DataFrame, rules: FoldRules) -> DataFrame:
-    """``steps``: a stream of ``STEP`` rows, in step order within a trajectory across batches."""
+    """``steps``: a stream of ``STEP`` rows, in any order."""
     return steps.groupBy(KEY).transformWithStateInPandas(Detector(rules), outputStructType=OUT, outputMode="Append", timeMode="None")
 
 

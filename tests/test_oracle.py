@@ -49,7 +49,7 @@ def test_online_detection_in_many_batches(spark, tmp_path):
     rows = run.steps.join(run.heads.select(KEY, "head_tokens"), KEY).select(KEY, F.col("step_idx").cast("long").alias("step_idx"), "tokens", "head_tokens", "plan_call", "readonly", "err", "verified")
     store = "spark.sql.streaming.stateStore.providerClass"
     spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    for low in (0, 20, 45):
+    for low in (20, 0, 45):
         high = {0: 20, 20: 45, 45: 1000}[low]
         rows.filter(F.col("step_idx").between(low, high - 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         found = online.detect(spark.readStream.schema(online.STEP).parquet(str(tmp_path / "in")), queries.RULES)
