@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from foldloom.functions import text as T
 from foldloom.operators.folding import in_range
 from foldloom.operators.messages import KEY
+from foldloom.shared import shared_dir, staged
 
 FOLD = [KEY, "fold"]
 #: Stretches that positions are looked for in.
@@ -38,8 +39,8 @@ def step_token_counts(staged: DataFrame) -> DataFrame:
 def score(parts: DataFrame, counts: DataFrame, tau: float = 0.15, max_context: int = 60000) -> DataFrame:
     """``parts``: from ``segments`` with M. Adds c_tokens, context_tokens, nll_raw, nll_folded, delta, sufficient, and
     the status: scored, no_continuation, too_long or no_tokens."""
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.countDistinct("token").alias("v")).first()
-    common = counts.groupBy("token").agg(F.sum("n").alias("bg"))
+    common = staged(counts.groupBy("token").agg(F.sum("n").alias("bg")), shared_dir(counts.sparkSession))
+    total = common.agg(F.coalesce(F.sum("bg"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     f = parts.select(KEY, F.col("step_idx").alias("fold"), "p_lo", "comp_lo", "comp_hi", "c_lo", "c_hi")
     # The head and each step of prefix, slice and continuation, so that a fold only meets the tokens of its own steps.
     own = F.concat(F.array(F.lit(-1).cast("long")), F.sequence(F.col("p_lo").cast("long"), F.coalesce("c_hi", "comp_hi").cast("long")))

@@ -47,9 +47,14 @@ class Run:
     def steps(self) -> DataFrame:
         return messages.steps(self.staged)
 
+    @kept
+    def stored(self) -> DataFrame:
+        """The steps, for what reads them more than once."""
+        return self.steps
+
     @cached_property
     def facts(self) -> DataFrame:
-        return memory.step_facts(self.steps)
+        return memory.step_facts(self.stored)
 
     @cached_property
     def heads(self) -> DataFrame:
@@ -57,11 +62,11 @@ class Run:
 
     @kept
     def folds(self) -> DataFrame:
-        return folding.fold_points(self.steps, self.heads, self.rules)
+        return folding.fold_points(self.stored, self.heads, self.rules)
 
     @cached_property
     def segments(self) -> DataFrame:
-        return folding.fold_tokens(self.folds, self.steps)
+        return folding.fold_tokens(self.folds, self.stored)
 
     @kept
     def memories(self) -> DataFrame:
@@ -84,10 +89,10 @@ class Run:
     @kept
     def repaired(self) -> DataFrame:
         """One round of repair, in which a memory gets the whole text of what it replaces."""
-        texts = folding.slice_text(self.folds, self.steps).withColumnRenamed("fold", "step_idx")
+        texts = folding.slice_text(self.folds, self.stored).withColumnRenamed("fold", "step_idx")
         more = lambda again: again.join(texts, FOLD_KEY).withColumn("M", F.concat_ws("\n\n", "M", "slice_text")).drop("slice_text")
         score_of = lambda parts: gate.score(parts, gate.step_token_counts(self.staged), max_context=MAX_CONTEXT)
-        return gate.repaired(self.scored, more, lambda fresh: gate.rescored(fresh, score_of, self.steps))
+        return gate.repaired(self.scored, more, lambda fresh: gate.rescored(fresh, score_of, self.stored))
 
     @cached_property
     def examples(self) -> DataFrame:
@@ -145,7 +150,7 @@ def memory_budget(r: Run) -> DataFrame:
 
 def memory_truncate_slice(r: Run) -> DataFrame:
     text, cut = memory.truncated(F.col("slice_text"), F.lit(120))
-    return folding.slice_text(r.folds, r.steps).select(KEY, F.col("fold").alias("step_idx"), text.alias("slice_text"), cut.alias("slice_truncated"))
+    return folding.slice_text(r.folds, r.stored).select(KEY, F.col("fold").alias("step_idx"), text.alias("slice_text"), cut.alias("slice_truncated"))
 
 
 def memory_ratio_decision(r: Run) -> DataFrame:
@@ -214,7 +219,7 @@ def gate_by_signal(r: Run) -> DataFrame:
 def leak_check(r: Run) -> DataFrame:
     """Memories of every third fold quote the code that follows."""
     f = gate.segments(r.memories)
-    calls = gate.following_calls(f, r.steps)
+    calls = gate.following_calls(f, r.stored)
     quoted = calls.groupBy(KEY, "fold").agg(F.max(T.argument(F.col("arguments"), "file_text")).alias("q"))
     m = f.select(KEY, F.col("step_idx").alias("fold"), "M").join(quoted, [KEY, "fold"], "left")
     m = m.withColumn("M", F.when(F.col("fold") % 3 == 0, F.concat("M", F.coalesce("q", F.lit("")))).otherwise(F.col("M")))
@@ -242,14 +247,14 @@ def recall_string_arguments(r: Run) -> DataFrame:
     """The audit where the arguments of every third step are JSON strings: it reads them as the objects they hold."""
     quote = lambda x: F.to_json(F.struct(x.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(x.alias("x")))) - 6)
     quoted = F.transform("tool_calls", lambda c: c.withField("function.arguments", quote(c["function"]["arguments"])))
-    steps = r.steps.withColumn("tool_calls", F.when(F.col("step_idx") % 3 == 0, quoted).otherwise(F.col("tool_calls")))
+    steps = r.stored.withColumn("tool_calls", F.when(F.col("step_idx") % 3 == 0, quoted).otherwise(F.col("tool_calls")))
     rows = recall.recalls(r.memories, memory.step_facts(steps))
     return rows.select(KEY, F.col("fold").alias("step_idx"), "kind", "n_items", "n_kept")
 
 
 def rolling_word_ratio(r: Run) -> DataFrame:
     """Words of each rolling memory against the memory before and the new steps, and what healing would do."""
-    new = folding.joined_text(folding.in_range(r.rolling, r.steps, F.col("prev_hi") + 1, F.col("comp_hi"), ["rendered"]), "rendered", "new_steps")
+    new = folding.joined_text(folding.in_range(r.rolling, r.stored, F.col("prev_hi") + 1, F.col("comp_hi"), ["rendered"]), "rendered", "new_steps")
     rows = r.rolling.withColumn("fold", F.col("step_idx")).join(new, [KEY, "fold"])
     share = memory.word_ratio(F.col("M"), F.coalesce("prev_M", F.lit("")), F.col("new_steps"))
     return rows.select(*FOLD_KEY, F.round(share, 3).alias("word_ratio"), memory.ratio_action(share, F.lit(False), 0.18, 0.62).alias("action"), memory.word_budget(T.word_count(F.col("new_steps"))).alias("budget"))
@@ -358,13 +363,13 @@ def observation_noise(r: Run) -> DataFrame:
 
 
 def prompt_text(r: Run) -> DataFrame:
-    texts = folding.slice_text(r.folds, r.steps).withColumnRenamed("fold", "step_idx")
+    texts = folding.slice_text(r.folds, r.stored).withColumnRenamed("fold", "step_idx")
     rows = r.segments.join(texts, FOLD_KEY).join(r.heads.select(KEY, "task"), KEY)
     return rows.select(*FOLD_KEY, prompts.slice_prompt(F.col("task"), F.col("comp_lo"), F.col("comp_hi"), F.col("slice_text"), memory.budget(F.col("comp_tokens"))).alias("prompt"))
 
 
 def plans_round_trip(r: Run) -> DataFrame:
-    plans = nested_plans.nested(r.segments, messages.step_counts(r.staged), r.heads, r.steps)
+    plans = nested_plans.nested(r.segments, messages.step_counts(r.staged), r.heads, r.stored)
     return nested_plans.flat(plans).select(*FOLD_KEY, "signal", "comp_lo", "comp_hi", "recent_lo", "comp_tokens", "num_steps", F.col("q_msgs").cast("long").alias("q_msgs"))
 
 
@@ -382,7 +387,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fold_points_conversations": _talks(lambda r: r.folds.select(*FOLD_KEY, "signal", "comp_lo", "comp_hi")),
         "fold_signal_breakdown": _events(lambda r: stats.signal_breakdown(r.folds)),
         "fold_count_histogram": _events(lambda r: stats.fold_histogram(stats.folds_per_trajectory(r.folds, messages.step_counts(r.staged)))),
-        "fold_plan_stats": _events(lambda r: stats.plan_stats(stats.folds_per_trajectory(r.folds, messages.step_counts(r.staged)), r.segments, r.steps, r.heads)),
+        "fold_plan_stats": _events(lambda r: stats.plan_stats(stats.folds_per_trajectory(r.folds, messages.step_counts(r.staged)), r.segments, r.stored, r.heads)),
         "error_run_lengths": _events(error_run_lengths),
         "first_action_steps": _events(first_action_steps),
         "conv_steps": _talks(lambda r: r.steps.select(*FOLD_KEY, "thought", "obs_text", "n_msgs")),
@@ -395,9 +400,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "text_verified_flags": _events(lambda r: r.steps.select(*FOLD_KEY, "verified", T.has_testpass(F.col("obs_text")).alias("testpass"))),
         "readonly_commands": _events(readonly_commands),
         "step_action_flags": _events(lambda r: r.steps.select(*FOLD_KEY, "plan_call", "file_edit", "readonly")),
-        "fold_slice_text": _events(lambda r: folding.slice_text(r.folds, r.steps).select(KEY, F.col("fold").alias("step_idx"), "slice_text")),
-        "fold_continuation_text": _events(lambda r: folding.continuation(r.folds, r.steps, 4, 120).select(KEY, F.col("fold").alias("step_idx"), "continuation")),
-        "rolling_continuation_text": _events(lambda r: folding.continuation(r.folds, r.steps, 6, 120, rolling=True).select(KEY, F.col("fold").alias("step_idx"), "continuation")),
+        "fold_slice_text": _events(lambda r: folding.slice_text(r.folds, r.stored).select(KEY, F.col("fold").alias("step_idx"), "slice_text")),
+        "fold_continuation_text": _events(lambda r: folding.continuation(r.folds, r.stored, 4, 120).select(KEY, F.col("fold").alias("step_idx"), "continuation")),
+        "rolling_continuation_text": _events(lambda r: folding.continuation(r.folds, r.stored, 6, 120, rolling=True).select(KEY, F.col("fold").alias("step_idx"), "continuation")),
         "identifier_extract": identifier_extract,
         "memory_budget": _events(memory_budget),
         "memory_truncate_slice": _events(memory_truncate_slice),
