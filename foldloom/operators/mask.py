@@ -83,13 +83,18 @@ def trainable(rows: DataFrame, max_len: int) -> DataFrame:
 
 
 def padded(rows: DataFrame, key: str, batch_size: int, pad: int = 0) -> DataFrame:
-    """Batches of at most ``batch_size`` neighbouring integer keys, padded to the longest of the batch.
+    """Batches of at most ``batch_size`` neighbouring keys, padded to the longest of the batch.
 
-    A batch is a range of keys, so numbering the rows needs no global order.
+    A batch is a range of keys, so numbering the rows needs no global order: integer keys are cut evenly, other keys are
+    dealt by range and counted within their part.
     """
-    most = F.max(F.size("ids")).over(Window.partitionBy("batch"))
+    if dict(rows.dtypes)[key] in ("tinyint", "smallint", "int", "bigint"):
+        placed = rows.withColumn("batch", F.floor(F.col(key) / batch_size))
+    else:
+        dealt = rows.repartitionByRange(key).sortWithinPartitions(key)
+        placed = dealt.withColumn("batch", F.floor(F.monotonically_increasing_id() / batch_size))
     short = (F.col("most") - F.size("ids")).cast("int")
-    return rows.withColumn("batch", F.floor(F.col(key) / batch_size)).withColumn("most", most).select(
+    return placed.withColumn("most", F.max(F.size("ids")).over(Window.partitionBy("batch"))).select(
         key, "batch", F.concat("ids", F.array_repeat(F.lit(pad), short)).alias("input_ids"), F.concat("labels", F.array_repeat(F.lit(IGNORED), short)).alias("labels"),
         F.concat(F.array_repeat(F.lit(1), F.size("ids")), F.array_repeat(F.lit(0), short)).alias("attention_mask"),
     )

@@ -282,6 +282,16 @@ q AS (SELECT tid, a, max(ft) AS q FROM af GROUP BY ALL), l AS (SELECT tid, a, un
     add("observation_noise", EVENTS, f"SELECT {step}, {NL} || obs || CASE WHEN i % 3 = 0 THEN '' ELSE {NL} || '[Command finished with exit code ' || (i % 3) || ']' END AS obs_text FROM sp")
     add("prompt_text", FOLDS + f", z AS (SELECT f.tid, f.a, f.lo, f.hi, f.toks, {joined('s.rendered')} AS x FROM fs f JOIN sp s ON s.tid = f.tid AND s.i BETWEEN f.lo AND f.hi GROUP BY ALL)",
         f"SELECT {key}, '# Task' || {NL} || task || {NL2} || '# History to compress: steps ' || lo || ' to ' || hi || {NL} || x || {NL2} || '# Length' || {NL} || 'About ' || greatest(128, least(trunc(toks * 0.3::DOUBLE)::BIGINT, 6000)) || ' tokens.' || {NL2} || 'Return the memory alone.' AS prompt FROM z JOIN hd USING (tid)")
+    head = f"'# Task' || {NL} || task || {NL2} || "
+    steps_of = lambda what: f"'# History {what}: steps ' || lo || ' to ' || hi || {NL} || x || {NL2} || "
+    add("prompt_forward", FOLDS + f", z AS (SELECT f.tid, f.a, f.lo, f.hi, f.toks, {joined('s.rendered')} AS x FROM fs f JOIN sp s ON s.tid = f.tid AND s.i BETWEEN f.lo AND f.hi GROUP BY ALL), "
+        + f"ct AS ({cont(f"'[future step ' || s.i || ']' || {NL} || s.rendered", 4, '(none — this fold is near the end of the trajectory; the task is being finalized)')})",
+        f"SELECT {key}, {head}{steps_of('to compress')}'# What comes next, for orientation only' || {NL} || continuation || {NL2} || '# Length' || {NL} || 'About ' || greatest(128, least(trunc(toks * 0.3::DOUBLE)::BIGINT, 6000)) || ' tokens for the first four sections.' || {NL2} || 'Return the seven sections alone.' AS forward, "
+        f"{head}{steps_of('that is compressed')}'# What follows' || {NL} || continuation || {NL2} || 'The memory before this lost facts that those steps need. Write all seven sections again with these facts, taken from the history; don''t quote the steps that follow.' AS repair "
+        "FROM z JOIN hd USING (tid) JOIN ct ON ct.trajectory_id = z.tid AND ct.step_idx = z.a")
+    add("prompt_rolling", ROLLING + f", nx AS (SELECT p.tid, p.a, string_agg(s.rendered, {NL2} ORDER BY s.i) AS x FROM rp p JOIN sp s ON s.tid = p.tid AND s.i BETWEEN p.prev + 1 AND p.hi2 GROUP BY ALL), "
+        + f"ct AS (SELECT p.tid, p.a, coalesce(string_agg(CASE WHEN length(s.rendered) > 120 THEN s.rendered || ' …[truncated]' ELSE s.rendered END, {NL2} ORDER BY s.i), '(none — near the end of the trajectory; the task is being finalized)') AS c FROM rp p LEFT JOIN sp s ON s.tid = p.tid AND s.i BETWEEN p.hi2 + 1 AND p.hi2 + 6 GROUP BY ALL)",
+        f"SELECT {key}, {head}'# Pinned facts so far' || {NL} || 'None yet' || {NL2} || '# Memory so far' || {NL} || coalesce(pmem, 'None: this is the first.') || {NL2} || '# New steps' || {NL} || substr(x, 1, 48000) || {NL2} || '# What comes next, for orientation only' || {NL} || c || {NL2} || '# Length' || {NL} || 'About ' || greatest(128, least(trunc({words('x')} * 1.3::DOUBLE * 0.3::DOUBLE)::BIGINT, 4000)) || ' tokens.' || {NL2} || 'Return all sections.' AS prompt FROM rp JOIN nx USING (tid, a) JOIN ct USING (tid, a)")
     add("plans_round_trip", FOLDS, f"SELECT {key}, f.sig AS signal, f.lo AS comp_lo, f.hi AS comp_hi, rlo AS recent_lo, toks AS comp_tokens, f.n AS num_steps, 2::BIGINT AS q_msgs FROM fs f JOIN (SELECT tid, a, rlo FROM fp) USING (tid, a)")
     add("folds_online", FOLDS, f"SELECT {key}, sig AS signal FROM fp")
     return made

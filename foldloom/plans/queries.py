@@ -368,6 +368,21 @@ def prompt_text(r: Run) -> DataFrame:
     return rows.select(*FOLD_KEY, prompts.slice_prompt(F.col("task"), F.col("comp_lo"), F.col("comp_hi"), F.col("slice_text"), memory.budget(F.col("comp_tokens"))).alias("prompt"))
 
 
+def prompt_forward(r: Run) -> DataFrame:
+    texts = folding.slice_text(r.folds, r.stored).join(folding.continuation(r.folds, r.stored, 4, 120), [KEY, "fold"]).withColumnRenamed("fold", "step_idx")
+    rows = r.segments.join(texts, FOLD_KEY).join(r.heads.select(KEY, "task"), KEY)
+    at = [F.col(c) for c in ("task", "comp_lo", "comp_hi", "slice_text", "continuation")]
+    return rows.select(*FOLD_KEY, prompts.forward_prompt(*at, memory.budget(F.col("comp_tokens"))).alias("forward"), prompts.repair_prompt(*at).alias("repair"))
+
+
+def prompt_rolling(r: Run) -> DataFrame:
+    new = folding.joined_text(folding.in_range(r.rolling, r.stored, F.col("prev_hi") + 1, F.col("comp_hi"), ["rendered"]), "rendered", "new_steps")
+    nexts = folding.continuation(r.rolling, r.stored, 6, 120, rolling=True)
+    rows = r.rolling.withColumn("fold", F.col("step_idx")).join(new, [KEY, "fold"]).join(nexts, [KEY, "fold"]).join(r.heads.select(KEY, "task"), KEY)
+    made = prompts.rolling_prompt(F.col("task"), F.lit(""), F.coalesce("prev_M", F.lit("")), F.col("new_steps"), F.col("continuation"), memory.word_budget(T.word_count(F.col("new_steps"))))
+    return rows.select(*FOLD_KEY, made.alias("prompt"))
+
+
 def plans_round_trip(r: Run) -> DataFrame:
     plans = nested_plans.nested(r.segments, messages.step_counts(r.staged), r.heads, r.stored)
     return nested_plans.flat(plans).select(*FOLD_KEY, "signal", "comp_lo", "comp_hi", "recent_lo", "comp_tokens", "num_steps", F.col("q_msgs").cast("long").alias("q_msgs"))
@@ -456,6 +471,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pool_round_trip": _events(pool_round_trip),
         "observation_noise": _events(observation_noise),
         "prompt_text": _events(prompt_text),
+        "prompt_forward": _events(prompt_forward),
+        "prompt_rolling": _events(prompt_rolling),
         "plans_round_trip": _events(plans_round_trip),
         "folds_online": folds_online,
     }

@@ -205,3 +205,15 @@ def test_positions_over_many_values(spark):
     plain = sorted(i % 1700 for i in range(5000))
     assert (got.median, got.p90) == (plain[2500], plain[4500])
     assert gate.positional(rows.limit(0), "d", {"median": F.floor(F.col("n") / 2)}).first().median is None
+
+
+def test_batches_of_text_keys(spark):
+    rows = spark.createDataFrame([(f"t{i:02d}", [1] * (i + 1), [1] * (i + 1)) for i in range(23)], "k string, ids array<int>, labels array<int>")
+    got = mask.padded(rows.repartition(5), "k", 4).orderBy("k").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.batch, []).append(r)
+    assert len(got) == 23 and max(map(len, by.values())) <= 4 and len(by) < 23
+    for batch in by.values():
+        assert {len(r.input_ids) for r in batch} == {max(sum(r.attention_mask) for r in batch)}
+        assert all(r.input_ids == [1] * n + [0] * (len(r.input_ids) - n) and r.labels == [1] * n + [-100] * (len(r.labels) - n) for r in batch for n in (sum(r.attention_mask),))

@@ -10,7 +10,7 @@ from foldloom.plans import oracle, queries
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = queries.queries(), oracle.oracle_sql()
 #: The rest runs in the driver's own comparison; these cover every operator module in a minute.
-CHOSEN = ("fold_points_events", "fold_segments_tokens", "fold_points_conversations", "conv_steps", "conv_step_render", "event_text_of", "identifier_extract", "memory_blocks", "pinned_merge", "rolling_memory", "rolling_examples", "stitched_messages", "stitched_mask", "rendered_chat", "rolling_mask", "gate_decision", "gate_stats", "gate_repair", "gate_repair_stats", "leak_check", "assistant_mask", "pad_batches", "recall_summary", "recall_string_arguments", "recall_sample", "rolling_word_ratio", "avg_compression", "pool_round_trip", "folds_online")
+CHOSEN = ("fold_points_events", "fold_segments_tokens", "fold_points_conversations", "conv_steps", "conv_step_render", "event_text_of", "identifier_extract", "memory_blocks", "pinned_merge", "rolling_memory", "rolling_examples", "stitched_messages", "stitched_mask", "rendered_chat", "rolling_mask", "gate_decision", "gate_stats", "gate_repair", "gate_repair_stats", "leak_check", "assistant_mask", "pad_batches", "recall_summary", "recall_string_arguments", "recall_sample", "rolling_word_ratio", "avg_compression", "pool_round_trip", "prompt_forward", "prompt_rolling", "folds_online")
 
 
 @pytest.fixture(scope="module")
