@@ -1,3 +1,4 @@
+import functools
 import random
 
 import numpy as np
@@ -7,17 +8,22 @@ from foldloom.llm import common, near_dup
 from tests.llm.conftest import ODD
 
 
-def slow_similarity(one, other):
-    """Longest common subsequence of all labelled runs of five words, without a band."""
-    def labels(words):
-        seen, out = {}, []
-        for i in range(len(words) - 4):
-            g = tuple(words[i : i + 5])
-            seen[g] = seen.get(g, 0) + 1
-            out.append((g, seen[g]))
-        return out
+@functools.cache
+def labels_of(text):
+    words, seen, out = text.split(), {}, []
+    for i in range(len(words) - 4):
+        g = tuple(words[i : i + 5])
+        seen[g] = seen.get(g, 0) + 1
+        out.append((g, seen[g]))
+    return out, set(out)
 
-    a, b = labels(one.split()), labels(other.split())
+
+def slow_similarity(one, other, least=0.0):
+    """Longest common subsequence of all labelled runs of five words, without a band; 0 where even all common runs
+    wouldn't reach ``least``."""
+    (a, x), (b, y) = labels_of(one), labels_of(other)
+    if a and b and (m := len(x & y)) < least * (len(a) + len(b) - m):
+        return 0.0
     if not a or not b:
         return float(one.split() == other.split() and bool(one.split()))
     row = [0] * (len(b) + 1)
@@ -40,7 +46,7 @@ def brute(rows, least=0.8):
 
     for i, (d, t) in enumerate(rows):
         for e, u in rows[i + 1 :]:
-            if t and u and min(len(t), len(u)) > 0.5 * max(len(t), len(u)) and slow_similarity(t, u) >= least:
+            if t and u and min(len(t), len(u)) > 0.5 * max(len(t), len(u)) and slow_similarity(t, u, least) >= least:
                 a, b = sorted((root(d), root(e)))
                 parent[b] = a
     return {d: root(d) for d in parent}
