@@ -19,11 +19,12 @@ def items(folds: DataFrame, facts: DataFrame) -> DataFrame:
     errors = F.regexp_extract_all("obs_text", F.lit(T.ERROR_CLASS), F.lit(1))
     rows = facts.withColumns({"errors": errors, "decided": T.identifiers(acted), "observed": T.identifiers(F.col("obs_text"))})
     near = in_range(folds.filter("comp_lo IS NOT NULL"), rows, F.col("comp_lo"), F.col("comp_hi"), ["edited", "ran", "errors", "decided", "observed"])
-    of = lambda column, kind: near.select(*FOLD, F.lit(kind).alias("kind"), F.explode(column).alias("item"))
-    decided = of("decided", "decision")
-    seen = of("observed", "observed").join(decided.select(*FOLD, "item"), [*FOLD, "item"], "left_anti").select(*FOLD, "kind", "item")
-    every = of("edited", "edited").unionByName(of("ran", "command")).unionByName(of("errors", "error")).unionByName(decided).unionByName(seen)
-    return every.distinct()
+    told = lambda column, kind: F.transform(column, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("item")))
+    every = F.concat(told("edited", "edited"), told("ran", "command"), told("errors", "error"), told("decided", "decision"), told("observed", "observed"))
+    # One pass: the kinds that an item has in a fold, and observed only where it wasn't decided too.
+    kinds = near.select(*FOLD, F.explode(every).alias("x")).groupBy(*FOLD, F.col("x.item").alias("item")).agg(F.collect_set("x.kind").alias("kinds"))
+    own = F.when(F.array_contains("kinds", "decision"), F.array_remove("kinds", "observed")).otherwise(F.col("kinds"))
+    return kinds.select(*FOLD, F.explode(own).alias("kind"), "item")
 
 
 def recalls(folds: DataFrame, facts: DataFrame) -> DataFrame:
