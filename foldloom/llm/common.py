@@ -145,6 +145,14 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def numbered(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", name: str = "row_number") -> tuple[DataFrame, bool]:
     """``df`` with a number of its own for each row, ascending with the id: the id where that is unique and never null;
     else rows are counted in the order of id (null first) and text, and stored, as counting again might differ. Also

@@ -24,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import bounded, row_chunks, text_buffer
+from foldloom.llm.common import bounded, row_chunks, text_buffer, word_bounds
 
 STRETCH = 64
 #: Stretches that run through the network together: their states stay in the processor's cache.
 TOGETHER = 2048
 UNKNOWN = "und"
+#: From this probability of none of the languages on a row is read again.
+DOUBT = 0.3
+PUNCTUATION = np.frombuffer(b".,;:!?'\"()-|", np.uint8)
 
 
 @dataclass(frozen=True)
@@ -198,6 +201,34 @@ def fit(samples: list[tuple[str, str]], training: Training) -> Network:
     return network
 
 
+def in_words(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which bytes are of words that have nothing but letters and punctuation (UTF-8 beyond ASCII counts as letters):
+    what a language shows in, apart from numbers, addresses and tokens."""
+    starts, ends, _ = word_bounds(raw, offsets)
+    letter = ((raw | 32) >= 97) & ((raw | 32) <= 122) | (raw >= 128)
+    strange = np.r_[0, np.cumsum(~(letter | np.isin(raw, PUNCTUATION)))]
+    good = strange[ends] == strange[starts]
+    inside = np.zeros(len(raw) + 1, np.int64)
+    inside[starts[good]] += 1
+    inside[ends[good]] -= 1
+    return np.cumsum(inside[:-1]) > 0
+
+
+def strangeness(network: Network, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``pooled``, and the probability that a row is of none of the languages. A row in doubt is read again without what
+    isn't in words, so that a number or token in a short text doesn't count against it; not if that is nine tenths."""
+    p = pooled(network, raw, offsets)
+    told = p[:, -1].copy()
+    doubt = np.flatnonzero(told >= DOUBT)
+    if len(doubt):
+        keep = in_words(raw, offsets)
+        words = [raw[a:b][keep[a:b] | (raw[a:b] <= 32)] for a, b in zip(offsets[doubt].tolist(), offsets[doubt + 1].tolist(), strict=True)]
+        again = pooled(network, np.concatenate(words), np.cumsum([0, *map(len, words)]))[:, -1]
+        enough = np.array([10 * (w > 32).sum() >= (raw[a:b] > 32).sum() > 0 for w, a, b in zip(words, offsets[doubt].tolist(), offsets[doubt + 1].tolist(), strict=True)])
+        told[doubt] = np.where(enough, again, told[doubt])
+    return p, told
+
+
 def pooled(network: Network, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Mean probabilities (row, language, the last: none of them) over the bytes of each row that aren't white space."""
     data, length, row = stretched(raw, offsets)
@@ -275,7 +306,7 @@ def predict(df: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
 
 def keep_known(df: DataFrame, network: Network, most: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``df`` whose text has a letter and is of the learned languages: the class of none of them has under
-    ``most``. The language column, if there is one, gets the predicted language; the other columns stay as they are."""
+    ``most`` (``strangeness``: in its words, so that a number or token in a short text doesn't count against it). The language column, if there is one, gets the predicted language; the other columns stay as they are."""
     bounded(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(network)
     place, told = df.columns.index(text_col), df.columns.index(lang_col) if lang_col in df.columns else None
@@ -290,8 +321,8 @@ def keep_known(df: DataFrame, network: Network, most: float = 0.5, text_col: str
                 good = np.array([t is not None and any(map(str.isalpha, t)) for t in part.column(place).to_pylist()], bool)
                 columns = list(part.columns)
                 if model.languages:
-                    p = pooled(model, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    good &= p[:, -1] < most
+                    p, strange = strangeness(model, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    good &= strange < most
                     if told is not None:
                         columns[told] = pa.array(names[p[:, :-1].argmax(axis=1)], part.schema.field(told).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(good))

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,8 +98,17 @@ def test_texts_of_no_learned_language_go(spark):
     assert langid.keep_known(rows, network).collect() == []
     assert all(r.score < 0.5 and r.lang_pred in network.languages for r in langid.predict(rows, network).collect())
     kept = langid.keep_known(docs, network)
+    mixed = [r.text + end for r in docs.filter("n_chars < 60 AND lang = 'en' AND text NOT LIKE '%=%'").orderBy("doc_id").limit(8).collect() for end in (' token = "9004e046e75240f42eecdbd3dffbc7f3d75db0ff"', " 4397110767823743 +1 (654) 555-4136 x.79@mail5.example.com")]
+    assert mixed and langid.keep_known(spark.createDataFrame([(k, t) for k, t in enumerate(mixed)], "doc_id long, text string"), network).count() == len(mixed)
     told = kept.join(docs.select("doc_id", F.col("lang").alias("truth")), "doc_id").toPandas()
-    assert len(told) > 0.985 * docs.count() and (told.lang == told.truth).mean() > 0.97
+    assert len(told) > 0.995 * docs.count() and (told.lang == told.truth).mean() > 0.97
+
+
+def test_bytes_in_words():
+    raw, offsets = langid.text_buffer(pa.array(["ab, c3 é-x. d=e", "(f)", "x", "\ty z9\n"]))
+    data = raw.copy()
+    data[~langid.in_words(raw, offsets)] = 46
+    assert bytes(data).decode() == "ab,....é-x.....(f)x.y...."
 
 
 def test_rare_languages_are_learned(spark):

@@ -57,12 +57,13 @@ def test_rows_that_share_ids_keep_their_own_text(spark):
     shown = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
     ordered = order(rows)
     classes = near_brute([(k, t) for k, (_, t) in enumerate(ordered)])
-    one = corpus_pipeline.one_of_each_group(spark, df, SMALL)
-    assert one.columns == COLUMNS and shown(one) == Counter(r for k, r in enumerate(ordered) if classes[k] == k)
+    extra = df.withColumns({"row_number": F.lit(7), "kept_text": F.lit("k")})
+    one = corpus_pipeline.one_of_each_group(spark, extra, SMALL)
+    assert one.columns == extra.columns and one.filter("row_number != 7").count() == 0 and shown(one) == Counter(r for k, r in enumerate(ordered) if classes[k] == k)
     cut = repeats_brute([(k, t) for k, (_, t) in enumerate(ordered)])
     want = Counter((d, t if not cut[k][1] else cut[k][2]) for k, (d, t) in enumerate(ordered) if not cut[k][1] or cut[k][2])
-    left = corpus_pipeline.without_repeats(spark, df, SMALL)
-    assert left.columns == COLUMNS and shown(left) == want
+    left = corpus_pipeline.without_repeats(spark, extra, SMALL)
+    assert left.columns == extra.columns and left.filter("kept_text != 'k'").count() == 0 and shown(left) == want
     clean = corpus_pipeline.without_secrets(spark, df, SMALL)
     assert shown(clean) == Counter((d, t and secret_scan.redact(t, secret_scan.find_secrets(t))) for d, t in rows)
     check(rows, corpus_pipeline.packed(spark, df, SMALL).collect(), 2048, 0)
