@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldloom.llm import langid, near_dup, packing, secret_scan, substring_dedup
-from foldloom.llm.common import documents, numbered, shared_dir, staged
+from foldloom.llm.common import documents, numbered, shared_dir, staged, unused
 from foldloom.llm.queries import vocabulary_path
 
 #: Some stages aren't SQL; tests/llm/test_pipeline.py holds ``run`` against a plain version.
@@ -31,10 +31,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of near duplicates the row with the least id stays; of rows that share that id one (the least text). Null ids
     count as the least. Texts without words (null, empty) are no duplicates of anything, and stay."""
     folder = shared_dir(spark)
-    rows, _ = numbered(docs, f"{folder}/numbered")
-    classes = near_dup.near_duplicates(rows.select("row_number", "text"), folder, id_col="row_number")
-    gone = classes.filter("doc_id != class_id").select(F.col("doc_id").alias("row_number"))
-    return rows.join(gone, "row_number", "left_anti").select(docs.columns)
+    row = unused(docs, "row_number")
+    rows, _ = numbered(docs, f"{folder}/numbered", name=row)
+    classes = near_dup.near_duplicates(rows.select(row, "text"), folder, id_col=row)
+    gone = classes.filter("doc_id != class_id").select(F.col("doc_id").alias(row))
+    return rows.join(gone, row, "left_anti").select(docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +43,13 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids the earliest); rows that lose all their words go. Rows that lose nothing keep their text as it is, those
     without words too."""
     folder = shared_dir(spark)
-    rows, _ = numbered(docs, f"{folder}/numbered")
-    done = substring_dedup.dedup(rows.select("row_number", "text"), folder, id_col="row_number").filter("n_removed > 0")
-    cut = done.select(F.col("doc_id").alias("row_number"), F.col("kept").alias("kept_text"))
-    joined = rows.join(cut, "row_number", "left").filter("kept_text IS NULL OR kept_text != ''")
-    text = F.coalesce("kept_text", "text")
-    size = F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))
+    row, kept = unused(docs, "row_number"), unused(docs, "kept_text")
+    rows, _ = numbered(docs, f"{folder}/numbered", name=row)
+    done = substring_dedup.dedup(rows.select(row, "text"), folder, id_col=row).filter("n_removed > 0")
+    cut = done.select(F.col("doc_id").alias(row), F.col("kept").alias(kept))
+    joined = rows.join(cut, row, "left").filter(F.col(kept).isNull() | (F.col(kept) != ""))
+    text = F.coalesce(kept, "text")
+    size = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast("long"))
     return joined.withColumns({"text": text, "n_chars": size}).select(docs.columns)
 
 
