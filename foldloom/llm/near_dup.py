@@ -279,10 +279,12 @@ def near_duplicates(df: DataFrame, folder: str, least: float = 0.8, sketches: in
     here = buckets.join(labels, "doc")
     split = here.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("doc") == F.col("lead"), F.col("comp"))).alias("home")).filter("low != high").select("key", "home")
     open_ = staged(here.join(split, "key").filter("doc != lead").select("key", "doc", "n", "weight", "comp", "home"), f"{folder}/open")
-    # A place in the bucket for each text outside the class of its lead, drawn by a hash, so that no bucket is sorted.
+    # A place for each text outside the class of its lead, drawn by a hash from as many as the largest bucket has: no
+    # bucket is sorted or counted in one task. In a smaller bucket the first places are empty, and few are drawn first.
     outside = open_.filter("comp != home").select("key", "doc")
     drawn = F.pmod(F.xxhash64("key", "doc"), F.lit(1 << 32)) / (1 << 32)
-    rest = outside.join(outside.groupBy("key").agg(F.count("*").alias("size")), "key").select("key", "doc", (F.floor(drawn * F.col("size")) + 1).alias("rank"))
+    most = outside.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    rest = outside.select("key", "doc", (F.floor(drawn * most) + 1).alias("rank"))
     # What two texts can align: no k-mer that one of them has alone, and of the rare ones only those that both have.
     kmers = staged(kmers_of(texts.join(open_.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")), f"{folder}/kmers")
     none = F.array().cast("array<bigint>")
@@ -295,7 +297,7 @@ def near_duplicates(df: DataFrame, folder: str, least: float = 0.8, sketches: in
     enough = lambda: F.coalesce(tight, loose) >= F.lit(least / (1 + least) - 1e-9) * (F.col("n") + F.col("xn"))
     # Of the buckets that two texts share the one with the least key brings them together.
     once = F.array_min(F.array_intersect("keys", "xkeys")) == F.col("key")
-    most, turn, low = rest.agg(F.max("rank")).first()[0] or 0, 0, 1
+    turn, low = 0, 1
     while low <= most:
         turn += 1
         high = low * GROWTH - 1
