@@ -12,7 +12,6 @@ tell them apart; equal texts have equal digests; repeated ids are ordered by tex
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,23 +31,34 @@ FAR = 208
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 
 
+def counted(raw: bytes, sizes: np.ndarray, most: int | None = None) -> np.ndarray:
+    """(row, bucket) counts of the triplets of rows of the given sizes (of those that start in the first ``most`` bytes)."""
+    data = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    stop = np.repeat(np.cumsum(sizes), sizes)
+    place = np.repeat(np.arange(len(sizes), dtype=np.int64) * BUCKETS, sizes)
+    counts = np.zeros(len(sizes) * BUCKETS, np.int64)
+    for seed, (a, b, c) in enumerate(TRIPLETS):
+        n = max(0, min(len(data) - c, most or len(data)))
+        inside = np.arange(n) + c < stop[:n]
+        mixed = (data[a : a + n] * np.uint32(0x9E3779B1)) ^ (data[b : b + n] * np.uint32(0x85EBCA77)) ^ (data[c : c + n] * np.uint32(0xC2B2AE3D) + np.uint32(seed * 0x27D4EB2F & 0xFFFFFFFF))
+        mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        counts += np.bincount((place[:n] + (mixed >> np.uint32(25)))[inside], minlength=len(counts))
+    return counts.reshape(-1, BUCKETS)
+
+
 def digests(texts: list[str]) -> np.ndarray:
     """(n, 33) bytes: length code, then four codes a byte."""
     raw = [t.encode("utf-8", "replace") for t in texts]
     sizes = np.array([len(x) for x in raw], np.int64)
-    whole, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes)
-    counts = np.zeros(len(raw) * BUCKETS, np.int64)
-    # Counts add up, so that a long text is counted in stretches.
-    for at, (seed, (a, b, c)) in itertools.product(range(0, len(whole), STRETCH), enumerate(TRIPLETS)):
-        data = whole[at : at + STRETCH + c].astype(np.uint32)
-        n = max(0, min(STRETCH, len(data) - c))
-        row = np.searchsorted(ends, np.arange(at, at + n), "right")
-        stop, place = ends[row] - at, row * BUCKETS
-        inside = np.arange(n) + c < stop
-        mixed = (data[a : a + n] * np.uint32(0x9E3779B1)) ^ (data[b : b + n] * np.uint32(0x85EBCA77)) ^ (data[c : c + n] * np.uint32(0xC2B2AE3D) + np.uint32(seed * 0x27D4EB2F & 0xFFFFFFFF))
-        mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        counts += np.bincount((place + (mixed >> np.uint32(25)))[inside], minlength=len(counts))
-    counts = counts.reshape(-1, BUCKETS)
+    if sizes.max(initial=0) <= STRETCH:
+        counts = counted(b"".join(raw), sizes)
+    else:
+        # Counts add up, so that a long text is counted in stretches.
+        counts = np.zeros((len(raw), BUCKETS), np.int64)
+        for k, x in enumerate(raw):
+            for at in range(0, len(x), STRETCH):
+                part = x[at : at + STRETCH + 3]
+                counts[k] += counted(part, np.array([len(part)]), STRETCH)[0]
     ordered = np.sort(counts, axis=1)
     codes = sum((counts > ordered[:, [q]]).astype(np.uint8) for q in (31, 63, 95)).reshape(-1, BUCKETS // 4, 4)
     packed = codes[:, :, 0] | codes[:, :, 1] << 2 | codes[:, :, 2] << 4 | codes[:, :, 3] << 6
