@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldloom.shared import shared_dir, staged
+from foldloom.shared import bounded, shared_dir, staged
 
-__all__ = ["shared_dir", "staged"]
+__all__ = ["bounded", "shared_dir", "staged"]
 #: Bytes of text that one vectorised step works on (a longer document is one step).
 CHUNK_BYTES = 1_000_000
 
@@ -30,13 +30,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def bounded(spark: SparkSession) -> None:
-    """Arrow batches of bounded bytes and rows. The setting is the session's and acts when a plan runs; every operator
-    asks for the same values, so it doesn't matter which was built last."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
-
-
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, so that no other column can clash or be carried."""
     bounded(df.sparkSession)

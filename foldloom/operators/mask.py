@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from foldloom.shared import bounded
+
 START, END, NEWLINE, USER, ASSISTANT = 1, 2, 3, 11, 12
 IGNORED = -100
 CHAT_TOKEN = r"<\|im_start\|>|<\|im_end\|>|\n|[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]"
+#: Tokens whose ids a task remembers, and ids that are labelled in one step (a longer row is one step).
+REMEMBERED, CHUNK_IDS = 200_000, 500_000
 
 
 def turn(of: Callable[[str], Column] = F.col) -> Column:
@@ -41,6 +47,36 @@ def encoded(chat: Column) -> Column:
     return F.transform(F.regexp_extract_all(chat, F.lit(CHAT_TOKEN), F.lit(0)), token_id)
 
 
+class Ids(dict):
+    """Ids of tokens, as ``token_id``; each is made once in a while."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        fixed = {"<|im_start|>": START, "<|im_end|>": END, "\n": NEWLINE, "user": USER, "assistant": ASSISTANT}
+        self[token] = out = fixed.get(token) or 100 + int(md5(token.encode()).hexdigest()[:5], 16)
+        return out
+
+
+def with_ids(rows: DataFrame, texts: list[str]) -> DataFrame:
+    """The rows with the ids of each of the text columns in its place, as ``encoded``: for many texts, as a token's id
+    isn't made anew wherever it stands."""
+    bounded(rows.sparkSession)
+    places = [rows.columns.index(c) for c in texts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, known = re.compile(CHAT_TOKEN).findall, Ids()
+        for batch in batches:
+            columns = list(batch.columns)
+            for p in places:
+                cells = [None if x is None else np.fromiter(map(known.__getitem__, found(x)), np.int32) for x in columns[p].to_pylist()]
+                columns[p] = pa.array(cells, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    kind = StructType([StructField(f.name, ArrayType(IntegerType())) if f.name in texts else f for f in rows.schema.fields])
+    return rows.mapInArrow(run, kind)
+
+
 def span_labels(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Labels of the flat ids of rows of the given sizes: content and end token of assistant spans keep their ids, all
     else is ignored. A span runs from the first start after the last end, its header to its first line end."""
@@ -56,12 +92,23 @@ def span_labels(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where(said & (p > line), ids, IGNORED).astype(np.int32)
 
 
+def slices(batch: pa.RecordBatch, place: int, limit: int = CHUNK_IDS) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``limit`` ids (column number ``place``), at least one row each."""
+    ends = np.cumsum(batch.column(place).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i, before = 0, 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(i, j - i)
+        i, before = j, int(ends[j - 1])
+
+
 def masked(rows: DataFrame, ids: str = "ids") -> DataFrame:
-    """The rows with ``labels``: one pass over the id arrays, where they lie."""
+    """The rows with ``labels``: one pass over the id arrays, where they lie, in steps of bounded size."""
+    bounded(rows.sparkSession)
     place = rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, place)):
             lists = batch.column(place)
             sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             labels = span_labels(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes)

@@ -238,7 +238,7 @@ def _calls() -> list[F.Column]:
 
 
 def stitched_mask(r: Run) -> DataFrame:
-    rows = mask.masked(mask.rendered(r.stitched, [KEY]).select(KEY, mask.encoded(F.col("chat")).alias("ids")))
+    rows = mask.masked(mask.with_ids(mask.rendered(r.stitched, [KEY]).withColumnRenamed("chat", "ids"), ["ids"]))
     kept = F.filter("labels", lambda x: x != mask.IGNORED)
     return rows.select(KEY, F.size("ids").cast("long").alias("length"), F.size(kept).cast("long").alias("n_labels"), F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x).alias("label_sum"))
 
@@ -269,15 +269,17 @@ def mask_filter(r: Run) -> DataFrame:
 
 
 def _rolling_ids(r: Run) -> DataFrame:
-    """Ids of each example and of its context, from one pass over its messages."""
+    """Ids of each example, and how many are its context's, from one pass over its messages. A turn ends with a line
+    end, which no token goes past, so context and rest are encoded apart."""
     turns = F.sort_array(F.collect_list(F.struct("pos", mask.turn().alias("x"))))
     rows = r.examples.groupBy(KEY, "fold").agg(turns.alias("t"), F.max("target_from_msg").alias("target"))
-    text = lambda t: mask.encoded(F.array_join(F.transform(t, lambda m: m["x"]), ""))
-    return rows.select(KEY, "fold", text(F.col("t")).alias("ids"), text(F.filter("t", lambda m: m["pos"] < F.col("target"))).alias("context"))
+    text = lambda test: F.array_join(F.transform(F.filter("t", test), lambda m: m["x"]), "")
+    texts = rows.select(KEY, "fold", text(lambda m: m["pos"] < F.col("target")).alias("context"), text(lambda m: m["pos"] >= F.col("target")).alias("rest"))
+    return mask.with_ids(texts, ["context", "rest"]).select(KEY, "fold", F.concat("context", "rest").alias("ids"), F.size("context").cast("long").alias("start"))
 
 
 def rolling_mask(r: Run) -> DataFrame:
-    rows = mask.masked(_rolling_ids(r)).withColumn("start", T.common_prefix(F.col("context"), F.col("ids")))
+    rows = mask.masked(_rolling_ids(r))
     labels = mask.from_target(F.col("labels"), F.col("start"))
     kept = F.filter(labels, lambda x: x != mask.IGNORED)
     return rows.select(KEY, F.col("fold").alias("step_idx"), F.size("ids").cast("long").alias("length"), "start", F.size(kept).cast("long").alias("n_labels"), F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x).alias("label_sum"))
