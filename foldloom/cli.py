@@ -103,8 +103,8 @@ class Stage:
         if a.score_url:
             score_of = lambda x: seams.scored(x, self.staged, seams.HttpScorer(a.score_url, a.model), a.tau, a.max_context)
         else:
-            counts = gate.step_token_counts(self.staged)
-            score_of = lambda x: gate.score(x, counts, a.tau, a.max_context)
+            told = gate.step_tokens(self.staged)
+            score_of = lambda x: gate.score(x, told, a.tau, a.max_context)
         keep = lambda df: staged(df, shared_dir(self.spark))
         done = keep(score_of(parts)).withColumn("repaired", F.lit(0))
         if a.repair and a.url:

@@ -30,36 +30,45 @@ def segments(folds: DataFrame, horizon: int = 4, prefix_steps: int = 4) -> DataF
     })
 
 
-def step_token_counts(staged: DataFrame) -> DataFrame:
-    """Token counts of each step (head: -1), apart for the assistant's messages and the others'."""
-    rows = staged.select(KEY, "step_idx", (F.col("role") == "assistant").alias("said"), F.explode(T.tokens(T.text_of(F.col("content"), F.col("tool_calls")))).alias("token"))
-    return rows.groupBy(KEY, "step_idx", "said", "token").agg(F.count("*").alias("n"))
+def step_tokens(staged: DataFrame) -> DataFrame:
+    """Tokens of each message, with its step (head: -1) and whether the assistant said it."""
+    return staged.select(KEY, F.col("step_idx").cast("long").alias("step_idx"), (F.col("role") == "assistant").alias("said"), T.tokens(T.text_of(F.col("content"), F.col("tool_calls"))).alias("tokens"))
 
 
-def score(parts: DataFrame, counts: DataFrame, tau: float = 0.15, max_context: int = 60000) -> DataFrame:
-    """``parts``: from ``segments`` with M. Adds c_tokens, context_tokens, nll_raw, nll_folded, delta, sufficient, and
-    the status: scored, no_continuation, too_long or no_tokens."""
-    common = staged(counts.groupBy("token").agg(F.sum("n").alias("bg")), shared_dir(counts.sparkSession))
+def background(told: DataFrame) -> DataFrame:
+    """How often each token is there in all (``told``: from ``step_tokens``), stored."""
+    return staged(told.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("bg")), shared_dir(told.sparkSession))
+
+
+def score(parts: DataFrame, told: DataFrame, tau: float = 0.15, max_context: int = 60000, common: DataFrame | None = None) -> DataFrame:
+    """``parts``: from ``segments`` with M; ``told``: from ``step_tokens``. Adds c_tokens, context_tokens, nll_raw,
+    nll_folded, delta, sufficient, and the status: scored, no_continuation, too_long or no_tokens. ``common``:
+    ``background(told)``, if it is there already."""
+    common = background(told) if common is None else common
     total = common.agg(F.coalesce(F.sum("bg"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     f = parts.select(KEY, F.col("step_idx").alias("fold"), "p_lo", "comp_lo", "comp_hi", "c_lo", "c_hi")
     # The head and each step of prefix, slice and continuation, so that a fold only meets the tokens of its own steps.
     own = F.concat(F.array(F.lit(-1).cast("long")), F.sequence(F.col("p_lo").cast("long"), F.coalesce("c_hi", "comp_hi").cast("long")))
     f = f.withColumn("step_idx", F.explode(own))
     step, head = F.col("step_idx"), F.col("step_idx") == -1
-    of = lambda test, name: F.when(test, F.col("n")).otherwise(0).alias(name)
-    # One row a fold and token: how often both contexts and the continuation have it.
-    near = f.join(counts.withColumn("step_idx", step.cast("long")), [KEY, "step_idx"]).select(
-        *FOLD, "token", of(head | step.between(F.col("p_lo"), F.col("comp_hi")), "raw"), of(head | step.between(F.col("p_lo"), F.col("comp_lo") - 1), "folded"),
+    of = lambda test, name: F.when(test, 1).otherwise(0).alias(name)
+    near = f.join(told, [KEY, "step_idx"]).select(
+        *FOLD, "tokens", of(head | step.between(F.col("p_lo"), F.col("comp_hi")), "raw"), of(head | step.between(F.col("p_lo"), F.col("comp_lo") - 1), "folded"),
         of(F.col("said") & step.between(F.col("c_lo"), F.col("c_hi")), "c"),
     )
-    memory = parts.select(KEY, F.col("step_idx").alias("fold"), F.explode(T.tokens(F.col("M"))).alias("token")).select("*", F.lit(0).alias("raw"), F.lit(1).alias("folded"), F.lit(0).alias("c"))
-    per = near.unionByName(memory).groupBy(*FOLD, "token").agg(*(F.sum(x).alias(x) for x in ("raw", "folded", "c")))
-    size = Window.partitionBy(*FOLD)
-    sized = per.select("*", F.sum("raw").over(size).alias("context_tokens"), F.sum("folded").over(size).alias("folded_tokens")).join(common, "token", "left")
+    memory = parts.select(KEY, F.col("step_idx").alias("fold"), T.tokens(F.col("M")).alias("tokens"), F.lit(0).alias("raw"), F.lit(1).alias("folded"), F.lit(0).alias("c"))
+    # Messages are dealt by fold before their tokens part, so that counting them moves nothing more. One row a fold and
+    # token: how often both contexts and the continuation have it.
+    each = near.unionByName(memory).repartition(*FOLD).select(*FOLD, F.explode("tokens").alias("token"), "raw", "folded", "c")
+    per = each.groupBy(*FOLD, "token").agg(*(F.sum(x).alias(x) for x in ("raw", "folded", "c")))
+    # Only what the continuation says is scored, so only that meets the background.
+    heard = F.collect_list(F.when(F.col("c") > 0, F.struct("token", "raw", "folded", "c")))
+    totals = per.groupBy(*FOLD).agg(*(F.sum(x).alias(f"{x}_size") for x in ("raw", "folded", "c")), heard.alias("heard"))
+    sized = totals.select(*FOLD, F.col("raw_size").alias("context_tokens"), F.col("folded_size").alias("folded_tokens"), F.col("c_size").alias("c_tokens"), F.explode_outer("heard").alias("h")).select("*", "h.*").drop("h").join(common, "token", "left")
     rare = (F.coalesce("bg", F.lit(0)) + 1) / F.lit(float(total["n"] + total["v"]))
     p = lambda n, size_: F.when(F.col(size_) == 0, rare).otherwise(0.5 * F.col(n) / F.col(size_) + 0.5 * rare)
     nll = lambda n, size_: (-F.sum(F.when(F.col("c") > 0, F.col("c") * F.log(p(n, size_))))).alias(f"nll_{n}")
-    scores = sized.groupBy(*FOLD).agg(F.sum("c").alias("c_tokens"), F.first("context_tokens").alias("context_tokens"), nll("raw", "context_tokens"), nll("folded", "folded_tokens"))
+    scores = sized.groupBy(*FOLD).agg(F.first("c_tokens").alias("c_tokens"), F.first("context_tokens").alias("context_tokens"), nll("raw", "context_tokens"), nll("folded", "folded_tokens"))
     met = parts.withColumn("fold", F.col("step_idx")).join(scores, FOLD, "left")
     context = F.coalesce("context_tokens", F.lit(0))
     status = F.when(F.col("c_lo").isNull(), "no_continuation").when(context > max_context, "too_long").when(F.coalesce("c_tokens", F.lit(0)) == 0, "no_tokens").otherwise("scored")
@@ -86,9 +95,10 @@ def following_calls(parts: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def rescored(fresh: DataFrame, score_of: Callable[[DataFrame], DataFrame], steps: DataFrame) -> DataFrame:
-    """Folds with a new M, scored anew, with ``leaks``."""
-    done = score_of(fresh.drop(*SCORES))
-    leaked = leaks(done.select(KEY, F.col("step_idx").alias("fold"), "M"), following_calls(done, steps).drop("step")).withColumnRenamed("fold", "step_idx")
+    """Folds with a new M, scored anew, with ``leaks``. The new M are stored, as both read them."""
+    fresh = staged(fresh.drop(*SCORES), shared_dir(fresh.sparkSession))
+    done = score_of(fresh)
+    leaked = leaks(fresh.select(KEY, F.col("step_idx").alias("fold"), "M"), following_calls(fresh, steps).drop("step")).withColumnRenamed("fold", "step_idx")
     return done.join(leaked, [KEY, "step_idx"])
 
 

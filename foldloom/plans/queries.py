@@ -47,10 +47,15 @@ class Run:
     def steps(self) -> DataFrame:
         return messages.steps(self.staged)
 
+    @kept
+    def sent(self) -> DataFrame:
+        """The messages, for queries that read them more than once."""
+        return self.staged
+
     @kept
     def stored(self) -> DataFrame:
         """The steps, for what reads them more than once."""
-        return self.steps
+        return messages.steps(self.sent)
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -58,7 +63,7 @@ class Run:
 
     @cached_property
     def heads(self) -> DataFrame:
-        return messages.heads(self.staged)
+        return messages.heads(self.sent)
 
     @kept
     def folds(self) -> DataFrame:
@@ -79,7 +84,18 @@ class Run:
 
     @kept
     def scored(self) -> DataFrame:
-        return gate.score(gate.segments(self.memories), gate.step_token_counts(self.staged), max_context=MAX_CONTEXT)
+        return self.score_of(gate.segments(self.memories))
+
+    @kept
+    def tokens(self) -> DataFrame:
+        return gate.step_tokens(self.sent)
+
+    @cached_property
+    def background(self) -> DataFrame:
+        return gate.background(self.tokens)
+
+    def score_of(self, parts: DataFrame) -> DataFrame:
+        return gate.score(parts, self.tokens, max_context=MAX_CONTEXT, common=self.background)
 
     @kept
     def rolling(self) -> DataFrame:
@@ -91,16 +107,15 @@ class Run:
         """One round of repair, in which a memory gets the whole text of what it replaces."""
         texts = folding.slice_text(self.folds, self.stored).withColumnRenamed("fold", "step_idx")
         more = lambda again: again.join(texts, FOLD_KEY).withColumn("M", F.concat_ws("\n\n", "M", "slice_text")).drop("slice_text")
-        score_of = lambda parts: gate.score(parts, gate.step_token_counts(self.staged), max_context=MAX_CONTEXT)
-        return gate.repaired(self.scored, more, lambda fresh: gate.rescored(fresh, score_of, self.stored))
+        return gate.repaired(self.scored, more, lambda fresh: gate.rescored(fresh, self.score_of, self.stored))
 
     @cached_property
     def examples(self) -> DataFrame:
-        return stitch.rolling_examples(self.staged, self.rolling)
+        return stitch.rolling_examples(self.sent, self.rolling)
 
     @cached_property
     def stitched(self) -> DataFrame:
-        return stitch.stitched(self.staged, self.widened)
+        return stitch.stitched(self.sent, self.widened)
 
     @cached_property
     def conversation_ids(self) -> DataFrame:
@@ -409,7 +424,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "first_action_steps": _events(first_action_steps),
         "conv_steps": _talks(lambda r: r.steps.select(*FOLD_KEY, "thought", "obs_text", "n_msgs")),
         "conv_step_render": _talks(lambda r: r.steps.select(*FOLD_KEY, "rendered")),
-        "conv_task_text": _talks(lambda r: r.heads.select(KEY, "task", "q_msgs")),
+        "conv_task_text": _talks(lambda r: messages.heads(r.staged).select(KEY, "task", "q_msgs")),
         "conv_zero_step_drop": _talks(lambda r: messages.step_counts(r.staged).select(KEY, "num_steps")),
         "conv_token_counts": _talks(lambda r: r.steps.groupBy(KEY).agg(F.sum("tokens").alias("step_tokens")).join(r.heads.select(KEY, "head_tokens"), KEY, "left").select(KEY, "step_tokens", F.coalesce("head_tokens", F.lit(0)).alias("head_tokens"))),
         "event_text_of": _events(lambda r: r.staged.select(KEY, "msg_idx", T.text_of(F.col("content"), F.col("tool_calls")).alias("message_text"))),

@@ -3,7 +3,8 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from foldloom.operators import mask
+from foldloom.functions import text as T
+from foldloom.operators import gate, mask
 
 
 def plan(df):
@@ -28,3 +29,20 @@ def test_ids_of_texts_are_those_of_the_expression(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, x string")
     got = {r.k: r.x for r in mask.with_ids(rows, ["x"]).collect()}
     assert got == {r.k: r.x for r in rows.select("k", mask.encoded(F.col("x")).alias("x")).collect()}
+
+
+def test_tokens_part_after_they_are_dealt_by_fold(spark):
+    parts = spark.createDataFrame([(1, 9, 0, 1, 2, 3, 4, "a b")], "trajectory_id long, step_idx long, p_lo long, comp_lo long, comp_hi long, c_lo long, c_hi long, M string")
+    told = spark.createDataFrame([(1, s, True, ["a", f"t{s}"]) for s in range(-1, 6)], "trajectory_id long, step_idx long, said boolean, tokens array<string>")
+    scored = gate.score(parts, told)
+    assert "RepartitionByExpression [trajectory_id" in plan(scored) and "Window" not in plan(scored)
+    r = scored.first()
+    assert (r.c_tokens, r.context_tokens, r.status) == (4, 8, "scored")
+
+
+def test_new_memories_are_stored_before_they_are_scored(spark):
+    fresh = spark.createDataFrame([(1, 9, 2, 3, "m")], "trajectory_id long, step_idx long, c_lo long, c_hi long, M string")
+    steps = spark.createDataFrame([], f"trajectory_id long, step_idx long, tool_calls {T.calls_type()}")
+    seen = []
+    gate.rescored(fresh, lambda f: seen.append(f.inputFiles()) or f, steps)
+    assert seen[0]
