@@ -164,9 +164,10 @@ def merged_pinned(carried: Column, new: Column) -> Column:
     """Carried lines, then new ones; of lines equal when stripped the first stays; fillers go."""
     every = F.concat(lines(F.coalesce(carried, F.lit(""))), lines(F.coalesce(new, F.lit(""))))
     good = F.filter(every, lambda x: (strip(x) != "") & ~F.btrim(F.lower(strip(x)), F.lit("-• ")).isin("", "none", "none yet"))
-    keep = lambda acc, x: F.when(F.array_contains(F.transform(acc, strip), strip(x)), acc).otherwise(F.concat(acc, F.array(F.rtrim(x, F.lit(BLANKS)))))
-    kept = F.aggregate(good, F.array().cast("array<string>"), keep)
-    return F.when(F.size(kept) > 0, F.array_join(kept, "\n")).otherwise(F.lit("None yet"))
+    # An array of one binds the lines, so that they are made and stripped once.
+    both = F.transform(F.array(good), lambda a: F.struct(a.alias("a"), F.transform(a, strip).alias("s")))
+    first = lambda b: F.transform(F.array_distinct(b["s"]), lambda s: F.rtrim(F.element_at(b["a"], F.array_position(b["s"], s).cast("int")), F.lit(BLANKS)))
+    return F.element_at(F.transform(both, lambda b: F.when(F.size(b["s"]) > 0, F.array_join(first(b), "\n")).otherwise(F.lit("None yet"))), 1)
 
 
 def phrase(signal: Column) -> Column:

@@ -113,13 +113,13 @@ def rolling_memories(chosen: DataFrame) -> DataFrame:
     carried forward word for word, by one fold over each trajectory's memories."""
     s = F.array_sort(F.collect_list(F.struct("comp_lo", "step_idx", "new_pinned")))
     kind = "array<struct<idx:bigint,pinned:string>>"
-    start = F.struct(F.lit("").alias("carried"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, f: Column) -> Column:
-        merged = T.merged_pinned(acc["carried"], f["new_pinned"])
-        return F.struct(merged.alias("carried"), F.concat(acc["out"], F.array(F.struct(f["step_idx"].cast("long").alias("idx"), merged.alias("pinned")))).alias("out"))
+        merged = T.merged_pinned(F.try_element_at(acc, F.lit(-1))["pinned"], f["new_pinned"])
+        return F.concat(acc, F.array(F.struct(f["step_idx"].cast("long").alias("idx"), merged.alias("pinned"))))
 
-    pinned = chosen.groupBy(KEY).agg(s.alias("s")).select(KEY, F.explode(F.aggregate("s", start, step)["out"]).alias("p"))
+    # The arrays are never empty; ``explode`` would have them made twice, to filter empty ones before.
+    pinned = chosen.groupBy(KEY).agg(s.alias("s")).select(KEY, F.explode_outer(F.aggregate("s", F.array().cast(kind), step)).alias("p"))
     met = chosen.join(pinned.select(KEY, F.col("p.idx").alias("step_idx"), F.col("p.pinned").alias("pinned")), [KEY, "step_idx"])
     return met.withColumn("M", T.with_pinned(F.col("M"), F.col("pinned")))
 

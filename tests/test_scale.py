@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from foldloom.functions import text as T
-from foldloom.operators import gate, mask
+from foldloom.operators import gate, mask, memory
 
 
 def plan(df):
@@ -46,3 +46,10 @@ def test_new_memories_are_stored_before_they_are_scored(spark):
     seen = []
     gate.rescored(fresh, lambda f: seen.append(f.inputFiles()) or f, steps)
     assert seen[0]
+
+
+def test_pinned_lines_are_merged_once_a_fold(spark):
+    rows = spark.createDataFrame([(1, 10 * i, i, "m", f"- x{i}\n - x0 \nnone") for i in range(3)], "trajectory_id long, comp_lo long, step_idx long, M string, new_pinned string")
+    done = memory.rolling_memories(rows)
+    assert plan(done).count("array_distinct") == 1
+    assert [r.pinned for r in done.orderBy("step_idx").collect()] == ["- x0", "- x0\n- x1", "- x0\n- x1\n- x2"]
