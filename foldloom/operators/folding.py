@@ -64,7 +64,7 @@ def accepted(steps: Column, head: Column, rules: FoldRules) -> Column:
 def fold_points(steps: DataFrame, heads: DataFrame, rules: FoldRules) -> DataFrame:
     """trajectory_id, num_steps, step_idx, signal, comp_lo, comp_hi, recent_lo, recent_hi of each fold."""
     rows = signals(steps, rules).select(KEY, F.struct(F.col("step_idx").cast("long").alias("idx"), "signal", F.col("tokens").cast("long").alias("tokens")).alias("s"))
-    per = rows.groupBy(KEY).agg(F.array_sort(F.collect_list("s")).alias("steps")).join(heads.select(KEY, "head_tokens"), KEY, "left")
+    per = rows.groupBy(KEY).agg(F.array_sort(F.collect_list("s")).alias("steps")).join(heads.select(KEY, "head_tokens").hint("merge"), KEY, "left")
     out = per.select(KEY, F.size("steps").cast("long").alias("num_steps"), F.explode(accepted(F.col("steps"), F.coalesce("head_tokens", F.lit(0)), rules)).alias("f"))
     return segmented(out.select(KEY, "num_steps", F.col("f.idx").alias("step_idx"), "f.signal"), rules)
 
@@ -86,16 +86,17 @@ def fold_tokens(folds: DataFrame, steps: DataFrame) -> DataFrame:
     sums = steps.select(KEY, "step_idx", "tokens").withColumn("upto", F.sum("tokens").over(order))
     low = sums.select(KEY, F.col("step_idx").alias("comp_lo"), (F.col("upto") - F.col("tokens")).alias("before"))
     high = sums.select(KEY, F.col("step_idx").alias("comp_hi"), "upto")
-    met = folds.join(low, [KEY, "comp_lo"], "left").join(high, [KEY, "comp_hi"], "left")
+    met = folds.join(low.hint("merge"), [KEY, "comp_lo"], "left").join(high.hint("merge"), [KEY, "comp_hi"], "left")
     return met.withColumn("comp_tokens", F.coalesce(F.col("upto") - F.col("before"), F.lit(0))).drop("upto", "before")
 
 
 def in_range(folds: DataFrame, steps: DataFrame, low: Column, high: Column, columns: list[str]) -> DataFrame:
     """Fold keys with the steps between ``low`` and ``high`` (expressions over the fold). The range becomes one row a
-    step before the join, so that a fold only meets its own steps."""
+    step before the join, so that a fold only meets its own steps. Steps are never broadcast: their files' size says
+    little of their texts'."""
     f = folds.select(KEY, F.col("step_idx").alias("fold"), low.cast("long").alias("low"), high.cast("long").alias("high")).filter("low <= high")
     each = f.select(KEY, "fold", F.explode(F.sequence("low", "high")).alias("step"))
-    return each.join(steps.select(KEY, F.col("step_idx").cast("long").alias("step"), *columns), [KEY, "step"]).select(KEY, "fold", "step", *columns)
+    return each.join(steps.select(KEY, F.col("step_idx").cast("long").alias("step"), *columns).hint("merge"), [KEY, "step"]).select(KEY, "fold", "step", *columns)
 
 
 def joined_text(rows: DataFrame, column: str, name: str) -> DataFrame:

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from foldloom.functions import text as T
 from foldloom.operators.folding import in_range
 from foldloom.operators.messages import KEY
-from foldloom.shared import shared_dir, staged
+from foldloom.shared import Dealt, shared_dir, staged
 
 FOLD = [KEY, "fold"]
 #: Stretches that positions are looked for in.
 SLICES = 128
+#: A token that is this part of all or more is looked up without moving its rows (there are no more such tokens).
+FREQUENT = 100_000
 
 
 def segments(folds: DataFrame, horizon: int = 4, prefix_steps: int = 4) -> DataFrame:
@@ -40,36 +42,51 @@ def background(told: DataFrame) -> DataFrame:
     return staged(told.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("bg")), shared_dir(told.sparkSession))
 
 
-def score(parts: DataFrame, told: DataFrame, tau: float = 0.15, max_context: int = 60000, common: DataFrame | None = None) -> DataFrame:
+def score(parts: DataFrame, told: DataFrame, tau: float = 0.15, max_context: int = 60000, common: DataFrame | None = None, dealt: Dealt | None = None) -> DataFrame:
     """``parts``: from ``segments`` with M; ``told``: from ``step_tokens``. Adds c_tokens, context_tokens, nll_raw,
     nll_folded, delta, sufficient, and the status: scored, no_continuation, too_long or no_tokens. ``common``:
-    ``background(told)``, if it is there already."""
+    ``background(told)``, if it is there already. ``dealt``: what stored ``parts`` and ``told`` by trajectory, if anything
+    did; then only rows of rare tokens are moved."""
     common = background(told) if common is None else common
     total = common.agg(F.coalesce(F.sum("bg"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     f = parts.select(KEY, F.col("step_idx").alias("fold"), "p_lo", "comp_lo", "comp_hi", "c_lo", "c_hi")
-    # The head and each step of prefix, slice and continuation, so that a fold only meets the tokens of its own steps.
-    own = F.concat(F.array(F.lit(-1).cast("long")), F.sequence(F.col("p_lo").cast("long"), F.coalesce("c_hi", "comp_hi").cast("long")))
+    # The head, each step of prefix, slice and continuation, and the memory (below -1), so that a fold only meets its own.
+    own = F.concat(F.array(F.lit(-1).cast("long"), -2 - F.col("fold")), F.sequence(F.col("p_lo").cast("long"), F.coalesce("c_hi", "comp_hi").cast("long")))
     f = f.withColumn("step_idx", F.explode(own))
+    # The key has a name of its own here: Spark 4.1 forgets how the parts of a union are dealt, if a filter makes the very
+    # column they are dealt by not null.
+    memory = parts.select(F.col(KEY).alias("of"), (-2 - F.col("step_idx")).cast("long").alias("at"), F.lit(False).alias("said"), T.tokens(F.col("M")).alias("tokens"))
+    texts = told.select(F.col(KEY).alias("of"), F.col("step_idx").alias("at"), "said", "tokens").unionByName(memory)
     step, head = F.col("step_idx"), F.col("step_idx") == -1
     of = lambda test, name: F.when(test, 1).otherwise(0).alias(name)
-    near = f.join(told, [KEY, "step_idx"]).select(
-        *FOLD, "tokens", of(head | step.between(F.col("p_lo"), F.col("comp_hi")), "raw"), of(head | step.between(F.col("p_lo"), F.col("comp_lo") - 1), "folded"),
+    each = f.join(texts.hint("merge"), (F.col(KEY) == F.col("of")) & (F.col("step_idx") == F.col("at"))).select(
+        *FOLD, "tokens", of(head | step.between(F.col("p_lo"), F.col("comp_hi")), "raw"), of((step < 0) | step.between(F.col("p_lo"), F.col("comp_lo") - 1), "folded"),
         of(F.col("said") & step.between(F.col("c_lo"), F.col("c_hi")), "c"),
     )
-    memory = parts.select(KEY, F.col("step_idx").alias("fold"), T.tokens(F.col("M")).alias("tokens"), F.lit(0).alias("raw"), F.lit(1).alias("folded"), F.lit(0).alias("c"))
-    # Messages are dealt by fold before their tokens part, so that counting them moves nothing more. One row a fold and
-    # token: how often both contexts and the continuation have it.
-    each = near.unionByName(memory).repartition(*FOLD).select(*FOLD, F.explode("tokens").alias("token"), "raw", "folded", "c")
+    # Messages are dealt by fold (or trajectory) before their tokens part, so that counting them moves nothing more. One
+    # row a fold and token: how often both contexts and the continuation have it.
+    each = (each if dealt else each.repartition(*FOLD)).select(*FOLD, F.explode("tokens").alias("token"), "raw", "folded", "c")
     per = each.groupBy(*FOLD, "token").agg(*(F.sum(x).alias(x) for x in ("raw", "folded", "c")))
     # Only what the continuation says is scored, so only that meets the background.
     heard = F.collect_list(F.when(F.col("c") > 0, F.struct("token", "raw", "folded", "c")))
     totals = per.groupBy(*FOLD).agg(*(F.sum(x).alias(f"{x}_size") for x in ("raw", "folded", "c")), heard.alias("heard"))
-    sized = totals.select(*FOLD, F.col("raw_size").alias("context_tokens"), F.col("folded_size").alias("folded_tokens"), F.col("c_size").alias("c_tokens"), F.explode_outer("heard").alias("h")).select("*", "h.*").drop("h").join(common, "token", "left")
+    sizes = [F.col("raw_size").alias("context_tokens"), F.col("folded_size").alias("folded_tokens"), F.col("c_size").alias("c_tokens")]
+    words = lambda df: df.select(*FOLD, *sizes, F.explode_outer("heard").alias("h")).select("*", "h.*").drop("h")
     rare = (F.coalesce("bg", F.lit(0)) + 1) / F.lit(float(total["n"] + total["v"]))
     p = lambda n, size_: F.when(F.col(size_) == 0, rare).otherwise(0.5 * F.col(n) / F.col(size_) + 0.5 * rare)
     nll = lambda n, size_: (-F.sum(F.when(F.col("c") > 0, F.col("c") * F.log(p(n, size_))))).alias(f"nll_{n}")
-    scores = sized.groupBy(*FOLD).agg(F.first("c_tokens").alias("c_tokens"), F.first("context_tokens").alias("context_tokens"), nll("raw", "context_tokens"), nll("folded", "folded_tokens"))
-    met = parts.withColumn("fold", F.col("step_idx")).join(scores, FOLD, "left")
+    summed = lambda df: df.groupBy(*FOLD).agg(*(F.first(x).alias(x) for x in ("c_tokens", "context_tokens")), nll("raw", "context_tokens"), nll("folded", "folded_tokens"))
+    if dealt is None or total["v"] <= FREQUENT:
+        scores = summed(words(totals).join(common, "token", "left"))
+    else:
+        often = F.col("bg") * FREQUENT >= total["n"]
+        spoken = words(dealt(totals)).join(F.broadcast(common.filter(often)), "token", "left")
+        seldom = spoken.filter("token IS NOT NULL AND bg IS NULL").drop("bg").join(common.filter(~often), "token", "left")
+        more = dealt(dealt.moved(summed(seldom)).select(*FOLD, F.col("nll_raw").alias("more_raw"), F.col("nll_folded").alias("more_folded")))
+        known = spoken.withColumn("c", F.when(F.col("bg").isNotNull(), F.col("c")))
+        both = lambda x: (F.coalesce(f"nll_{x}", F.lit(0.0)) + F.coalesce(f"more_{x}", F.lit(0.0))).alias(f"nll_{x}")
+        scores = summed(known).join(more.hint("merge"), FOLD, "left").select(*FOLD, "c_tokens", "context_tokens", both("raw"), both("folded"))
+    met = parts.withColumn("fold", F.col("step_idx")).join(scores.hint("merge"), FOLD, "left")
     context = F.coalesce("context_tokens", F.lit(0))
     status = F.when(F.col("c_lo").isNull(), "no_continuation").when(context > max_context, "too_long").when(F.coalesce("c_tokens", F.lit(0)) == 0, "no_tokens").otherwise("scored")
     met = met.withColumn("status", status)
@@ -134,8 +151,8 @@ def leaks(memory: DataFrame, continuation: DataFrame) -> DataFrame:
     plain = F.from_json(F.concat(F.lit('{"x":'), F.col("arguments"), F.lit("}")), "x string")["x"]
     texts = F.when(first == "{", fields).when(first == '"', F.coalesce(F.map_values(F.from_json(plain, "map<string,string>")), F.array(plain))).otherwise(F.array("arguments"))
     lines = continuation.select(*FOLD, F.explode(texts).alias("t")).select(*FOLD, F.explode(T.lines(F.col("t"))).alias("line")).select(*FOLD, T.strip(F.col("line")).alias("line"))
-    found = lines.filter(F.length("line") >= 25).join(memory.select(*FOLD, "M"), FOLD).groupBy(*FOLD).agg(F.bool_or(F.contains("M", F.col("line"))).alias("leaks"))
-    return memory.select(*FOLD).join(found, FOLD, "left").withColumn("leaks", F.coalesce("leaks", F.lit(False)))
+    found = lines.filter(F.length("line") >= 25).join(memory.select(*FOLD, "M").hint("merge"), FOLD).groupBy(*FOLD).agg(F.bool_or(F.contains("M", F.col("line"))).alias("leaks"))
+    return memory.select(*FOLD).join(found.hint("merge"), FOLD, "left").withColumn("leaks", F.coalesce("leaks", F.lit(False)))
 
 
 def repaired(scored: DataFrame, regenerate, rescore, rounds: int = 1, keep_best: bool = False) -> DataFrame:

@@ -79,8 +79,8 @@ def summaries(folds: DataFrame, facts: DataFrame, heads: DataFrame) -> DataFrame
     told = each.select(KEY, "fold", listed("did").alias("did"), listed("error_lines").alias("feedback"), listed("tried").alias("dead"))
     lasts = facts.select(KEY, F.col("step_idx").alias("comp_hi"), F.when(F.col("err"), T.strip(F.col("obs_text"))).otherwise(F.lit("None yet")).alias("open"))
     nexts = facts.select(KEY, F.col("step_idx").alias("after"), "action")
-    met = some.withColumn("after", F.col("comp_hi") + 1).join(nexts, [KEY, "after"], "left").join(lasts, [KEY, "comp_hi"]).join(heads.select(KEY, "task"), KEY, "left")
-    met = met.withColumn("fold", F.col("step_idx")).join(told, [KEY, "fold"])
+    met = some.withColumn("after", F.col("comp_hi") + 1).join(nexts.hint("merge"), [KEY, "after"], "left").join(lasts.hint("merge"), [KEY, "comp_hi"]).join(heads.select(KEY, "task").hint("merge"), KEY, "left")
+    met = met.withColumn("fold", F.col("step_idx")).join(told.hint("merge"), [KEY, "fold"])
     body = [F.coalesce("task", F.lit("")), F.col("did"), F.col("feedback"), F.lit("None"), F.col("dead"), F.col("open"), F.coalesce("action", F.lit("finish"))]
     parts = [F.concat(F.lit(h + "\n"), b) for h, b in zip(T.HEADERS, body, strict=True)]
     return met.select(*folds.columns, F.concat_ws("\n\n", *parts).alias("M"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foldloom.functions.text import calls_type
 from foldloom.operators.messages import KEY
+from foldloom.shared import buckets
 
 
 def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,19 +17,20 @@ def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two messages an event (an action and what it gave), after one system and one user message a user."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.col("user_id").alias(KEY), (F.row_number().over(order) - 1).cast("long").alias("i"), "event_id", "event_type", F.regexp_extract("props", r"(\d+)", 1).alias("k"),
-    )
+    order = Window.partitionBy(KEY).orderBy("ts", "event_id")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # Events are dealt by trajectory once, before their texts are made; the steps' windows need no other order.
+    dealt = rows.select(F.col("user_id").alias(KEY), "ts", "event_id", "event_type", F.regexp_extract("props", r"(\d+)", 1).alias("k")).repartition(buckets(rows), KEY)
+    events = dealt.select(KEY, (F.row_number().over(order) - 1).cast("long").alias("i"), "event_id", "event_type", "k")
     kind, k = F.col("event_type"), F.col("k")
     path = F.concat(F.lit("src/mod_"), k, F.lit(".py"))
     edit = lambda command, more="": F.concat(F.lit(f'{{"command": "{command}", "path": "'), path, F.lit('"' + more), F.lit("}"))
-    body = F.concat(F.lit(', "file_text": "def handle_'), k, F.lit('(value, scale=1.0):\\n    return scale * value + '), k, F.lit('"'))
+    code = F.concat(F.lit(', "file_text": "def handle_'), k, F.lit('(value, scale=1.0):\\n    return scale * value + '), k, F.lit('"'))
     run = lambda *command: F.concat(F.lit('{"command": "'), *command, F.lit('"}'))
     arguments = (
         F.when(kind == "view", edit("view"))
         .when(kind == "click", run(F.lit("ls src")))
-        .when(kind == "signup", F.concat(F.lit('{"command": "create", "path": "'), path, F.lit('"'), body, F.lit("}")))
+        .when(kind == "signup", F.concat(F.lit('{"command": "create", "path": "'), path, F.lit('"'), code, F.lit("}")))
         .when(kind == "purchase", run(F.lit("make order_"), F.col("event_id").cast("string")))
         .otherwise(run(F.lit("cat log_"), k))
     )
@@ -47,8 +49,9 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast(calls_type())
     blank = F.lit(None).cast("string")
     message = lambda at, role, content, c, name=blank, answers=blank: F.struct(at.cast("long").alias("msg_idx"), F.lit(role).alias("role"), content.alias("content"), name.alias("name"), answers.alias("tool_call_id"), c.cast(calls_type()).alias("tool_calls"))
-    body_rows = events.select(KEY, F.explode(F.array(message(2 + 2 * F.col("i"), "assistant", thought, calls), message(3 + 2 * F.col("i"), "tool", seen, none, tool, calls[0]["id"]))).alias("m"))
-    head_rows = events.filter("i = 0").select(KEY, F.explode(F.array(
+    body = F.array(message(2 + 2 * F.col("i"), "assistant", thought, calls), message(3 + 2 * F.col("i"), "tool", seen, none, tool, calls[0]["id"]))
+    head = F.array(
         message(F.lit(0), "system", F.lit("You are a careful engineer."), none),
-        message(F.lit(1), "user", F.concat(F.lit("Fix the service of user "), F.col(KEY).cast("string"), F.lit(".")), none))).alias("m"))
-    return body_rows.unionByName(head_rows).select(KEY, "m.*")
+        message(F.lit(1), "user", F.concat(F.lit("Fix the service of user "), F.col(KEY).cast("string"), F.lit(".")), none),
+    )
+    return events.select(KEY, F.explode(F.when(F.col("i") == 0, F.concat(head, body)).otherwise(body)).alias("m")).select(KEY, "m.*")

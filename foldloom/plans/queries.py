@@ -14,7 +14,7 @@ from foldloom.operators import folding, gate, mask, memory, messages, recall, st
 from foldloom.operators.messages import KEY
 from foldloom.plans import fixtures
 from foldloom.sources import plans as nested_plans
-from foldloom.shared import shared_dir, staged
+from foldloom.shared import Dealt, buckets
 from foldloom.sources import pool
 
 #: Defaults but for the token budget: the fixture's trajectories have about 2,000 tokens.
@@ -28,8 +28,9 @@ TOOLS = '[{"name": "context"}]'
 
 
 def kept(part: Callable[[Run], DataFrame]) -> cached_property:
-    """A part (rows of folds) that several later ones read: stored, so that their plans begin at it."""
-    return cached_property(lambda self: staged(part(self), shared_dir(self.spark)))
+    """A part (rows of trajectories) that several later ones read: stored by trajectory, so that their plans begin at it
+    and move none of its rows."""
+    return cached_property(lambda self: self.dealt(part(self)))
 
 
 class Run:
@@ -39,6 +40,10 @@ class Run:
         self.spark, self.sf_dir, self.rules = spark, sf_dir, SHORT if conversations else RULES
         self.make = fixtures.conversation_messages if conversations else fixtures.event_messages
 
+    @cached_property
+    def dealt(self) -> Dealt:
+        return Dealt(self.spark, KEY, buckets(self.make(self.spark, self.sf_dir)))
+
     @cached_property
     def staged(self) -> DataFrame:
         return messages.with_steps(self.make(self.spark, self.sf_dir))
@@ -95,7 +100,7 @@ class Run:
         return gate.background(self.tokens)
 
     def score_of(self, parts: DataFrame) -> DataFrame:
-        return gate.score(parts, self.tokens, max_context=MAX_CONTEXT, common=self.background)
+        return gate.score(parts, self.tokens, max_context=MAX_CONTEXT, common=self.background, dealt=self.dealt)
 
     @kept
     def rolling(self) -> DataFrame:

@@ -4,7 +4,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from foldloom.functions import text as T
-from foldloom.operators import gate, mask, memory
+from foldloom.operators import gate, mask, memory, messages
+from foldloom.plans import fixtures
+from foldloom.shared import WHOLE, Dealt
 
 
 def plan(df):
@@ -53,3 +55,41 @@ def test_pinned_lines_are_merged_once_a_fold(spark):
     done = memory.rolling_memories(rows)
     assert plan(done).count("array_distinct") == 1
     assert [r.pinned for r in done.orderBy("step_idx").collect()] == ["- x0", "- x0\n- x1", "- x0\n- x1\n- x2"]
+
+
+def joined(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_is_dealt_by_trajectory_is_not_moved_again(spark):
+    put = Dealt(spark, "trajectory_id", 5)
+    rows = put(spark.range(200).selectExpr("id % 7 AS trajectory_id", "id AS step_idx", "'x' AS t"))
+    before = {k: spark.conf.get(k) for k in WHOLE}
+    both = rows.join(rows.selectExpr("trajectory_id", "step_idx", "t AS u").hint("merge"), ["trajectory_id", "step_idx"])
+    for k, v in WHOLE.items():
+        spark.conf.set(k, v)
+    try:
+        assert "Exchange" not in joined(both.groupBy("trajectory_id", "t").count())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert put(both).count() == 200
+    assert {k: spark.conf.get(k) for k in WHOLE} == before
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("foldloom_")]
+
+
+def test_messages_move_once_as_events(spark):
+    made = messages.with_steps(fixtures.event_messages(spark, "/root/testdata/sf0.001"))
+    assert joined(made).count("Exchange") == 1
+
+
+def test_rare_tokens_are_scored_as_those_of_a_small_vocabulary(spark, monkeypatch):
+    put = Dealt(spark, "trajectory_id", 3)
+    parts = put(spark.createDataFrame([(t, 9, 0, 1, 2, 3, 4, f"a b w{t}" if t % 3 else None) for t in range(20)], "trajectory_id long, step_idx long, p_lo long, comp_lo long, comp_hi long, c_lo long, c_hi long, M string"))
+    told = put(spark.createDataFrame([(t, s, s % 2 == 1, ["a", f"t{s}", f"w{t}", f"w{t + 1}"]) for t in range(19) for s in range(-1, 6)], "trajectory_id long, step_idx long, said boolean, tokens array<string>"))
+    shown = lambda df: sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.select(sorted(df.columns)).collect())
+    plain = shown(gate.score(parts, told))
+    assert shown(gate.score(parts, told, dealt=put)) == plain
+    for frequent in (1, 10, 100):
+        monkeypatch.setattr(gate, "FREQUENT", frequent)
+        assert shown(gate.score(parts, told, dealt=put)) == plain
