@@ -102,6 +102,9 @@ class Run:
     def score_of(self, parts: DataFrame) -> DataFrame:
         return gate.score(parts, self.tokens, max_context=MAX_CONTEXT, common=self.background, dealt=self.dealt)
 
+    def recalls(self, *kinds: str) -> DataFrame:
+        return self.dealt(recall.recalls(self.memories, self.facts, kinds))
+
     @kept
     def rolling(self) -> DataFrame:
         chosen = memory.select_rolling(self.widened.filter("comp_hi < num_steps"))
@@ -268,7 +271,7 @@ def recall_string_arguments(r: Run) -> DataFrame:
     quote = lambda x: F.to_json(F.struct(x.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(x.alias("x")))) - 6)
     quoted = F.transform("tool_calls", lambda c: c.withField("function.arguments", quote(c["function"]["arguments"])))
     steps = r.stored.withColumn("tool_calls", F.when(F.col("step_idx") % 3 == 0, quoted).otherwise(F.col("tool_calls")))
-    rows = recall.recalls(r.memories, memory.step_facts(steps))
+    rows = r.dealt(recall.recalls(r.memories, memory.step_facts(steps)))
     return rows.select(KEY, F.col("fold").alias("step_idx"), "kind", "n_items", "n_kept")
 
 
@@ -326,19 +329,19 @@ def lcp_arrays(r: Run) -> DataFrame:
 
 def _recalls(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def make(r: Run) -> DataFrame:
-        rows = recall.recalls(r.memories, r.facts).filter(F.col("kind") == kind)
+        rows = r.recalls(kind)
         return rows.select(KEY, F.col("fold").alias("step_idx"), "n_items", "n_kept", F.round("recall", 6).alias("recall"))
 
     return _events(make)
 
 
 def recall_identifiers(r: Run) -> DataFrame:
-    rows = recall.recalls(r.memories, r.facts).filter("kind IN ('decision', 'observed')")
+    rows = r.recalls("decision", "observed")
     return rows.select(KEY, F.col("fold").alias("step_idx"), "kind", "n_items", "n_kept")
 
 
 def recall_worst(r: Run) -> DataFrame:
-    rows = recall.recalls(r.memories, r.facts).filter("kind = 'decision' AND recall < 1").withColumn("recall", F.round("recall", 2))
+    rows = r.recalls("decision").filter("recall < 1").withColumn("recall", F.round("recall", 2))
     return rows.orderBy("recall", "signal", KEY, "fold").limit(8).select("recall", "signal", KEY, F.col("fold").alias("step_idx"))
 
 
@@ -483,7 +486,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "recall_string_arguments": _events(recall_string_arguments),
         "rolling_word_ratio": _events(rolling_word_ratio),
         "avg_compression": _events(lambda r: stats.compression(r.memories, T.token_count)),
-        "recall_summary": _events(lambda r: recall.summary(recall.recalls(r.memories, r.facts))),
+        "recall_summary": _events(lambda r: recall.summary(r.recalls(*recall.KINDS))),
         "recall_worst": _events(recall_worst),
         "recall_sample": _events(lambda r: recall.sampled(r.memories).select(*FOLD_KEY)),
         "pool_last_wins": _talks(pool_last_wins),

@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from foldloom.functions import text as T
-from foldloom.operators import gate, mask, memory, messages
+from foldloom.operators import gate, mask, memory, messages, recall
 from foldloom.plans import fixtures
 from foldloom.shared import WHOLE, Dealt
 
@@ -93,3 +93,15 @@ def test_rare_tokens_are_scored_as_those_of_a_small_vocabulary(spark, monkeypatc
     for frequent in (1, 10, 100):
         monkeypatch.setattr(gate, "FREQUENT", frequent)
         assert shown(gate.score(parts, told, dealt=put)) == plain
+
+
+def test_recall_reads_only_what_its_kinds_need(spark):
+    folds = spark.createDataFrame([(1, 9, 0, 1, "s", "a.py ValueError")], "trajectory_id long, step_idx long, comp_lo long, comp_hi long, signal string, M string")
+    calls = f"trajectory_id long, step_idx long, thought string, tool_calls {T.calls_type()}, obs_text string, edited array<string>, ran array<string>"
+    facts = spark.createDataFrame([(1, 0, "see a.py", [], "ValueError in b.py and a.py", ["a.py"], ["make"]), (1, 1, "`xyz`", [], "KeyError", [], [])], calls)
+    every = {tuple(r) for r in recall.items(folds, facts).collect()}
+    for kind in recall.KINDS:
+        assert {tuple(r) for r in recall.items(folds, facts, (kind,)).collect()} == {r for r in every if r[2] == kind}
+    assert {(r[2], r[3]) for r in every} == {("edited", "a.py"), ("command", "make"), ("error", "ValueError"), ("error", "KeyError"), ("decision", "a.py"), ("decision", "xyz"), ("observed", "ValueError"), ("observed", "b.py"), ("observed", "KeyError")}
+    errors = recall.recalls(folds, facts, ("error",))
+    assert "FileScan" not in plan(errors) and r"[A-Za-z_][A-Za-z0-9_./]{2,60}" not in plan(errors) and "collect_set" not in plan(errors)
