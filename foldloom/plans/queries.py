@@ -244,9 +244,9 @@ def leak_check(r: Run) -> DataFrame:
     f = gate.segments(r.memories)
     calls = gate.following_calls(f, r.stored)
     quoted = calls.groupBy(KEY, "fold").agg(F.max(T.argument(F.col("arguments"), "file_text")).alias("q"))
-    m = f.select(KEY, F.col("step_idx").alias("fold"), "M").join(quoted, [KEY, "fold"], "left")
+    m = f.select(KEY, F.col("step_idx").alias("fold"), "M").join(quoted.hint("merge"), [KEY, "fold"], "left")
     m = m.withColumn("M", F.when(F.col("fold") % 3 == 0, F.concat("M", F.coalesce("q", F.lit("")))).otherwise(F.col("M")))
-    return gate.leaks(m, calls.select(KEY, "fold", "arguments")).select(KEY, F.col("fold").alias("step_idx"), "leaks")
+    return r.dealt(gate.leaks(m, calls.select(KEY, "fold", "arguments"))).select(KEY, F.col("fold").alias("step_idx"), "leaks")
 
 
 def trigger_phrases(r: Run) -> DataFrame:
