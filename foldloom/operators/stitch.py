@@ -26,7 +26,7 @@ def blocks(folds: DataFrame) -> DataFrame:
         return F.struct(F.when(take, f["hi"].cast("long")).otherwise(acc["end"]).alias("end"), F.when(take, F.concat(acc["out"], F.array(f["idx"].cast("long")))).otherwise(acc["out"]).alias("out"))
 
     used = last.groupBy(KEY).agg(s.alias("s")).select(KEY, F.explode(F.aggregate("s", start, step)["out"]).alias("step_idx"))
-    return last.join(used, [KEY, "step_idx"])
+    return last.join(used.hint("merge"), [KEY, "step_idx"], "left_semi")
 
 
 def context_pair(signal: Column, memory: Column, place: Column) -> Column:
@@ -48,13 +48,15 @@ def raw_rows(staged: DataFrame) -> DataFrame:
 def stitched(staged: DataFrame, folds: DataFrame) -> DataFrame:
     """Messages of every conversation that uses a memory: raw steps outside used blocks, the pair in a block's place."""
     used = blocks(folds).select(KEY, "comp_lo", "comp_hi", "step_idx", "signal", "M")
-    raw = raw_rows(staged).join(used.select(KEY).distinct(), KEY, "left_semi")
+    raw = raw_rows(staged).join(used.select(KEY).distinct().hint("merge"), KEY, "left_semi")
     folded = used.select(KEY, F.explode(F.sequence("comp_lo", "comp_hi")).alias("step_idx"))
-    open_ = raw.join(folded, [KEY, "step_idx"], "left_anti")
+    open_ = raw.join(folded.hint("merge"), [KEY, "step_idx"], "left_anti")
     pairs = used.select(KEY, F.col("comp_lo").alias("step_idx"), F.explode(context_pair(F.col("signal"), F.col("M"), F.concat_ws("|", KEY, "step_idx"))).alias("m"))
     pairs = pairs.select(KEY, "step_idx", F.col("m.k").alias("msg_idx"), *(f"m.{c}" for c in MESSAGE))
-    pos = F.row_number().over(Window.partitionBy(KEY).orderBy("step_idx", "msg_idx")) - 1
-    return open_.unionByName(pairs).withColumn("pos", pos.cast("long")).select(*OUT)
+    # As in ``gate.score``: the key has a name of its own in the union, so that its parts stay where they are dealt.
+    every = open_.withColumnRenamed(KEY, "of").unionByName(pairs.withColumnRenamed(KEY, "of"))
+    pos = F.row_number().over(Window.partitionBy("of").orderBy("step_idx", "msg_idx")) - 1
+    return every.withColumn("pos", pos.cast("long")).select(F.col("of").alias(KEY), *OUT[1:])
 
 
 def stitch_stats(staged: DataFrame, out: DataFrame, folds: DataFrame) -> DataFrame:

@@ -471,7 +471,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stitched_mask": _events(stitched_mask),
         "stitch_stats": _events(lambda r: stitch.stitch_stats(r.staged, r.stitched, r.widened)),
         "trigger_phrases": _events(trigger_phrases),
-        "rendered_chat": _events(lambda r: mask.rendered(r.stitched, [KEY], tools=TOOLS)),
+        "rendered_chat": _events(lambda r: r.dealt(mask.rendered(r.stitched, [KEY], tools=TOOLS))),
         "assistant_mask": _talks(assistant_mask),
         "mask_filter": _talks(mask_filter),
         "rolling_mask": _events(rolling_mask),
