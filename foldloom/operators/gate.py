@@ -111,9 +111,11 @@ def following_calls(parts: DataFrame, steps: DataFrame) -> DataFrame:
     return rows.select(*FOLD, "step", F.explode("tool_calls").alias("c")).select(*FOLD, "step", F.col("c.function.arguments").alias("arguments"))
 
 
-def rescored(fresh: DataFrame, score_of: Callable[[DataFrame], DataFrame], steps: DataFrame) -> DataFrame:
-    """Folds with a new M, scored anew, with ``leaks``. The new M are stored, as both read them."""
-    fresh = staged(fresh.drop(*SCORES), shared_dir(fresh.sparkSession))
+def rescored(fresh: DataFrame, score_of: Callable[[DataFrame], DataFrame], steps: DataFrame, dealt: Dealt | None = None) -> DataFrame:
+    """Folds with a new M, scored anew, with ``leaks``. The new M are stored, as both read them (by ``dealt``, if scoring
+    has it)."""
+    fresh = fresh.drop(*SCORES)
+    fresh = dealt(fresh) if dealt else staged(fresh, shared_dir(fresh.sparkSession))
     done = score_of(fresh)
     leaked = leaks(fresh.select(KEY, F.col("step_idx").alias("fold"), "M"), following_calls(fresh, steps).drop("step")).withColumnRenamed("fold", "step_idx")
     return done.join(leaked, [KEY, "step_idx"])

@@ -115,7 +115,7 @@ class Run:
         """One round of repair, in which a memory gets the whole text of what it replaces."""
         texts = folding.slice_text(self.folds, self.stored).withColumnRenamed("fold", "step_idx")
         more = lambda again: again.join(texts, FOLD_KEY).withColumn("M", F.concat_ws("\n\n", "M", "slice_text")).drop("slice_text")
-        return gate.repaired(self.scored, more, lambda fresh: gate.rescored(fresh, self.score_of, self.stored))
+        return gate.repaired(self.scored, more, lambda fresh: gate.rescored(fresh, self.score_of, self.stored, self.dealt))
 
     @cached_property
     def examples(self) -> DataFrame:
