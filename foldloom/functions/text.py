@@ -25,9 +25,17 @@ READ_ONLY = r"^\s*(cat|ls|grep|find|head|tail|pwd|cd|echo|which|wc|tree|git (sta
 READ_ONLY_RECALL = r"^\s*(cat|ls|cd|grep|find|head|tail|pwd|echo|which|wc|tree|less|more|sed -n)\b"
 # Identifiers worth remembering.
 PATH = r"[A-Za-z0-9_./-]+\.(?:py|cfg|yml|yaml|json|toml|cpp|cc|hpp|js|ts|go|rs|java|sh|rst|txt|ini|html)(?::\d+(?:-\d+)?)?"
+#: A path begins where its run of characters does, or right after the match before it; so a run without one is read once,
+#: not from each of its characters on.
+PATH_START = r"(?:\G|(?<![\w./-]))"
 BACKTICK = r"`([A-Za-z_][A-Za-z0-9_./]{2,60})`"
 DOTTED = r"\b([A-Za-z_][A-Za-z0-9_]+(?:\.[A-Za-z_][A-Za-z0-9_]+)+)\b"
 ERROR_CLASS = r"\b([A-Z][A-Za-z0-9_]*(?:Error|Exception))\b"
+#: The same for Java, which tests ``\\w`` in one step and ranges one by one; a run that only its end can follow isn't
+#: given back character by character.
+JAVA_PATH = PATH_START + PATH.replace("A-Za-z0-9_", r"\w")
+JAVA_BACKTICK = BACKTICK.replace("A-Za-z0-9_./", r"\w./")
+JAVA_DOTTED = DOTTED.replace("[A-Za-z0-9_]+", r"\w++")
 # Section headers of a memory block, in order; the pinned section only in rolling memories.
 PINNED = "[Pinned]"
 HEADERS = ("[Goal]", "[Attempts & Results]", "[Environment Feedback]", "[Active Constraints]", "[Dead Ends]", "[Open Threads]", "[Next]")
@@ -86,7 +94,9 @@ def tokens(x: Column) -> Column:
 
 
 def token_count(x: Column) -> Column:
-    return F.size(tokens(x)).cast("long")
+    """How many ``tokens`` there are, without making them: characters that are left of one a word and no blanks."""
+    words = F.regexp_replace(F.coalesce(x, F.lit("")), r"\w+", "a")
+    return F.length(F.regexp_replace(words, r"[ \t\r\n]+", "")).cast("long")
 
 
 def word_count(x: Column) -> Column:
@@ -110,7 +120,8 @@ def coerced(arguments: Column) -> Column:
 def text_of(content: Column, calls: Column) -> Column:
     """Content, then name and arguments of each call; empty parts left out."""
     parts = F.flatten(F.transform(F.coalesce(calls, F.array().cast(calls_type())), lambda c: F.array(F.coalesce(c["function"]["name"], F.lit("")), F.coalesce(c["function"]["arguments"], F.lit("null")))))
-    return F.array_join(F.filter(F.concat(F.array(F.coalesce(content, F.lit(""))), parts), lambda p: p != ""), "\n")
+    joined = F.array_join(F.filter(F.concat(F.array(F.coalesce(content, F.lit(""))), parts), lambda p: p != ""), "\n")
+    return F.when(F.size(calls) > 0, joined).otherwise(F.coalesce(content, F.lit("")))
 
 
 def calls_type() -> str:
@@ -118,15 +129,21 @@ def calls_type() -> str:
 
 
 def identifiers(x: Column) -> Column:
-    """Distinct identifiers of three characters or more."""
-    x = F.coalesce(x, F.lit(""))
-    found = lambda p, g: F.regexp_extract_all(x, F.lit(p), F.lit(g))
-    every = F.concat(
-        F.transform(found(PATH, 0), lambda p: F.split_part(p, F.lit(":"), F.lit(1))),
-        F.transform(found(BACKTICK, 1), lambda p: F.split_part(p, F.lit("("), F.lit(1))),
-        found(DOTTED, 1), found(ERROR_CLASS, 1),
-    )
-    return F.filter(F.array_distinct(every), lambda p: F.length(p) >= 3)
+    """Distinct identifiers of three characters or more. A pattern is only searched for where the text has what all its
+    matches have."""
+
+    def every(t: Column) -> Column:
+        has = lambda *some: reduce(lambda a, b: a | b, (F.contains(t, F.lit(s)) for s in some))
+        found = lambda p, g, test: F.when(test, F.regexp_extract_all(t, F.lit(p), F.lit(g))).otherwise(F.array().cast("array<string>"))
+        made = F.concat(
+            F.transform(found(JAVA_PATH, 0, has(".")), lambda p: F.split_part(p, F.lit(":"), F.lit(1))),
+            F.transform(found(JAVA_BACKTICK, 1, has("`")), lambda p: F.split_part(p, F.lit("("), F.lit(1))),
+            found(JAVA_DOTTED, 1, has(".")), found(ERROR_CLASS, 1, has("Error", "Exception")),
+        )
+        return F.filter(F.array_distinct(made), lambda p: F.length(p) >= 3)
+
+    # An array of one binds the text, so that it is made once and not for every pattern.
+    return F.element_at(F.transform(F.array(F.coalesce(x, F.lit(""))), every), 1)
 
 
 def mentioned(item: Column, memory: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foldloom.functions import text as T
 from foldloom.operators.folding import in_range
-from foldloom.operators.messages import KEY
+from foldloom.operators.messages import EDITOR, EDITS, KEY, SHELL
 
 ELIDED = "\n\n[... trajectory middle elided for length ...]\n\n"
 
@@ -51,21 +51,23 @@ def ratio_action(value: Column, cut: Column, least: float = 0.18, most: float =
 def step_facts(steps: DataFrame) -> DataFrame:
     """What a step did, for summaries and the recall audit: arrays of state-changing commands and edited paths,
     of failing commands, and of error lines. Arguments that are JSON strings of an object count as that object."""
-    calls = F.transform("tool_calls", lambda c: c.withField("function.arguments", T.coerced(c["function"]["arguments"])))
-    command = lambda c: T.strip(T.argument(c["function"]["arguments"], "command"))
-    runs = lambda c: (c["function"]["name"] == "execute_bash") & (F.coalesce(command(c), F.lit("")) != "")
-    edits = lambda c: (c["function"]["name"] == "str_replace_editor") & T.argument(c["function"]["arguments"], "command").isin("create", "str_replace", "insert")
-    path = lambda c: T.argument(c["function"]["arguments"], "path")
-    did = F.transform(calls, lambda c: F.when(edits(c), path(c)).when(runs(c) & ~T.reads_only(command(c)), command(c)))
-    present = lambda a: F.filter(a, lambda x: x.isNotNull() & (x != ""))
-    return steps.withColumns({
-        "did": present(did),
-        "edited": present(F.transform(calls, lambda c: F.when(edits(c), path(c)))),
-        "ran": present(F.transform(calls, lambda c: F.when(runs(c) & ~T.reads_only(command(c), T.READ_ONLY_RECALL), F.substring(command(c), 1, 60)))),
-        "tried": F.when(F.col("err"), present(F.transform(calls, lambda c: F.when(runs(c), command(c))))).otherwise(F.array().cast("array<string>")),
-        "error_lines": F.filter(F.transform(T.lines(F.col("obs_text")), T.strip), T.has_error),
+    none = F.array().cast("array<string>")
+    # Arguments are read, and commands stripped, once a call: each name below is bound by the transform before it.
+    held = F.transform("tool_calls", lambda c: F.struct(c["function"]["name"].alias("name"), T.coerced(c["function"]["arguments"]).alias("given")))
+    told = F.transform(held, lambda c: F.struct(c["name"].alias("name"), c["given"].alias("given"), F.when(c["name"].isin(EDITOR, SHELL), T.argument(c["given"], "command")).alias("command")))
+    edits = lambda c: (c["name"] == EDITOR) & c["command"].isin(*EDITS)
+    made = F.transform(told, lambda c: F.struct(F.coalesce(edits(c), F.lit(False)).alias("edits"), F.when(edits(c), T.argument(c["given"], "path")).alias("path"), F.when(c["name"] == SHELL, T.strip(c["command"])).alias("ran")))
+    acts = lambda c, pattern: (c["ran"] != "") & ~c["ran"].rlike(pattern)
+    present = lambda f: F.filter(F.transform("made", f), lambda x: x.isNotNull() & (x != ""))
+    return steps.withColumn("made", made).withColumns({
+        "did": present(lambda c: F.when(c["edits"], c["path"]).when(acts(c, T.READ_ONLY), c["ran"])),
+        "edited": present(lambda c: c["path"]),
+        "ran": present(lambda c: F.when(acts(c, T.READ_ONLY_RECALL), F.substring(c["ran"], 1, 60))),
+        "tried": F.when(F.col("err"), present(lambda c: c["ran"])).otherwise(none),
+        # Only a step with an error has lines with one.
+        "error_lines": F.when(F.col("err"), F.filter(F.transform(T.lines(F.col("obs_text")), T.strip), T.has_error)).otherwise(none),
         "action": F.when(F.col("file_edit"), "edit").when(~F.col("readonly"), "run").when(F.col("plan_call"), "plan").otherwise("read"),
-    })
+    }).drop("made")
 
 
 def summaries(folds: DataFrame, facts: DataFrame, heads: DataFrame) -> DataFrame:

@@ -20,8 +20,20 @@ def with_steps(messages: DataFrame) -> DataFrame:
     return messages.withColumn("step_idx", F.sum((F.col("role") == "assistant").cast("int")).over(order) - 1)
 
 
-def _call(name: str, calls: Column, test) -> Column:
-    return F.exists(calls, lambda c: F.coalesce((c["function"]["name"] == name) & F.startswith(F.ltrim(c["function"]["arguments"]), F.lit("{")) & test(c["function"]["arguments"]), F.lit(False)))
+#: Tools whose calls tell what a step does.
+EDITOR, SHELL, TRACKER = "str_replace_editor", "execute_bash", "task_tracker"
+EDITS = ("create", "str_replace", "insert")
+
+
+def _told(calls: Column) -> Column:
+    """Name and command of each call, and the command of a shell stripped: arguments are parsed once."""
+    name, given = lambda c: c["function"]["name"], lambda c: c["function"]["arguments"]
+    read = F.transform(calls, lambda c: F.struct(name(c).alias("name"), F.when(name(c).isin(EDITOR, SHELL, TRACKER) & F.startswith(F.ltrim(given(c)), F.lit("{")), T.argument(given(c), "command")).alias("command")))
+    return F.transform(read, lambda c: F.struct(c["name"].alias("name"), c["command"].alias("command"), F.when(c["name"] == SHELL, T.strip(c["command"])).alias("ran")))
+
+
+def _call(test) -> Column:
+    return F.exists("told", lambda c: F.coalesce(test(c), F.lit(False)))
 
 
 def steps(staged: DataFrame) -> DataFrame:
@@ -39,21 +51,22 @@ def steps(staged: DataFrame) -> DataFrame:
         F.sum("tokens").alias("tokens"), F.count("*").alias("n_msgs"), F.min("msg_idx").alias("first_msg"),
     )
     calls = F.col("tool_calls")
-    edits = _call("str_replace_editor", calls, lambda a: T.argument(a, "command").isin("create", "str_replace", "insert"))
-    acts = _call("execute_bash", calls, lambda a: (T.strip(T.argument(a, "command")) != "") & ~T.reads_only(T.argument(a, "command")))
-    done = grouped.withColumn("obs_text", F.array_join(F.transform("obs", lambda o: F.concat(F.lit("\n"), o["content"])), "")).withColumns({
-        "plan_call": _call("task_tracker", calls, lambda a: T.argument(a, "command") == "plan"),
+    edits = _call(lambda c: (c["name"] == EDITOR) & c["command"].isin(*EDITS))
+    acts = _call(lambda c: (c["ran"] != "") & ~c["ran"].rlike(T.READ_ONLY))
+    texts = {"obs_text": F.array_join(F.transform("obs", lambda o: F.concat(F.lit("\n"), o["content"])), ""), "told": _told(calls)}
+    done = grouped.withColumns(texts).withColumns({
+        "plan_call": _call(lambda c: (c["name"] == TRACKER) & (c["command"] == "plan")),
         "file_edit": edits, "readonly": ~(edits | acts),
         "err": T.has_error(F.col("obs_text")), "verified": T.has_verified(F.col("obs_text")),
         "rendered": render(F.col("thought"), calls, F.col("obs_text")),
     })
-    return done.drop("obs")
+    return done.drop("obs", "told")
 
 
 def render(thought: Column, calls: Column, obs: Column) -> Column:
     """Thought, actions and observation, each on its line if there is any."""
     actions = F.array_join(F.transform(calls, lambda c: F.concat(F.coalesce(c["function"]["name"], F.lit("None")), F.lit("("), F.coalesce(c["function"]["arguments"], F.lit("null")), F.lit(")"))), " ; ")
-    part = lambda label, x: F.when(x != "", F.concat(F.lit(label + ": "), x))
+    part = lambda label, x: F.concat(F.lit(label + ": "), F.nullif(x, F.lit("")))
     return F.concat_ws("\n", part("Thought", T.strip(thought)), F.when(F.size(calls) > 0, F.concat(F.lit("Action: "), actions)), part("Observation", T.strip(obs)))
 
 

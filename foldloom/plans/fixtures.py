@@ -46,10 +46,12 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = F.array(call(0, tool, arguments))
     calls = F.when(F.col("event_id") % 97 == 0, F.concat(calls, F.array(call(1, F.lit("task_tracker"), F.lit('{"command": "plan"}'))))).otherwise(calls)
     thought = F.concat(F.lit("Next `step_"), k, F.lit("` with "), kind, F.lit(" on pkg.mod_"), k)
+    # Texts are made in a projection, each once: under ``explode`` all is made wherever it is named.
+    events = events.select(KEY, "i", thought.alias("thought"), calls.alias("calls"), tool.alias("tool"), seen.alias("seen"))
     none = F.array().cast(calls_type())
     blank = F.lit(None).cast("string")
     message = lambda at, role, content, c, name=blank, answers=blank: F.struct(at.cast("long").alias("msg_idx"), F.lit(role).alias("role"), content.alias("content"), name.alias("name"), answers.alias("tool_call_id"), c.cast(calls_type()).alias("tool_calls"))
-    body = F.array(message(2 + 2 * F.col("i"), "assistant", thought, calls), message(3 + 2 * F.col("i"), "tool", seen, none, tool, calls[0]["id"]))
+    body = F.array(message(2 + 2 * F.col("i"), "assistant", F.col("thought"), F.col("calls")), message(3 + 2 * F.col("i"), "tool", F.col("seen"), none, F.col("tool"), F.col("calls")[0]["id"]))
     head = F.array(
         message(F.lit(0), "system", F.lit("You are a careful engineer."), none),
         message(F.lit(1), "user", F.concat(F.lit("Fix the service of user "), F.col(KEY).cast("string"), F.lit(".")), none),

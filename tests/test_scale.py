@@ -105,3 +105,30 @@ def test_recall_reads_only_what_its_kinds_need(spark):
     assert {(r[2], r[3]) for r in every} == {("edited", "a.py"), ("command", "make"), ("error", "ValueError"), ("error", "KeyError"), ("decision", "a.py"), ("decision", "xyz"), ("observed", "ValueError"), ("observed", "b.py"), ("observed", "KeyError")}
     errors = recall.recalls(folds, facts, ("error",))
     assert "FileScan" not in plan(errors) and r"[A-Za-z_][A-Za-z0-9_./]{2,60}" not in plan(errors) and "collect_set" not in plan(errors)
+
+
+def test_arguments_are_read_once_a_call(spark):
+    sent = spark.createDataFrame([(1, 0, "assistant", "x", [], 0)], f"trajectory_id long, msg_idx long, role string, content string, tool_calls {T.calls_type()}, step_idx long")
+    steps = messages.steps(sent)
+    assert plan(steps).count("get_json_object") == 1
+    stored = spark.createDataFrame(steps.collect(), steps.schema)
+    assert plan(memory.step_facts(stored)).count("get_json_object") == 2  # command and path
+    assert plan(stored.select(T.identifiers(F.concat("thought", "obs_text")))).count("concat(thought#") == 1
+
+
+def test_tokens_are_counted_as_they_are_made(spark):
+    texts = ["", None, " \t", "a_b.c  d1 ٣é😀\r\n{\"x\": [1,-2]}", "\x0b__\x00", "aé_1b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    assert [r.n for r in rows.select(T.token_count(F.col("x")).alias("n")).collect()] == [r.n for r in rows.select(F.size(T.tokens(F.col("x"))).alias("n")).collect()]
+
+
+def test_identifiers_are_those_of_the_plain_patterns(spark):
+    parts = ("a.py", "b", ".", "/", ":12", "-3", "x.json", ".cc", "é", "`", "Aa.bb", "KeyError", " ", "_", "(", ":", "pkg.mod_1")
+    texts = ["".join(parts[(i * 7 + j * j * (i % 11 + 1) + i // 17 * j) % len(parts)] for j in range(i % 9 + 2)) for i in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    found = lambda p, g: F.regexp_extract_all("x", F.lit(p), F.lit(g))
+    cut = lambda a, by: F.transform(a, lambda p: F.split_part(p, F.lit(by), F.lit(1)))
+    plain = F.array_distinct(F.concat(cut(found(T.PATH, 0), ":"), cut(found(T.BACKTICK, 1), "("), found(T.DOTTED, 1), found(T.ERROR_CLASS, 1)))
+    both = rows.select("x", T.identifiers(F.col("x")).alias("a"), F.filter(plain, lambda p: F.length(p) >= 3).alias("b"))
+    assert both.filter("NOT a <=> b").collect() == []
+    assert both.filter("size(a) > 1").count() > 300
