@@ -18,27 +18,23 @@ import pyarrow as pa
 
 from foldloom.llm.common import CHUNK_BYTES, text_buffer
 
-OTHER, LETTER, NUMBER, SPACE, UNKNOWN = 0, 1, 2, 3, 4
+OTHER, LETTER, NUMBER, SPACE, UNKNOWN, UNMET = 0, 1, 2, 3, 4, 5
 #: The white space of the splitting pattern.
 WHITE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Pieces kept by a worker in the newer half of its cache; beyond it that becomes the older half, and what isn't met
 #: again goes.
 CACHE_PIECES = 200_000
+#: New pieces that the library encodes as one text.
+JOINED = 200
 #: Pieces of more bytes are merged by rank over all of them, not round by round.
 LONG = 64
 
 
 @functools.cache
 def char_classes() -> np.ndarray:
-    table = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))[0]
-        if kind == "L":
-            table[c] = LETTER
-        elif kind == "N":
-            table[c] = NUMBER
-        elif kind == "C" and unicodedata.category(chr(c)) == "Cn":
-            table[c] = UNKNOWN
+    """Classes of code points, of those met so far: the rest are ``UNMET``, as each worker would take over a second for
+    all of them."""
+    table = np.full(0x110000, UNMET, np.uint8)
     table[list(WHITE)] = SPACE
     return table
 
@@ -47,6 +43,11 @@ def class_of(points: np.ndarray) -> np.ndarray:
     """Classes of code points. What Python's character data doesn't know yet is asked of the library, once."""
     table = char_classes()
     kind = table[points]
+    if kind.max(initial=0) == UNMET:
+        for c in np.unique(points[kind == UNMET]).tolist():
+            category = unicodedata.category(chr(c))
+            table[c] = {"L": LETTER, "N": NUMBER}.get(category[0], UNKNOWN if category == "Cn" else OTHER)
+        kind = table[points]
     if kind.max(initial=0) == UNKNOWN:
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -316,12 +317,21 @@ class Encoder:
             self.library.no_padding()
             added = self.library.get_added_tokens_decoder()
             self.special = next((t.content for t in added.values()), "").encode()
+            # A plain added token parts what is around it.
+            self.parting = next((i for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)), None) if len(added) == 1 else None
         else:
             self.library = None
             self.special = next(iter(vocabulary(path).special), "").encode()
 
     def _learn(self, new: list[bytes]) -> None:
         if self.library is not None:
+            if self.parting is not None:
+                own = [p for p in new if p == self.special]
+                self.known.update((p, np.array([self.parting], "<u4").tobytes()) for p in own)
+                new = [p for p in new if p != self.special] if own else new
+                for k in range(0, len(new), JOINED):
+                    self._learn_joined(new[k : k + JOINED])
+                return
             made = self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
             self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, made, strict=True))
             return
@@ -331,6 +341,15 @@ class Encoder:
         new = [p for p in new if p not in own]
         self.known.update((p, x.tobytes()) for p, x in zip(new, vocab.merge(new), strict=True))
 
+    def _learn_joined(self, new: list[bytes]) -> None:
+        """Pieces as one text, the special token between them: the library splits there first, so each is encoded as if
+        alone, and one encoding is made and not one a piece."""
+        [made] = self.library.encode_batch_fast([self.special.join(new).decode()], add_special_tokens=False)
+        ids = np.array(made.ids, "<u4")
+        at = np.flatnonzero(ids == self.parting)
+        starts, stops, data = 4 * np.r_[0, at + 1], 4 * np.r_[at, len(ids)], ids.tobytes()
+        self.known.update((p, data[a:b]) for p, a, b in zip(new, starts.tolist(), stops.tolist(), strict=True))
+
     def _window(self, raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of one stretch, and how many of them come before each of ``breaks``."""
         starts = split_pieces(raw, np.r_[breaks, len(raw)], self.special)

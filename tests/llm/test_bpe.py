@@ -107,3 +107,19 @@ def test_odd_rows(spark, odd, empty):
     got = sorted((str(r.doc_id), r.decoded) for r in bpe_codec.encode_decode(odd, PATH).collect())
     assert got == sorted((str(d), t or "") for d, t in ODD)
     assert bpe_codec.encode_decode(empty, PATH).collect() == []
+
+
+def test_new_pieces_are_encoded_together():
+    own = bpe.Encoder(PATH, True)
+    library, calls = own.library, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            calls.append(len(texts))
+            return library.encode_batch_fast(texts, **more)
+
+    own.library = Counted()
+    words = [f"w{i}é'll  　<|endoftext|>😀\n x{i * 7919}" for i in range(500)]
+    ids, bounds = own(pa.array(words))
+    assert 1 < sum(calls) < 20
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [LIBRARY.encode(w, add_special_tokens=False).ids for w in words]
